@@ -22,3 +22,15 @@ def query(name: str, sql: str | None = None):
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def per_session(fn):
+    """Build a derived table once per session and data folder."""
+    built: dict = {}
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        key = (spark.sparkContext.applicationId, sf_dir)
+        if key not in built:
+            built[key] = fn(spark, sf_dir)
+        return built[key]
+    return run

@@ -11,20 +11,27 @@ from pyspark.sql import functions as F
 
 from quire.functions.text import strip
 from quire.operators.ordered import block_of, dense_number, neighbours, running
+from quire.session import materialise
 
 DOC = ["doc_id"]
 MAX_CHARS = 1500
 OVERLAP = 300
 MIN_CHARS = 50
 SHORT_SECTION = 256      # units of a section folded in one JVM expression
-LONG_BLOCK = 16384       # units per block of a longer section
+PAGES_PER_BLOCK = 64     # pages of a document handled together
+BLOCKS_PER_SCAN = 1024   # blocks whose chunk counts are summed together
+
+
+def page_block(pages: int = PAGES_PER_BLOCK):
+    """Pages ordered together; a page holds a bounded number of units."""
+    return F.floor(F.coalesce(F.col("page"), F.lit(0)) / pages).cast("long")
 
 
 def section_ids(units: DataFrame) -> DataFrame:
     """Number the sections of each document: every heading or subheading opens one.
 
-    Adds ``section``, the heading in force, the section's own subheading, its first page and the
-    unit that opened it. Section 0 is the text before the first heading.
+    Adds ``section``, the heading in force, the section's own subheading and its first page.
+    Section 0 is the text before the first heading.
     """
     units = units.withColumn("text", strip(F.col("text"))).where("text <> ''")
     opens = F.col("type").isin("heading", "subheading")
@@ -32,15 +39,15 @@ def section_ids(units: DataFrame) -> DataFrame:
         units, DOC, "unit_no",
         sums={"section": opens.cast("long")},
         lasts={
-            "_head": F.when(opens, F.struct("type", "text", "page", "unit_no")),
+            "_head": F.when(opens, F.struct("type", "text", "page")),
             "chapter": F.when(F.col("type") == "heading", F.col("text")),
         },
+        block=page_block(),
     )
     return out.select(
         *units.columns, "section", "chapter",
         F.when(F.col("_head.type") == "subheading", F.col("_head.text")).alias("subheading"),
         F.col("_head.page").alias("section_page"),
-        F.coalesce("_head.unit_no", F.lit(0)).cast("long").alias("section_start"),
     )
 
 
@@ -131,12 +138,14 @@ def _scan_carries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _fill_block(limit: int):
     def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("unit_no")
-        closed, _ = fill_starts(pdf["piece_len"].to_numpy(np.int64), limit, int(pdf["carry"].iloc[0]))
-        return pdf[["doc_id", "section", "blk", "unit_no"]].assign(closed=closed)
+        closed, left = fill_starts(pdf["piece_len"].to_numpy(np.int64), limit, int(pdf["carry"].iloc[0]))
+        # Every piece has a length, so nothing is left open only when the last chunk was closed.
+        total = closed[-1] + (1 if left == 0 else 0)
+        return pdf[["doc_id", "section", "blk", "unit_no"]].assign(closed=closed, total=total)
     return run
 
 
-def _fill_long(pieces: DataFrame, limit: int, block: int = LONG_BLOCK) -> DataFrame:
+def _fill_long(pieces: DataFrame, limit: int, pages: int = PAGES_PER_BLOCK) -> DataFrame:
     """Sections of any size, block by block.
 
     The fill is a state machine whose state is the open length, so a block acts on it as a table
@@ -145,56 +154,50 @@ def _fill_long(pieces: DataFrame, limit: int, block: int = LONG_BLOCK) -> DataFr
     through Python.
     """
     meta = ["doc_id", "section"]
-    p = pieces.withColumn("blk", block_of(F.col("unit_no") - F.col("section_start"), block))
+    p = pieces.withColumn("blk", page_block(pages))
     slim = p.select(*meta, "blk", "unit_no", "piece_len")
     maps = slim.groupBy(*meta, "blk").applyInPandas(
         _block_maps(limit), "doc_id string, section long, blk long, after array<int>")
-    # A carry never reaches the limit: a chunk that does is closed at once.
     carries = (
         maps.repartition(*meta).sortWithinPartitions(*meta, "blk")
         .mapInPandas(_scan_carries, "doc_id string, section long, blk long, carry int")
     )
     filled = slim.join(carries, [*meta, "blk"]).groupBy(*meta, "blk").applyInPandas(
-        _fill_block(limit), "doc_id string, section long, blk long, unit_no long, closed long")
+        _fill_block(limit),
+        "doc_id string, section long, blk long, unit_no long, closed long, total long")
     # A block's chunk numbers start where the one before stopped; a chunk left open runs on.
-    per_block = slim.join(carries, [*meta, "blk"])
-    counts = filled.groupBy(*meta, "blk").agg(F.max("closed").alias("top")).join(
-        maps.join(carries, [*meta, "blk"]).select(
-            *meta, "blk", (F.element_at("after", F.col("carry") + 1) == 0).alias("ends_closed")), [*meta, "blk"])
-    counts = counts.withColumn("n_closed", F.col("top") + F.col("ends_closed").cast("long"))
-    offsets = running(counts, meta, "blk", sums={"upto": F.col("n_closed")}, size=BLOCKS_PER_SCAN).select(
-        *meta, "blk", (F.col("upto") - F.col("n_closed")).alias("offset"))
-    del per_block
+    counts = filled.groupBy(*meta, "blk").agg(F.max("total").alias("total"))
+    offsets = running(counts, meta, "blk", sums={"upto": F.col("total")}, size=BLOCKS_PER_SCAN).select(
+        *meta, "blk", (F.col("upto") - F.col("total")).alias("offset"))
     numbered = filled.join(offsets, [*meta, "blk"]).select(
         *meta, "unit_no", (F.col("closed") + F.col("offset")).alias("part_no"))
+    start = pieces.groupBy(*meta).agg(F.min(F.coalesce("section_page", "page")).alias("page_physical"))
     return (
         p.join(numbered, [*meta, "unit_no"]).groupBy(*meta, "part_no").agg(
             F.max("chapter").alias("chapter"), F.max("subheading").alias("subheading"),
-            F.min("section_page").alias("_page"), F.min("page").alias("_first"),
             F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("unit_no", "piece"))),
                                      lambda x: x["piece"]), "\n").alias("text"))
-        .join(pieces.groupBy(*meta).agg(F.min("page").alias("_start")), meta)
-        .select(*meta, "chapter", "subheading", F.coalesce("_page", "_start").alias("page_physical"),
-                "part_no", "text")
+        .join(start, meta)
+        .select(*meta, "chapter", "subheading", "page_physical", "part_no", "text")
     )
 
 
-BLOCKS_PER_SCAN = 1024
-
-
 def chunk_accumulate(units: DataFrame, limit: int = MAX_CHARS, short: int = SHORT_SECTION,
-                     block: int = LONG_BLOCK) -> DataFrame:
+                     pages: int = PAGES_PER_BLOCK) -> DataFrame:
     """Fill chunks greedily within each section until they reach ``limit`` characters.
 
     Result: ``doc_id, chunk_no, chapter, subheading, page_physical, text`` with ``chunk_no`` in
-    page order and, within a page, in reading order.
+    page order and, within a page, in reading order. Sections of more than ``short`` units take
+    the block-wise way, all others the one-shuffle way.
     """
-    pieces = _pieces(section_ids(units))
-    in_section = F.col("unit_no") - F.col("section_start")
-    long_sections = pieces.where(in_section >= short).select("doc_id", "section").distinct()
     keys = ["doc_id", "section"]
+    pieces = materialise(_pieces(section_ids(units)))
+    long_sections = pieces.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(
+        F.col("_n") > short).drop("_n")
+    if long_sections.isEmpty():
+        return chunk_page_sort(_fill_short(pieces, limit))
     parts = _fill_short(pieces.join(long_sections, keys, "left_anti"), limit).unionByName(
-        _fill_long(pieces.join(long_sections, keys, "left_semi"), limit, block))
+        _fill_long(materialise(pieces.join(long_sections, keys, "left_semi")), limit, pages))
     return chunk_page_sort(parts)
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions.text import strip
-from quire.operators.ordered import dense_number, first_rows
+from quire.operators.ordered import first_rows
 
 DOC = ["doc_id"]
 POSITION = ("page", "line_no", "span_no")
@@ -34,16 +34,15 @@ def font_stats(spans: DataFrame, max_pages: int | None = 20, after_page: DataFra
         F.count(F.lit(1)).alias("n"), F.min(_position(s)).alias("first_seen"))
 
 
-def in_band(df_height: str = "page_height", *, points: float | None = None, share: float | None = None):
-    """True for a box in the top or bottom band, given in points or as a share of the page."""
-    h = F.col(df_height)
-    top, bottom = (F.lit(points), h - points) if points is not None else (h * share, h * (1 - share))
-    return (top, bottom)
+def band_limits(*, points: float | None = None, share: float | None = None):
+    """Lower edge of the top band and upper edge of the bottom band, by points or page share."""
+    h = F.col("page_height")
+    return (F.lit(points), h - points) if points is not None else (h * share, h * (1 - share))
 
 
 def header_footer_detect(spans: DataFrame, max_pages: int = 20, band: float = 80.0) -> DataFrame:
     """Lower-case band texts seen at least ``max(3, max_pages // 2)`` times in a document."""
-    top, bottom = in_band(points=band)
+    top, bottom = band_limits(points=band)
     s = text_spans(spans, max_pages=max_pages).where((F.col("y0") < top) | (F.col("y1") > bottom))
     return (
         s.groupBy("doc_id", F.lower(strip(F.col("text"))).alias("line_key"))
@@ -52,7 +51,7 @@ def header_footer_detect(spans: DataFrame, max_pages: int = 20, band: float = 80
 
 
 def page_band_filter(blocks: DataFrame, share: float = 0.2) -> DataFrame:
-    top, bottom = in_band(share=share)
+    top, bottom = band_limits(share=share)
     return blocks.where((F.col("y1") < top) | (F.col("y0") > bottom))
 
 
@@ -116,14 +115,17 @@ def unit_type(size: str = "font_size"):
     )
 
 
+def unit_position():
+    """Reading order of lines in a document as one number: increasing, not gap-free."""
+    return F.shiftleft(F.col("page").cast("long"), 24) + F.col("line_no")
+
+
 def styled_units(spans: DataFrame, max_pages: int = 20) -> DataFrame:
-    """Lines of all pages, without running headers, typed by size and numbered in reading order."""
+    """Lines of all pages, without running headers, typed by size, with their position."""
     lines = line_units(spans)
     running_heads = header_footer_detect(spans, max_pages).select("doc_id", "line_key")
     kept = lines.withColumn("line_key", F.lower("text")).join(
         running_heads, ["doc_id", "line_key"], "left_anti").drop("line_key")
     sizes = style_sizes(font_stats(spans, max_pages))
-    typed = kept.join(sizes, "doc_id").select(
-        "doc_id", "page", "line_no", "text", "font_size", unit_type().alias("type"))
-    return dense_number(typed, DOC, F.floor(F.col("page") / 256).cast("long"),
-                        [F.col("page"), F.col("line_no")], "unit_no")
+    return kept.join(sizes, "doc_id").select(
+        "doc_id", "page", unit_position().alias("unit_no"), "text", "font_size", unit_type().alias("type"))

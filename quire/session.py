@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,6 +40,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Cut lineage and compute once, on storage that outlives a lost executor."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Compute once and cut lineage: a columnar table in the shared folder, so later steps still
+    prune columns and see real sizes, and a lost executor costs nothing but its running tasks."""
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark)}/quire-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

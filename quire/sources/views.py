@@ -26,7 +26,7 @@ def spans(spark, sf_dir) -> DataFrame:
         "doc_id", (F.floor(n / 5) + 1).cast("int").alias("page"), "line_no", "text",
         F.when(n == 0, 18.0).when(F.length("text") < 60, 14.0).otherwise(10.0).alias("size"),
         (60.0 + 150 * (n % 5)).alias("y0"), (72.0 + 150 * (n % 5)).alias("y1"),
-        F.lit(792.0).alias("page_height"),
+        F.lit(792.0).alias("page_height"), F.lit(0).alias("span_no"),
     )
 
 
