@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-TOPICS = ("text", "layout")
+TOPICS = ("text", "layout", "toc")
 
 
 def load_catalog():

@@ -32,6 +32,17 @@ TOC_LINES = """toc_lines as (
               when 2 then concat(rn%9+1, '. ', p_name, ' ', p_size)
               else concat(p_name, ' xiv') end text from r)"""
 
+TOC_BLOCKS = TOC_LINES + """,
+toc_blocks as (select doc_id, page_index, 0 as block_no, 400.0::double x0, y0 + 1 as y0,
+    regexp_extract(text, '[^ ]+$') as text from toc_lines
+  union all select doc_id, page_index, 0, x0, y0, regexp_replace(text, ' [^ ]+$', '') from toc_lines)"""
+
+NUMBER_BLOCKS = """number_blocks as (select cast(c_nationkey as bigint) doc_id,
+    row_number() over (partition by c_nationkey order by c_custkey) - 1 as page_index,
+    (c_custkey % 10) * 79.2::double as y0, (c_custkey % 10) * 79.2::double + 12 as y1, 792.0::double page_height,
+    concat(c_name, ' ', c_custkey % 1000, ' ', c_mktsegment,
+      case c_custkey % 4 when 0 then ' xiv' when 1 then ' IX mm' else '' end) as text from customer)"""
+
 PAGE_NUMBERS = """page_numbers as (
   with r as (select cast(c_nationkey as bigint) doc_id, c_custkey,
                     row_number() over (partition by c_nationkey order by c_custkey)-1 phys from customer),

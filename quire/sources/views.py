@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.operators.ordered import block_of, dense_number
+
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -50,27 +52,56 @@ def page_texts(spark, sf_dir) -> DataFrame:
         F.array_join(F.slice("l", F.col("page_index") * 5 + 1, F.lit(5)), "\n").alias("text"))
 
 
+def _numbered(df: DataFrame, key: str, order: str) -> DataFrame:
+    return dense_number(df, [key], block_of(order), [F.col(order)], "rn")
+
+
 def toc_lines(spark, sf_dir) -> DataFrame:
-    return spark.sql("""
-      with r as (select p_brand doc_id, p_name, p_size,
-                        row_number() over (partition by p_brand order by p_partkey)-1 rn from {part})
-      select doc_id, cast(floor(rn/8) as int) page_index, cast(20*(rn%8) as double) y0,
-             cast(50 as double) x0,
-        case rn%4 when 0 then concat('Chapter ', p_name, ' ..... ', p_size)
-                  when 1 then concat(rn%9+1, '.', rn%3+1, ' ', p_name, ' .... ', p_size)
-                  when 2 then concat(rn%9+1, '. ', p_name, ' ', p_size)
-                  else concat(p_name, ' xiv') end text from r""", part=load(spark, sf_dir, "part"))
+    """Rows of printed contents pages: eight rows a page, four row styles."""
+    rn, name, size = F.col("rn"), F.col("p_name"), F.col("p_size")
+    part = load(spark, sf_dir, "part").select(F.col("p_brand").alias("doc_id"), "p_partkey", "p_name", "p_size")
+    return _numbered(part, "doc_id", "p_partkey").select(
+        "doc_id", F.floor(rn / 8).cast("int").alias("page_index"),
+        (rn % 8 * 20).cast("double").alias("y0"), F.lit(50.0).alias("x0"),
+        F.when(rn % 4 == 0, F.concat(F.lit("Chapter "), name, F.lit(" ..... "), size))
+        .when(rn % 4 == 1, F.concat(rn % 9 + 1, F.lit("."), rn % 3 + 1, F.lit(" "), name, F.lit(" .... "), size))
+        .when(rn % 4 == 2, F.concat(rn % 9 + 1, F.lit(". "), name, F.lit(" "), size))
+        .otherwise(F.concat(name, F.lit(" xiv"))).alias("text"))
+
+
+def toc_blocks(spark, sf_dir) -> DataFrame:
+    """The same rows as two boxes each: the title, and the label one point lower to its right."""
+    t = toc_lines(spark, sf_dir)
+    return t.select(
+        "doc_id", "page_index", F.explode(F.array(
+            F.struct(F.lit(400.0).alias("x0"), (F.col("y0") + 1).alias("y0"),
+                     F.regexp_extract("text", "[^ ]+$", 0).alias("text")),
+            F.struct(F.col("x0"), F.col("y0"), F.regexp_replace("text", " [^ ]+$", "").alias("text")),
+        )).alias("b")).select("doc_id", "page_index", F.lit(0).alias("block_no"), "b.x0", "b.y0", "b.text")
 
 
 def page_numbers(spark, sf_dir) -> DataFrame:
-    return spark.sql("""
-      with r as (select cast(c_nationkey as bigint) doc_id, c_custkey,
-                        cast(row_number() over (partition by c_nationkey order by c_custkey)-1 as bigint) phys
-                 from {customer}),
-           p as (select doc_id, phys, 0 as pos, c_custkey,
-                        case when c_custkey%5=0 then c_custkey%50+1 else phys-(doc_id%7)+1 end printed from r)
-      select doc_id, phys, pos, printed from p where c_custkey%11<>0 and printed>=1
-      """, customer=load(spark, sf_dir, "customer"))
+    """Printed numbers found on pages: true offset ``doc_id % 7``, some noise, some missing."""
+    c = load(spark, sf_dir, "customer").select(F.col("c_nationkey").cast("long").alias("doc_id"), "c_custkey")
+    phys, key = F.col("phys"), F.col("c_custkey")
+    return (
+        _numbered(c, "doc_id", "c_custkey").withColumnRenamed("rn", "phys")
+        .withColumn("printed", F.when(key % 5 == 0, key % 50 + 1).otherwise(phys - F.col("doc_id") % 7 + 1))
+        .where((key % 11 != 0) & (F.col("printed") >= 1))
+        .select("doc_id", "phys", F.lit(0).alias("pos"), "printed"))
+
+
+def number_blocks(spark, sf_dir) -> DataFrame:
+    """Text boxes at varying heights of a page, some with digits and roman words."""
+    c = load(spark, sf_dir, "customer").select(
+        F.col("c_nationkey").cast("long").alias("doc_id"), "c_custkey", "c_name", "c_mktsegment")
+    key = F.col("c_custkey")
+    y = (key % 10).cast("double") * 79.2
+    return _numbered(c, "doc_id", "c_custkey").select(
+        "doc_id", F.col("rn").alias("page_index"), y.alias("y0"), (y + 12).alias("y1"),
+        F.lit(792.0).alias("page_height"),
+        F.concat("c_name", F.lit(" "), key % 1000, F.lit(" "), "c_mktsegment",
+                 F.when(key % 4 == 0, " xiv").when(key % 4 == 1, " IX mm").otherwise("")).alias("text"))
 
 
 def messages(spark, sf_dir) -> DataFrame:
