@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-TOPICS = ("text", "layout", "toc")
+TOPICS = ("text", "layout", "toc", "store", "checks")
 
 
 def load_catalog():
