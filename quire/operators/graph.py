@@ -98,6 +98,11 @@ def two_hops(seeds: DataFrame, links: DataFrame) -> DataFrame:
     return one.unionByName(two).where(F.col("near_id") != F.col("chunk_id")).distinct()
 
 
+def _carried(chunks: DataFrame) -> list[str]:
+    """Chunk columns that travel with a hit; ids alone where the text is fetched later."""
+    return [c for c in ("doc_id", "chunk_id", "text") if c in chunks.columns]
+
+
 def multihop_expand(seeds: DataFrame, links: DataFrame, chunks: DataFrame, by: str = "query_id",
                     rank: str = "rank", n_seeds: int = SEEDS, limit: int = MAX_EXPANDED,
                     doc_filter: DataFrame | None = None) -> DataFrame:
@@ -105,11 +110,11 @@ def multihop_expand(seeds: DataFrame, links: DataFrame, chunks: DataFrame, by: s
     all with one constant score. ``doc_filter`` (``query_id, doc_id``) keeps one document."""
     start = seeds.where(F.col(rank) <= n_seeds).select(by, "chunk_id")
     near = two_hops(start, links).select(by, F.col("near_id").alias("chunk_id")).distinct()
-    out = near.join(chunks.select("chunk_id", "doc_id", "text"), "chunk_id")
+    out = near.join(chunks.select(*_carried(chunks)), "chunk_id")
     if doc_filter is not None:
         out = out.join(doc_filter, [by, "doc_id"], "left_semi")
     out = first_rows(out, [by], [F.col("chunk_id")], limit)
-    return out.select(by, "doc_id", "chunk_id", "text", F.lit(HOP_SCORE).alias("score"),
+    return out.select(by, *_carried(chunks), F.lit(HOP_SCORE).alias("score"),
                       F.lit("graph_multihop").alias("source"))
 
 
@@ -119,9 +124,9 @@ def expand_chunk_context(hits: DataFrame, links: DataFrame, chunks: DataFrame, b
     here = hits.select(by, "chunk_id").distinct().join(
         chunks.select("chunk_id", F.col("doc_id").alias("_doc")), "chunk_id").select(by, "chunk_id", "_doc")
     near = two_hops(here, links).withColumnRenamed("chunk_id", "seed_id").withColumnRenamed("near_id", "chunk_id")
-    out = near.join(chunks.select("chunk_id", "doc_id", "text"), "chunk_id").where("doc_id = _doc")
+    out = near.join(chunks.select(*_carried(chunks)), "chunk_id").where("doc_id = _doc")
     out = first_rows(out, [by, "seed_id"], [F.col("chunk_id")], limit)
-    return out.select(by, "doc_id", "chunk_id", "text", F.lit(HOP_SCORE).alias("score"),
+    return out.select(by, *_carried(chunks), F.lit(HOP_SCORE).alias("score"),
                       F.lit("graph_multihop").alias("source")).dropDuplicates([by, "doc_id", "chunk_id"])
 
 

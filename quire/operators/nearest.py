@@ -28,7 +28,7 @@ def distances(q: np.ndarray, c: np.ndarray, metric: str) -> np.ndarray:
         return dot
     qq, cc = (q * q).sum(1)[:, None], (c * c).sum(1)[None, :]
     if metric == "l2":
-        return qq + cc - 2 * dot
+        return np.maximum(qq + cc - 2 * dot, 0.0)
     return 1 - dot / np.sqrt(np.maximum(qq * cc, 1e-300))
 
 
@@ -54,7 +54,7 @@ def _best_of(qids, q: np.ndarray, pdf: pd.DataFrame, k: int, metric: str) -> pd.
     r, c = np.concatenate(rows), np.concatenate(cols)
     return pd.DataFrame({
         "query_id": np.asarray(qids, dtype=object)[r], "doc_id": pdf["doc_id"].to_numpy()[c],
-        "chunk_id": pdf["chunk_id"].to_numpy()[c], "distance": np.round(d[r, c], PLACES), "score": s[r, c]})
+        "chunk_id": pdf["chunk_id"].to_numpy()[c], "distance": np.round(d[r, c], PLACES) + 0.0, "score": s[r, c] + 0.0})
 
 
 def _keep(hits: pd.DataFrame, k: int) -> pd.DataFrame:
