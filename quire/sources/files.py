@@ -18,13 +18,16 @@ def allowed_name(path, extensions: Sequence[str] = (".pdf",)):
     return suffix.isin(*[e.lower() for e in extensions])
 
 
-def scan_corpus(spark: SparkSession, folder: str, extensions: Sequence[str] = (".pdf",)) -> DataFrame:
-    """Files of a folder with an accepted extension, with their deterministic content id."""
-    return (
-        spark.read.format("binaryFile").load(folder)
-        .where(allowed_name(F.col("path"), extensions))
-        .select("path", "length", "modificationTime", content_id(F.col("content")).alias("doc_id"))
-    )
+def scan_corpus(spark: SparkSession, folder: str, extensions: Sequence[str] = (".pdf",),
+                with_id: bool = True) -> DataFrame:
+    """Files of a folder with an accepted extension, with their deterministic content id.
+
+    Without the id only the listing is read, not the contents.
+    """
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).where(
+        allowed_name(F.col("path"), extensions))
+    kept = found.select("path", "length", "modificationTime", *(["content"] if with_id else []))
+    return kept.withColumn("doc_id", content_id(F.col("content"))).drop("content") if with_id else kept
 
 
 def page_scan(pages: DataFrame, max_pages: int = 5) -> DataFrame:
