@@ -1 +1,8 @@
 """Document-retrieval analytics as Spark DataFrame operators."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions that run in Python workers travel with the job; workers need no installed package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

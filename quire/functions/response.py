@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quire.functions.text import LINE_BREAK, SPACE, strip
 
@@ -46,7 +47,7 @@ def typographic_map(c: Column) -> Column:
     return c
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfkc(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Unicode compatibility normalisation; Spark has no such function."""
     for s in texts:
