@@ -14,6 +14,8 @@ SPACE_CHARS = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\
                "\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
 # The same set as the body of a regex character class.
 SPACE = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+# Separators other than the plain space.
+NO_BREAK = r"\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"
 WORD = r"\p{L}\p{N}_"
 # Unicode word boundary.
@@ -37,11 +39,13 @@ def strip_left(c: Column) -> Column:
 
 
 def remove_non_printable(c: Column) -> Column:
-    return F.regexp_replace(c, r"[\p{C}\p{Z}&&[^ ]]", "")
+    return F.regexp_replace(c, rf"[\p{{C}}{NO_BREAK}]", "")
 
 
 def fix_hyphenation(c: Column) -> Column:
-    return F.regexp_replace(c, rf"([{WORD}]+)-[{SPACE}]+([{WORD}]+)", "$1$2")
+    """Join ``word- word``. A word that was joined on is not joined again (``a- b- c`` gives
+    ``ab- c``), which ``\\G``, the end of the match before, takes care of."""
+    return F.regexp_replace(c, rf"-(?<=[{WORD}]-)(?<!\G-)[{SPACE}]+([{WORD}]+)", "$1")
 
 
 def remove_dotted_leaders(c: Column) -> Column:
@@ -53,7 +57,8 @@ def remove_repeated_symbols(c: Column) -> Column:
 
 
 def normalize_whitespace(c: Column) -> Column:
-    return strip(F.regexp_replace(c, rf"[{SPACE}]+", " "))
+    # Single spaces, by far the most, are passed over.
+    return strip(F.regexp_replace(c, rf" [{SPACE}]+|[{SPACE}&&[^ ]][{SPACE}]*", " "))
 
 
 def aggressive_cleanup(c: Column) -> Column:

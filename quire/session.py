@@ -46,3 +46,13 @@ def materialise(df: DataFrame) -> DataFrame:
     path = f"{checkpoint_dir(spark)}/quire-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal rows out to all cores when the scan itself has fewer splits than there are cores.
+
+    A small table in one file would keep one core busy. On a large table, whose scan has plenty of
+    splits, this does nothing.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

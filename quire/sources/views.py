@@ -9,10 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.operators.ordered import block_of, dense_number
+from quire.session import spread
+
+
+# Tables whose rows are long texts: the work per row is worth an even spread.
+TEXT_TABLES = ("documents", "pages", "conversations")
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name in TEXT_TABLES else df
 
 
 def lines(spark, sf_dir) -> DataFrame:
