@@ -171,10 +171,11 @@ def query_rows(spark, sf_dir):
 CORPUS = CK.EMO + f""",
 {ASKED},
 qterms as (select distinct query_id, lower(t) as term from (select query_id, unnest({CLEAN_CONCEPTS}) t from asked)),
+scoped as (select * from emo),
 toks as (select chunk_id, doc_id, emotion, {tokens_sql('text')} w from emo),
 lens as (select count(*) n, avg(len(w)) avgdl from toks),
 postings as (select chunk_id, doc_id, emotion, term, dl, count(*) tf from (
-   select chunk_id, doc_id, emotion, len(w) dl, unnest(w) term from toks) where term in (select term from qterms) group by 1, 2, 3, 4, 5),
+   select chunk_id, doc_id, emotion, len(w) dl, unnest(w) term from toks where chunk_id in (select chunk_id from scoped)) where term in (select term from qterms) group by 1, 2, 3, 4, 5),
 dfs as (select term, count(*) df from postings group by 1),
 bm as (select query_id, doc_id, chunk_id, any_value(emotion) emotion, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2
     / (tf + 1.2 * (1 - 0.75 + 0.75 * dl / avgdl))), 6) score
@@ -187,9 +188,8 @@ ft as (select query_id, doc_id, chunk_id, emotion, score, cast(rank as integer)
 @query("bm25_search", f"""with {CORPUS} select query_id, doc_id, chunk_id, score, cast(r as integer) rank from (
   select *, row_number() over (partition by query_id order by score desc, chunk_id) r from bm) where r <= 15""")
 def bm25_search(spark, sf_dir):
-    a = P.with_concepts(query_rows(spark, sf_dir))
-    terms = a.select("query_id", F.explode(S.term_keys(F.col("concepts"))).alias("term")).withColumn("term", F.lower("term"))
-    return S.bm25_search(terms, corpus(spark, sf_dir).index, 15)
+    terms = P.fulltext_query(P.with_concepts(query_rows(spark, sf_dir))).drop("query_emotion")
+    return S.bm25_search(terms, corpus(spark, sf_dir).index, 15).drop("emotion")
 
 
 PRIMARY = CORPUS + """,
@@ -200,9 +200,7 @@ prim as (select query_id, doc_id, chunk_id, least(1.0, 0.4 + score / 10.0)::doub
 @query("fulltext_overfetch", f"with {CORPUS} select query_id, doc_id, chunk_id, emotion, score, rank from ft where rank <= 45")
 def fulltext_overfetch(spark, sf_dir):
     a, c = P.with_concepts(query_rows(spark, sf_dir)), corpus(spark, sf_dir)
-    terms = a.select("query_id", F.explode(S.term_keys(F.col("concepts"))).alias("term")).withColumn("term", F.lower("term"))
-    found = P._same_emotion(S.bm25_search(terms, c.index), a, c.chunks)
-    return S.fulltext_overfetch(found, 15).select("query_id", "doc_id", "chunk_id", "emotion", "score", "rank")
+    return S.fulltext_overfetch(S.bm25_search(P.fulltext_query(a), c.index), 15).select("query_id", "doc_id", "chunk_id", "emotion", "score", "rank")
 
 
 @query("fulltext_score_scale", f"with {PRIMARY} select query_id, chunk_id, round(score, 6) as score, source from prim")
@@ -220,7 +218,7 @@ def keyword_theta_join(spark, sf_dir):
 
 
 GRAPH = PRIMARY + """,
-clinks as (select * from (select doc_id, lag(chunk_id) over (partition by doc_id order by chunk_no) src, chunk_id dst from emo) where src is not null),
+clinks as (select * from (select doc_id, lag(chunk_id) over (partition by doc_id order by chunk_no) src, chunk_id dst from emo) where src in (select chunk_id from scoped) and dst in (select chunk_id from scoped)),
 csteps as (select src a, dst b from clinks union select dst, src from clinks),
 g_one as (select query_id, chunk_id, b as near_id from prim join csteps on chunk_id = a where rank <= 5),
 g_hops as (select * from g_one union select query_id, chunk_id, csteps.b from g_one join csteps on near_id = csteps.a),
@@ -263,7 +261,7 @@ def hybrid_sql(k: int) -> str:
     """Hybrid candidates for an initial size of ``k``."""
     base = GRAPH.replace("rank <= 45", f"rank <= {3 * k}").replace("where rank <= 15)", f"where rank <= {k})")
     return base + f""",
-{embedded_sql('emo', 'cvec', 'text')},
+{embedded_sql('scoped', 'cvec', 'text')},
 {embedded_sql('query_rows', 'qvec', 'query')},
 v_top as (select query_id, doc_id, chunk_id, score, 'vector' as source, rank from (select *, row_number() over (
    partition by query_id order by score desc, chunk_id) rank from (
@@ -311,9 +309,10 @@ def retrieved(spark, sf_dir):
     return materialise(retrieve(spark, sf_dir))
 
 
-@query("retrieve_filtered")
+@query("retrieve_filtered", f"""with {RETRIEVED.replace('scoped as (select * from emo)', 'scoped as (select * from emo where page_physical = 1)')}
+  select {RESULT} from results""")
 def retrieve_filtered(spark, sf_dir):
-    """Only chunks of first pages; checked against unfiltered search over the same chunks in the tests."""
+    """The same search over chunks of first pages only."""
     return P.retrieve(query_rows(spark, sf_dir), corpus(spark, sf_dir), filters={"page_physical": 1}).withColumn(
         "score", F.round("score", 6))
 

@@ -18,7 +18,7 @@ MAX_CHARS = 1500
 OVERLAP = 300
 MIN_CHARS = 50
 SHORT_SECTION = 256      # units of a section folded in one JVM expression
-PAGES_PER_BLOCK = 64     # pages of a document handled together
+PAGES_PER_BLOCK = 4096   # pages of a document handled together
 BLOCKS_PER_SCAN = 1024   # blocks whose chunk counts are summed together
 
 
@@ -204,7 +204,7 @@ def chunk_accumulate(units: DataFrame, limit: int = MAX_CHARS, short: int = SHOR
 def chunk_page_sort(parts: DataFrame) -> DataFrame:
     """Stable order by page (a missing page counts as 0), numbered without gaps."""
     page = F.coalesce("page_physical", F.lit(0))
-    return dense_number(parts, DOC, F.floor(page / 64).cast("long"),
+    return dense_number(parts, DOC, F.floor(page / PAGES_PER_BLOCK).cast("long"),
                         [page, F.col("section"), F.col("part_no")], "chunk_no").select(
         "doc_id", "chunk_no", "chapter", "subheading", "page_physical", "text")
 

@@ -58,9 +58,10 @@ def new_thread_id(user: Column, seq: Column) -> Column:
     return F.concat(F.lit("thread_"), F.substring(F.md5(F.concat_ws(":", user, seq.cast("string"))), 1, 8))
 
 
-def resolve_thread(requests: DataFrame, block: int = 4096) -> DataFrame:
+def resolve_thread(requests: DataFrame, block: int = 1 << 20) -> DataFrame:
     """The thread of each request (``user_id, seq, thread_id``): a named one becomes active, ``new``
-    starts one, blank goes on in the active one, or starts one where the user has none."""
+    starts one, blank goes on in the active one, or starts one where the user has none. ``block``
+    is a span of ``seq``; it may hold up to as many requests."""
     asked = F.coalesce("thread_id", F.lit(""))
     named = F.lower(strip(asked))
     set_to = F.when(named == "new", new_thread_id(F.col("user_id"), F.col("seq"))).when(asked != "", asked)
@@ -124,19 +125,29 @@ def epoch_us(ts: Column) -> Column:
     return (day * 86400 + seconds) * 1_000_000 + (F.extract(F.lit("SECOND"), ts) * 1_000_000).cast("long")
 
 
-def trailing_hour_limit(events: DataFrame, limit: int = 3, window_us: int = HOUR_US) -> DataFrame:
+def trailing_hour_limit(events: DataFrame, limit: int = 3, window_us: int = HOUR_US, slots: int = 60) -> DataFrame:
     """For every event: how many of the user came in the hour before, and whether that is too many.
 
-    Each event is put into its own hour and the next one, so the range window runs per user and
-    hour instead of per user.
+    The hour is cut into slots. Whole slots count through one row per user and slot; only the
+    event's own slot and the one the hour starts in are looked at row by row. So no task sorts
+    more than two slots of a user, however busy that user is.
     """
-    us = epoch_us(F.col("ts"))
-    home = F.floor(us / F.lit(window_us)).cast("long")
-    spread = events.withColumns({"_us": us, "_home": home}).withColumn(
-        "_blk", F.explode(F.array(F.col("_home"), F.col("_home") + 1)))
-    w = W.partitionBy("user_id", "_blk").orderBy("_us").rangeBetween(-window_us, 0)
-    out = spread.withColumn("recent", F.count(F.lit(1)).over(w) - 1).where("_home = _blk")
-    return out.withColumn("blocked", F.col("recent") >= limit).drop("_us", "_home", "_blk")
+    slot_us = window_us // slots
+    e = events.withColumn("_us", epoch_us(F.col("ts"))).withColumn("_slot", F.floor(F.col("_us") / F.lit(slot_us)).cast("long"))
+    # Every event again one window later: there it is what drops out of the hour.
+    spread = e.withColumn("_at", F.explode(F.array(
+        F.struct(F.col("_slot").alias("slot"), F.col("_us").alias("us"), F.lit(1).alias("own")),
+        F.struct((F.col("_slot") + slots).alias("slot"), (F.col("_us") + window_us).alias("us"), F.lit(0).alias("own")))))
+    spread = spread.select(*e.columns, "_at.slot", "_at.us", "_at.own")
+    order = W.partitionBy("user_id", "slot").orderBy("us")
+    until = order.rangeBetween(W.unboundedPreceding, W.currentRow)
+    since = order.rangeBetween(W.currentRow, W.unboundedFollowing)
+    near = spread.withColumn("_near", F.sum("own").over(until) + F.sum(1 - F.col("own")).over(since)).where("own = 1")
+    per_slot = e.groupBy("user_id", "_slot").agg(F.count(F.lit(1)).alias("_n"))
+    whole = per_slot.select("user_id", "_slot", F.coalesce(F.sum("_n").over(
+        W.partitionBy("user_id").orderBy("_slot").rangeBetween(-(slots - 1), -1)), F.lit(0)).alias("_whole"))
+    out = near.join(whole, ["user_id", "_slot"]).withColumn("recent", F.col("_near") + F.col("_whole") - 1)
+    return out.withColumn("blocked", F.col("recent") >= limit).select(*events.columns, "recent", "blocked")
 
 
 def latest_active_event(events: DataFrame, as_of: Column, ttl_us: int = 300_000_000) -> DataFrame:

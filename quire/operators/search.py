@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from quire.functions.text import tokens
 from quire.operators.ordered import first_rows
+from quire.session import materialise
 
 K1, B = 1.2, 0.75
 TERM_BLOCK = 50_000      # terms per pass of the keyword scan
@@ -47,42 +48,48 @@ def fulltext_terms(concepts: Column) -> Column:
 
 @dataclass(frozen=True)
 class TextIndex:
-    """Inverted index as two tables: ``postings(term, chunk_id, doc_id, tf, length)`` and
+    """Inverted index as two tables: ``postings(term, chunk_id, doc_id, emotion, tf, length)`` and
     ``lengths(chunk_id, length)``."""
     postings: DataFrame
     lengths: DataFrame
 
 
 def build_index(chunks: DataFrame) -> TextIndex:
-    """Term counts per chunk. All words of a chunk sit in one row, so the counting needs no data
-    from other tasks and map-side aggregation does all of it before the shuffle."""
-    words = chunks.select("chunk_id", "doc_id", tokens(F.col("text")).alias("_w")).withColumn(
+    """Term counts per chunk. All words of a chunk sit in one row, so map-side aggregation has
+    counted them before anything is shuffled."""
+    if "emotion" not in chunks.columns:
+        chunks = chunks.withColumn("emotion", F.lit(None).cast("string"))
+    words = chunks.select("chunk_id", "doc_id", "emotion", tokens(F.col("text")).alias("_w")).withColumn(
         "length", F.size("_w"))
-    postings = words.select("chunk_id", "doc_id", "length", F.explode("_w").alias("term")).groupBy(
-        "term", "chunk_id", "doc_id", "length").agg(F.count(F.lit(1)).alias("tf"))
+    postings = words.select("chunk_id", "doc_id", "emotion", "length", F.explode("_w").alias("term")).groupBy(
+        "term", "chunk_id", "doc_id", "emotion", "length").agg(F.count(F.lit(1)).alias("tf"))
     return TextIndex(postings, words.select("chunk_id", "length"))
 
 
-def bm25_search(query_terms: DataFrame, index: TextIndex, k: int | None = None,
-                keep: DataFrame | None = None) -> DataFrame:
-    """Chunks by BM25 for ``query_terms(query_id, term)``: ``query_id, doc_id, chunk_id, score``.
+def bm25_search(query_terms: DataFrame, index: TextIndex, k: int | None = None) -> DataFrame:
+    """Chunks by BM25 for ``query_terms(query_id, term[, query_emotion])``: ``query_id, doc_id,
+    chunk_id, emotion, score``. Where a query has an emotion only chunks of that emotion count.
 
-    ``keep`` (``query_id, chunk_id``) restricts a query before the cut at ``k``.
+    Matching postings are dealt out by chunk *before* they meet the queries. The sum per query and
+    chunk then needs no shuffle of its own, and the cut at ``k`` starts on the map side, so a
+    word found in a third of all chunks is moved once, not once per query that uses it.
     """
     corpus = index.lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("avg_length"))
     n, avg_length = corpus.select("n").scalar(), corpus.select("avg_length").scalar()
-    terms = query_terms.select("query_id", "term").distinct()
+    terms = query_terms.distinct()
     wanted = index.postings.join(terms.select("term").distinct(), "term", "left_semi")
     frequency = wanted.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weights = frequency.select("term", idf.alias("idf"))
+    # Written aside, so that its true size decides between broadcast and shuffle join.
+    weighted = materialise(terms.join(frequency.select("term", idf.alias("idf")), "term"))
     tf = F.col("tf")
-    part = F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("length") / avg_length))
-    scored = wanted.join(weights, "term").select("term", "doc_id", "chunk_id", part.alias("part"))
-    hits = scored.join(terms, "term").groupBy("query_id", "doc_id", "chunk_id").agg(
-        F.round(F.sum("part"), 6).alias("score"))
-    if keep is not None:
-        hits = hits.join(keep, ["query_id", "chunk_id"], "left_semi").select("query_id", "doc_id", "chunk_id", "score")
+    part = tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("length") / avg_length))
+    by_chunk = wanted.select("term", "doc_id", "chunk_id", "emotion", part.alias("part")).repartition("chunk_id")
+    met = by_chunk.join(weighted, "term")
+    if "query_emotion" in terms.columns:
+        met = met.where(F.col("query_emotion").isNull() | (F.col("emotion") == F.col("query_emotion")))
+    hits = met.groupBy("query_id", "doc_id", "chunk_id", "emotion").agg(
+        F.round(F.sum(F.col("idf") * F.col("part")), 6).alias("score"))
     return hits if k is None else fulltext_overfetch(hits, k, 1)
 
 
@@ -112,36 +119,37 @@ def _finder(words: Sequence[str]):
     return lambda text: sorted({w for _, w in machine.iter(text)})
 
 
-def keyword_matches(chunks: DataFrame, terms: DataFrame, block: int = TERM_BLOCK) -> DataFrame:
-    """Which chunks contain which terms as substrings, ignoring case: ``chunk_id, doc_id, term``.
+def _keyword_pass(chunks: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
+    asked: dict[str, list[str]] = {}
+    for query_id, term in pairs:
+        asked.setdefault(term, []).append(query_id)
+    shipped = chunks.sparkSession.sparkContext.broadcast(asked)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        find = _finder(list(shipped.value)) if shipped.value else (lambda text: [])
+        for pdf in batches:
+            pdf = pdf.assign(queries=[sorted({q for w in find(t or "") for q in shipped.value[w]}) for t in pdf["low"]])
+            yield pdf[["chunk_id", "doc_id", "queries"]]
+    texts = chunks.select("chunk_id", "doc_id", F.lower("text").alias("low"))
+    found = texts.mapInPandas(run, "chunk_id string, doc_id string, queries array<string>")
+    return found.select(F.explode("queries").alias("query_id"), "doc_id", "chunk_id")
+
+
+def keyword_theta_join(query_terms: DataFrame, chunks: DataFrame, block: int = TERM_BLOCK) -> DataFrame:
+    """Pairs of query and chunk where the chunk contains any of the query's terms, ignoring case.
 
     A substring test has no equality to join on. Instead of comparing every chunk with every term,
     each task runs a multi-pattern automaton over its texts: one pass whatever the number of
-    terms. Terms are shipped in blocks of bounded size, one scan per block.
+    terms, and nothing to shuffle. Terms are shipped in blocks of checked size, one scan per block.
     """
-    spark = chunks.sparkSession
-    words = terms.select(F.col("term")).where("term <> ''").distinct()
-    passes = max(1, -(-words.count() // block))
-    texts = chunks.select("chunk_id", "doc_id", F.lower("text").alias("low"))
+    pairs = query_terms.where("term <> ''").select("query_id", "term").distinct()
+    head = [tuple(r) for r in pairs.limit(block + 1).collect()]
+    if len(head) <= block:
+        return _keyword_pass(chunks, head)
+    passes = -(-pairs.count() // (block // 2))
     found = None
     for i in range(passes):
-        part = words.where(F.pmod(F.xxhash64("term"), F.lit(passes)) == i)
-        shipped = spark.sparkContext.broadcast([r["term"] for r in part.toLocalIterator()])
-
-        def run(batches: Iterator[pd.DataFrame], shipped=shipped) -> Iterator[pd.DataFrame]:
-            find = _finder(shipped.value) if shipped.value else (lambda text: [])
-            for pdf in batches:
-                rows = [(c, d, w) for c, d, t in zip(pdf["chunk_id"], pdf["doc_id"], pdf["low"])
-                        if t for w in find(t)]
-                yield pd.DataFrame(rows, columns=["chunk_id", "doc_id", "term"])
-
-        hits = texts.mapInPandas(run, "chunk_id string, doc_id string, term string")
+        part = pairs.where(F.pmod(F.xxhash64("query_id", "term"), F.lit(passes)) == i)
+        hits = _keyword_pass(chunks, [tuple(r) for r in part.toLocalIterator()])
         found = hits if found is None else found.unionByName(hits)
-    return found
-
-
-def keyword_theta_join(query_terms: DataFrame, chunks: DataFrame, block: int = TERM_BLOCK) -> DataFrame:
-    """Pairs of query and chunk where the chunk contains any of the query's terms."""
-    terms = query_terms.select("query_id", "term").distinct()
-    return keyword_matches(chunks, terms, block).join(terms, "term").select(
-        "query_id", "doc_id", "chunk_id").distinct()
+    return found.distinct()

@@ -97,15 +97,14 @@ def toc_confidence(entries: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def toc_label_sort(entries: DataFrame, position: str = "pos", key: str = "doc_id") -> DataFrame:
-    """Order entries of a document by label; ``rank`` is 1-based. A contents list is bounded by
-    its pages, so a document's entries fit one sorted array."""
-    ordered = F.array_sort(F.collect_list(F.struct(
-        F.coalesce(T.label_sort_key(F.col("page_label"))["label_group"], F.lit(2)).alias("g"),
-        T.label_sort_key(F.col("page_label"))["label_value"].alias("v"), F.col(position).alias("p"),
-        "title", "page_label", "level")))
-    return entries.groupBy(key).agg(ordered.alias("e")).select(
-        key, F.posexplode("e").alias("i", "e")).select(
-        key, (F.col("i") + 1).alias("rank"), "e.title", "e.page_label", "e.level")
+    """Order entries of a document by label, then position; ``rank`` is 1-based. ``position`` is a
+    number; label values and positions make the blocks, so a long list is not sorted in one task."""
+    k = T.label_sort_key(F.col("page_label"))
+    group, value = F.coalesce(k["label_group"], F.lit(2)), F.coalesce(k["label_value"], F.lit(-1).cast("long"))
+    keyed = entries.withColumns({"_g": group, "_v": value})
+    block = F.struct(F.col("_g").alias("g"), F.col("_v").alias("v"), F.floor(F.col(position) / 65536).alias("p"))
+    ranked = dense_number(keyed, [key], block, [F.col("_g"), F.col("_v"), F.col(position)], "rank", start=1)
+    return ranked.select(key, F.col("rank").cast("int").alias("rank"), "title", "page_label", "level")
 
 
 def logical_pages(entries: DataFrame) -> DataFrame:

@@ -79,12 +79,15 @@ def _same_emotion(hits: DataFrame, asked: DataFrame, chunks: DataFrame) -> DataF
         F.col("query_emotion").isNull() | (F.col("emotion") == F.col("query_emotion"))).drop("query_emotion")
 
 
+def fulltext_query(asked: DataFrame) -> DataFrame:
+    """Index terms of each query, with the query's emotion."""
+    keys = asked.select("query_id", "query_emotion", F.explode(S.term_keys(F.col("concepts"))).alias("term"))
+    return keys.withColumn("term", F.lower("term"))
+
+
 def graph_primary(asked: DataFrame, corpus: Corpus, k: int) -> DataFrame:
     """Full-text hits, three times as many as asked for; keyword hits for queries without any."""
-    terms = asked.select("query_id", F.explode(S.term_keys(F.col("concepts"))).alias("term")).withColumn(
-        "term", F.lower("term"))
-    found = _same_emotion(S.bm25_search(terms, corpus.index), asked, corpus.chunks)
-    found = materialise(S.fulltext_overfetch(found, k))
+    found = materialise(S.fulltext_overfetch(S.bm25_search(fulltext_query(asked), corpus.index), k))
     missing = asked.where(F.size("concepts") > 0).join(found.select("query_id").distinct(), "query_id", "left_anti")
     if not missing.isEmpty():
         words = missing.select("query_id", F.explode("concepts").alias("term"))
@@ -119,7 +122,7 @@ def _graph_ranked(found: DataFrame, asked: DataFrame, texts: DataFrame, k: int)
 
 def graph_retrieve(queries: DataFrame, corpus: Corpus, k: int = 15) -> DataFrame:
     """Terms to full text, two hops, boosts, best ``k`` per query."""
-    asked = with_concepts(queries)
+    asked = materialise(with_concepts(queries))
     found = materialise(graph_merge(asked, corpus, k))
     return _graph_ranked(found, asked, fetch(found, corpus.chunks), k)
 
@@ -128,7 +131,7 @@ def hybrid_candidates(queries: DataFrame, corpus: Corpus, initial_k: int,
                       embed: Callable[[Column], Column] = text_embed) -> tuple[DataFrame, DataFrame]:
     """Vector hits, graph hits and the surroundings of the first vector hits, one row per chunk;
     and the texts of everything looked at."""
-    asked = with_concepts(queries)
+    asked = materialise(with_concepts(queries))
     vector = materialise(vector_topk(queries, corpus, initial_k, embed))
     around = materialise(G.expand_chunk_context(vector.where(F.col("rank") <= CONTEXT_SEEDS), corpus.links, corpus.ids))
     graph = materialise(graph_merge(asked, corpus, initial_k))

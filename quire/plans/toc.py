@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import toc as TF
 from quire.operators import toc as T
+from quire.session import materialise
 
 
 def toc_documents(pages: DataFrame, blocks: DataFrame, number_candidates: DataFrame,
@@ -16,8 +17,12 @@ def toc_documents(pages: DataFrame, blocks: DataFrame, number_candidates: DataFr
     ``generated`` (``doc_id, page_index, raw``) is the text a model made of each contents page; it
     stands in where the rules are not confident. One row per document with a contents page.
     """
-    start = T.toc_first_hit(T.toc_page_type(pages))
-    rows = T.toc_rows(blocks)
+    start = materialise(T.toc_first_hit(T.toc_page_type(pages)))
+    # Only the pages a contents list may cover are read into rows.
+    near = (F.col("page_index") >= F.col("toc_page_index")) & (
+        F.col("page_index") < F.col("toc_page_index") + T.MAX_SCAN_PAGES)
+    pages = pages.join(start.select("doc_id", "toc_page_index"), "doc_id").where(near).drop("toc_page_index")
+    rows = materialise(T.toc_rows(blocks.join(start.select("doc_id", "toc_page_index"), "doc_id").where(near)))
     all_pages = pages.select(*T.PAGE).join(T.toc_row_score(rows), T.PAGE, "left").withColumn(
         "is_toc", F.coalesce("is_toc", F.lit(False)))
     run = T.toc_page_run(all_pages, start)
@@ -33,7 +38,7 @@ def toc_documents(pages: DataFrame, blocks: DataFrame, number_candidates: DataFr
         text_run = T.toc_page_run(T.toc_text_score(pages), start)
         parsed = generated.join(text_run, T.PAGE, "left_semi").select(
             "doc_id", "page_index", F.posexplode(TF.parse_entries(F.col("raw"))).alias("i", "e")).select(
-            "doc_id", F.struct("page_index", "i").alias("pos"), "e.*")
+            "doc_id", (F.shiftleft(F.col("page_index").cast("long"), 24) + F.col("i")).alias("pos"), "e.*")
         fallback = _as_array(T.toc_label_sort(parsed), F.col("rank")).withColumnRenamed("entries", "fallback_entries")
         out = out.join(fallback, "doc_id", "left")
         chosen = F.when(F.col("strategy") == "rule", chosen).otherwise(F.col("fallback_entries"))
