@@ -99,7 +99,7 @@ def fulltext_overfetch(hits: DataFrame, k: int, times: int = 3) -> DataFrame:
 
 
 def fulltext_score_scale(score: Column) -> Column:
-    return F.coalesce(F.least(F.lit(1.0), 0.4 + score / 10.0), F.lit(0.6))
+    return F.when(score.isNull(), 0.6).otherwise(F.least(F.lit(1.0), 0.4 + score / 10.0))
 
 
 def fulltext_source(score: Column) -> Column:
