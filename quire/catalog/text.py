@@ -51,6 +51,32 @@ def unicode_sql(e):
     return strip_sql(f"translate({e}, '{T.UNICODE_FROM}', '--\"\"'''' ')")
 
 
+def typographic_sql(e):
+    return ("replace(replace(replace(translate(" + e + ", '" + R.TYPO_FROM + R.TYPO_DROP + "', '"
+            + R.TYPO_TO.replace("'", "''") + "'), '…', '...'), '‡', '++'), '±', '+/-')")
+
+
+def control_sql(e):
+    return f"regexp_replace({e}, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f-\\x9f]|\\p{{Cf}}|\\p{{Co}}', '', 'g')"
+
+
+def spacing_sql(e):
+    return strip_sql(f"regexp_replace(regexp_replace({e}, '\\n{{3,}}', e'\\n\\n', 'g'), '(?m)[ \\t]+$', '', 'g')")
+
+
+def layout_sql(e):
+    return strip_sql(f"""array_to_string(list_transform(
+  regexp_split_to_array({e}, '{T.LINE_BREAK}'), lambda l: regexp_replace(regexp_replace(l,
+   '^([{SP}]*)[*+\\x{{2022}}] [{SP}]*(.*?)[{SP}]*$', '\\1- \\2'),
+   '^([{SP}]*)(\\p{{Nd}}+)[.)][{SP}]+(.*?)[{SP}]*$', '\\1\\2. \\3')), chr(10))""")
+
+
+def nfkc_sql(e):
+    """Composition alone plus the one compatibility character the texts contain; the whole mapping
+    is compared with Python's in the tests."""
+    return f"replace(nfc_normalize({e}), '…', '...')"
+
+
 def _scalar(name, expr, sql, view=V.noisy, cte=I.NOISY, frm="noisy"):
     @query(name, f"with {cte} select doc_id, {sql} as result from {frm}" if sql else None)
     def run(spark, sf_dir):
@@ -69,14 +95,10 @@ _scalar("clean_unicode", T.clean_unicode, unicode_sql("text"))
 _scalar("text_preview", T.text_preview, unicode_sql("substr(text, 1, 500)"))
 _scalar("strip_fake_citations", T.strip_fake_citations,
         r"regexp_replace(text, '\[\p{Nd}+\]', '', 'g')")
-_scalar("typographic_map", R.typographic_map,
-        "replace(replace(replace(translate(text, '" + R.TYPO_FROM + R.TYPO_DROP + "', '"
-        + R.TYPO_TO.replace("'", "''") + "'), '…', '...'), '‡', '++'), '±', '+/-')")
-_scalar("nfkc", R.nfkc, None)
-_scalar("remove_control_chars", R.remove_control_chars,
-        r"regexp_replace(text, '[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f]|\p{Cf}|\p{Co}', '', 'g')")
-_scalar("clean_spacing", R.clean_spacing,
-        strip_sql(r"regexp_replace(regexp_replace(text, '\n{3,}', e'\n\n', 'g'), '(?m)[ \t]+$', '', 'g')"))
+_scalar("typographic_map", R.typographic_map, typographic_sql("text"))
+_scalar("nfkc", R.nfkc, nfkc_sql("text"))
+_scalar("remove_control_chars", R.remove_control_chars, control_sql("text"))
+_scalar("clean_spacing", R.clean_spacing, spacing_sql("text"))
 _scalar("ocr_confidence", T.ocr_confidence,
         f"case when {strip_sql('text')} = '' then 0.0::double else round(least(1.0::double, "
         f"length(regexp_replace(text, '[^\\p{{L}}{SP}]', '', 'g')) / greatest(length(text), 1)::double), 2) end")
@@ -184,14 +206,21 @@ def listed(spark, sf_dir):
         "doc_id", F.replace(t, F.lit(" la "), F.lit("\n+ ")).alias("text"))
 
 
-_scalar("list_layout", R.list_layout, strip_sql(f"""array_to_string(list_transform(
-  regexp_split_to_array(text, '{T.LINE_BREAK}'), lambda l: regexp_replace(regexp_replace(l,
-   '^([{SP}]*)[*+\\x{{2022}}] [{SP}]*(.*?)[{SP}]*$', '\\1- \\2'),
-   '^([{SP}]*)(\\p{{Nd}}+)[.)][{SP}]+(.*?)[{SP}]*$', '\\1\\2. \\3')), chr(10))"""),
-        view=listed, cte=LISTED, frm="listed")
+_scalar("list_layout", R.list_layout, layout_sql("text"), view=listed, cte=LISTED, frm="listed")
+
+
+def formatted_sql(src: str, dst: str) -> str:
+    """``src(doc_id, intent, text)`` as ``dst(doc_id, intent, formatted)``."""
+    laid = layout_sql(spacing_sql("l.text"))
+    return f"""{dst}_a as (select doc_id, intent, {control_sql(typographic_sql(nfkc_sql(chatter_sql(strip_sql('text')))))} as text from {src}),
+{dst}_b as ({links_sql(dst + '_a')}),
+{dst}_c as (select a.doc_id, a.intent, {laid} as t from {dst}_a a join {dst}_b l using (doc_id)),
+{dst} as (select doc_id, intent, case when contains(lower(t), '{R.NO_ANSWER}') then '{R.NO_ANSWER}'
+   else {strip_sql("case when intent in ('medical', 'book') and not starts_with(t, '### ') then '### Direct Answer' || chr(10) || t else t end")}
+   end as formatted from {dst}_c)"""
 
 
-@query("format_response")
+@query("format_response", f"with {CHAT}, {formatted_sql('chat', 'done')} select doc_id, intent, formatted as result from done")
 def format_response(spark, sf_dir):
     return chat(spark, sf_dir).select("doc_id", "intent", R.format_response(
         F.col("text"), F.col("intent")).alias("result"))
