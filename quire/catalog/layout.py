@@ -218,7 +218,7 @@ def chunk_overlap(spark, sf_dir):
 @query("chunk_overlap_space", f"""with {LINE_CHUNKS}, {overlap_sql('line_chunks', 'o', 'chr(10)')},
   {overlap_sql('o', 'p', "' '")} select doc_id, chunk_no, text from p""")
 def chunk_overlap_space(spark, sf_dir):
-    return C.chunk_overlap(C.chunk_overlap(line_chunks(spark, sf_dir)), sep=" ")
+    return C.chunk_overlap(line_chunks(spark, sf_dir), ("\n", " "))
 
 
 @query("overlap_sizes", f"""with {LINE_CHUNKS} select doc_id, chunk_no,

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions.text import strip
-from quire.operators.ordered import block_of, dense_number, neighbours, running
+from quire.operators.ordered import BLOCK, block_of, dense_number, drop_halo, neighbours, running, with_halo
 from quire.session import materialise
 
 DOC = ["doc_id"]
@@ -114,6 +114,21 @@ def _fill_short(pieces: DataFrame, limit: int) -> DataFrame:
         F.posexplode(texts).alias("part_no", "text")).withColumn("part_no", F.col("part_no").cast("long"))
 
 
+def _count_short(pieces: DataFrame, limit: int) -> DataFrame:
+    """How many chunks each section makes, from lengths alone."""
+    lengths = F.transform(F.array_sort(F.collect_list(F.struct("unit_no", "piece_len"))), lambda u: u["piece_len"])
+
+    def step(acc, size):
+        start_new = acc["open"] >= limit
+        return F.struct(F.when(start_new, size).otherwise(acc["open"] + size).alias("open"),
+                        (acc["n"] + start_new.cast("int")).alias("n"))
+
+    first = F.struct(F.lit(0).alias("open"), F.lit(1).alias("n"))
+    return pieces.groupBy("doc_id", "section").agg(
+        lengths.alias("_l"), F.min(F.coalesce("section_page", "page")).alias("page_physical")).select(
+        "doc_id", "page_physical", F.aggregate("_l", first, step, lambda acc: acc["n"]).alias("n"))
+
+
 def _block_maps(limit: int):
     def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
         lengths = pdf.sort_values("unit_no")["piece_len"].to_numpy(np.int64)
@@ -195,29 +210,34 @@ def chunk_accumulate(units: DataFrame, limit: int = MAX_CHARS, short: int = SHOR
     long_sections = pieces.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(
         F.col("_n") > short).drop("_n")
     if long_sections.isEmpty():
-        return chunk_page_sort(_fill_short(pieces, limit))
+        return chunk_page_sort(_fill_short(pieces, limit), _count_short(pieces, limit))
     parts = _fill_short(pieces.join(long_sections, keys, "left_anti"), limit).unionByName(
         _fill_long(materialise(pieces.join(long_sections, keys, "left_semi")), limit, pages))
     return chunk_page_sort(parts)
 
 
-def chunk_page_sort(parts: DataFrame) -> DataFrame:
+def chunk_page_sort(parts: DataFrame, census: DataFrame | None = None) -> DataFrame:
     """Stable order by page (a missing page counts as 0), numbered without gaps."""
     page = F.coalesce("page_physical", F.lit(0))
     return dense_number(parts, DOC, F.floor(page / PAGES_PER_BLOCK).cast("long"),
-                        [page, F.col("section"), F.col("part_no")], "chunk_no").select(
+                        [page, F.col("section"), F.col("part_no")], "chunk_no", census=census).select(
         "doc_id", "chunk_no", "chapter", "subheading", "page_physical", "text")
 
 
-def chunk_overlap(chunks: DataFrame, sep: str = "\n", chars: int = OVERLAP, keys: Sequence[str] = DOC) -> DataFrame:
-    """Put the end of the previous chunk before and the start of the next one behind each text."""
+def chunk_overlap(chunks: DataFrame, seps: Sequence[str] = ("\n",), chars: int = OVERLAP,
+                  keys: Sequence[str] = DOC, size: int = BLOCK) -> DataFrame:
+    """Put the end of the previous chunk before and the start of the next one behind each text.
+
+    Several separators mean several passes, each over the texts the one before made. As every
+    block comes with one more edge row per pass, all passes share one shuffle and one sort.
+    """
+    near, w = with_halo(chunks, keys, "chunk_no", size, halo=len(seps))
     t = F.col("text")
-    near = neighbours(chunks, keys, "chunk_no", lags={"_pre": F.right(t, F.lit(chars))},
-                      leads={"_post": F.left(t, F.lit(chars))})
-    text = F.concat(
-        F.coalesce(F.concat("_pre", F.lit(sep)), F.lit("")), t,
-        F.coalesce(F.concat(F.lit(sep), "_post"), F.lit("")))
-    return near.withColumn("text", text).drop("_pre", "_post")
+    for sep in seps:
+        near = near.withColumn("text", F.concat(
+            F.coalesce(F.concat(F.lag(F.right(t, F.lit(chars))).over(w), F.lit(sep)), F.lit("")), t,
+            F.coalesce(F.concat(F.lit(sep), F.lead(F.left(t, F.lit(chars))).over(w)), F.lit(""))))
+    return drop_halo(near)
 
 
 def overlap_sizes(chunks: DataFrame, chars: int = OVERLAP, keys: Sequence[str] = DOC) -> DataFrame:

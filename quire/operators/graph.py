@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.operators.ordered import first_rows
+from quire.session import materialise
 
 MAX_EXPANDED = 50
 SEEDS = 5
@@ -78,23 +79,27 @@ def emotion_left_join(chunks: DataFrame, edges: DataFrame, emotion: str | None =
 
 
 def both_ways(links: DataFrame) -> DataFrame:
-    """Chunk links as undirected steps."""
+    """Chunk links as undirected steps ``a, b``, with the document where the links have one."""
+    doc = [F.col("doc_id")] if "doc_id" in links.columns else []
     return links.select(F.inline(F.array(
-        F.struct(F.col("src").alias("a"), F.col("dst").alias("b")),
-        F.struct(F.col("dst").alias("a"), F.col("src").alias("b"))))).distinct()
+        F.struct(F.col("src").alias("a"), F.col("dst").alias("b"), *doc),
+        F.struct(F.col("dst").alias("a"), F.col("src").alias("b"), *doc))))
 
 
 def two_hops(seeds: DataFrame, links: DataFrame) -> DataFrame:
     """Chunks one or two links away from each seed, the seed itself left out.
 
-    ``seeds`` has ``chunk_id`` next to grouping columns; the result adds ``near_id``. A path may
-    not use a link twice, which leaving out the seed already ensures.
+    ``seeds`` has ``chunk_id`` next to grouping columns; the result adds ``near_id`` and, where the
+    links have one, ``near_doc``. A path may not use a link twice, which leaving out the seed
+    already ensures. Seeds and first hops are small next to the links: written aside, their true
+    size lets the link table be scanned in place instead of shuffled.
     """
-    steps = both_ways(links)
+    steps = both_ways(links).withColumnsRenamed({"doc_id": "near_doc"})
+    doc = ["near_doc"] if "near_doc" in steps.columns else []
     group = list(seeds.columns)
-    one = seeds.join(steps, seeds["chunk_id"] == steps["a"]).select(*group, F.col("b").alias("near_id"))
+    one = materialise(seeds.join(steps, seeds["chunk_id"] == steps["a"]).select(*group, F.col("b").alias("near_id"), *doc))
     again = steps.withColumnsRenamed({"a": "_a", "b": "_b"})
-    two = one.join(again, one["near_id"] == again["_a"]).select(*group, F.col("_b").alias("near_id"))
+    two = one.drop("near_doc").join(again, F.col("near_id") == F.col("_a")).select(*group, F.col("_b").alias("near_id"), *doc)
     return one.unionByName(two).where(F.col("near_id") != F.col("chunk_id")).distinct()
 
 
@@ -103,30 +108,41 @@ def _carried(chunks: DataFrame) -> list[str]:
     return [c for c in ("doc_id", "chunk_id", "text") if c in chunks.columns]
 
 
-def multihop_expand(seeds: DataFrame, links: DataFrame, chunks: DataFrame, by: str = "query_id",
+def _reached(near: DataFrame, chunks: DataFrame | None) -> tuple[DataFrame, list[str]]:
+    """Hits by ``chunk_id`` with their document: from the chunk table, or from the links alone."""
+    if chunks is None:
+        return near.withColumnRenamed("near_doc", "doc_id"), ["doc_id", "chunk_id"]
+    cols = _carried(chunks)
+    return near.drop("near_doc").join(chunks.select(*cols), "chunk_id"), cols
+
+
+def multihop_expand(seeds: DataFrame, links: DataFrame, chunks: DataFrame | None = None, by: str = "query_id",
                     rank: str = "rank", n_seeds: int = SEEDS, limit: int = MAX_EXPANDED,
                     doc_filter: DataFrame | None = None) -> DataFrame:
     """Neighbours of each query's first seeds: distinct, at most ``limit`` per query (in id order),
     all with one constant score. ``doc_filter`` (``query_id, doc_id``) keeps one document."""
     start = seeds.where(F.col(rank) <= n_seeds).select(by, "chunk_id")
-    near = two_hops(start, links).select(by, F.col("near_id").alias("chunk_id")).distinct()
-    out = near.join(chunks.select(*_carried(chunks)), "chunk_id")
+    near = two_hops(start, links).drop("chunk_id").withColumnRenamed("near_id", "chunk_id").distinct()
+    out, cols = _reached(near, chunks)
     if doc_filter is not None:
         out = out.join(doc_filter, [by, "doc_id"], "left_semi")
     out = first_rows(out, [by], [F.col("chunk_id")], limit)
-    return out.select(by, *_carried(chunks), F.lit(HOP_SCORE).alias("score"),
-                      F.lit("graph_multihop").alias("source"))
+    return out.select(by, *cols, F.lit(HOP_SCORE).alias("score"), F.lit("graph_multihop").alias("source"))
 
 
-def expand_chunk_context(hits: DataFrame, links: DataFrame, chunks: DataFrame, by: str = "query_id",
+def expand_chunk_context(hits: DataFrame, links: DataFrame, chunks: DataFrame | None = None, by: str = "query_id",
                          limit: int = MAX_EXPANDED) -> DataFrame:
-    """Neighbours of each hit inside the hit's own document, at most ``limit`` per hit."""
-    here = hits.select(by, "chunk_id").distinct().join(
-        chunks.select("chunk_id", F.col("doc_id").alias("_doc")), "chunk_id").select(by, "chunk_id", "_doc")
+    """Neighbours of each hit inside the hit's own document, at most ``limit`` per hit. Without a
+    chunk table the hits bring their ``doc_id``."""
+    if chunks is None:
+        here = hits.select(by, "chunk_id", F.col("doc_id").alias("_doc")).distinct()
+    else:
+        here = hits.select(by, "chunk_id").distinct().join(
+            chunks.select("chunk_id", F.col("doc_id").alias("_doc")), "chunk_id").select(by, "chunk_id", "_doc")
     near = two_hops(here, links).withColumnRenamed("chunk_id", "seed_id").withColumnRenamed("near_id", "chunk_id")
-    out = near.join(chunks.select(*_carried(chunks)), "chunk_id").where("doc_id = _doc")
-    out = first_rows(out, [by, "seed_id"], [F.col("chunk_id")], limit)
-    return out.select(by, *_carried(chunks), F.lit(HOP_SCORE).alias("score"),
+    out, cols = _reached(near, chunks)
+    out = first_rows(out.where("doc_id = _doc"), [by, "seed_id"], [F.col("chunk_id")], limit)
+    return out.select(by, *cols, F.lit(HOP_SCORE).alias("score"),
                       F.lit("graph_multihop").alias("source")).dropDuplicates([by, "doc_id", "chunk_id"])
 
 

@@ -68,25 +68,28 @@ def line_units(spans: DataFrame) -> DataFrame:
     )
 
 
+def _size_ranking(stats: DataFrame) -> DataFrame:
+    """Per document its sizes, most frequent first, as an array: sizes have one decimal, so there
+    are few of them however long the document is. One pass over the statistics."""
+    order = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "first_seen", "size")))
+    return stats.groupBy("doc_id").agg(
+        F.transform(order, lambda x: x["size"]).alias("by_count"),
+        F.sort_array(F.collect_list("size"), asc=False).alias("by_size"))
+
+
 def style_sizes(stats: DataFrame) -> DataFrame:
     """Body is the most frequent size, subheading the second most frequent, heading the largest."""
-    top = first_rows(stats, DOC, [F.col("n").desc(), F.col("first_seen")], 2, rank="r")
-    ranked = top.groupBy("doc_id").agg(
-        F.max(F.when(F.col("r") == 1, F.col("size"))).alias("body_size"),
-        F.max(F.when(F.col("r") == 2, F.col("size"))).alias("second_size"))
-    largest = stats.groupBy("doc_id").agg(F.max("size").alias("heading_size"))
-    return ranked.join(largest, "doc_id").select(
-        "doc_id", "body_size", F.coalesce("second_size", "body_size").alias("subheading_size"), "heading_size")
+    return _size_ranking(stats).select(
+        "doc_id", F.get("by_count", F.lit(0)).alias("body_size"),
+        F.coalesce(F.get("by_count", F.lit(1)), F.get("by_count", F.lit(0))).alias("subheading_size"),
+        F.get("by_size", F.lit(0)).alias("heading_size"))
 
 
 def style_sizes_post_toc(stats: DataFrame) -> DataFrame:
     """Chapter is the largest size, subheading the next, body the most frequent; needs two sizes."""
-    by_size = first_rows(stats, DOC, [F.col("size").desc()], 2, rank="r").groupBy("doc_id").agg(
-        F.max(F.when(F.col("r") == 1, F.col("size"))).alias("chapter_size"),
-        F.max(F.when(F.col("r") == 2, F.col("size"))).alias("subheading_size"))
-    body = first_rows(stats, DOC, [F.col("n").desc(), F.col("first_seen")]).select(
-        "doc_id", F.col("size").alias("body_size"))
-    return by_size.join(body, "doc_id").where(F.col("subheading_size").isNotNull())
+    return _size_ranking(stats).where(F.size("by_size") >= 2).select(
+        "doc_id", F.get("by_size", F.lit(0)).alias("chapter_size"),
+        F.get("by_size", F.lit(1)).alias("subheading_size"), F.get("by_count", F.lit(0)).alias("body_size"))
 
 
 def style_samples(spans: DataFrame, sizes: DataFrame, n: int = 5) -> DataFrame:

@@ -3,7 +3,7 @@
 A window over ``partitionBy(doc)`` sorts each document in one task, which breaks as soon as one
 document holds a large share of the rows. The helpers here cut every key into position blocks,
 run the window per ``(key, block)``, and repair the block edges either with copied edge rows
-(:func:`neighbours`) or with a carry computed from one summary row per block (:func:`running`,
+(:func:`with_halo`, :func:`neighbours`) or with a carry computed from one summary row per block (:func:`running`,
 :func:`dense_number`).
 """
 
@@ -23,29 +23,39 @@ def block_of(pos: str | Column, size: int = BLOCK) -> Column:
     return F.floor(pos / F.lit(size)).cast("long")
 
 
-def neighbours(df: DataFrame, keys: Sequence[str], pos: str,
-               lags: Mapping[str, Column] | None = None,
-               leads: Mapping[str, Column] | None = None,
-               size: int = BLOCK) -> DataFrame:
-    """``lag(expr)`` and ``lead(expr)`` by one row over a gap-free ``pos`` starting at 0.
+def with_halo(df: DataFrame, keys: Sequence[str], pos: str, size: int = BLOCK, halo: int = 1):
+    """Rows of a gap-free ``pos`` (from 0) by block, each block with ``halo`` rows of its neighbours.
 
-    One shuffle on ``(keys, block)``; the first and last row of a block are copied to the block
-    next to it so that no row misses its neighbour.
+    Returns the rows and a window over ``(keys, block)``; rows whose ``_home`` is not their
+    ``_blk`` are the copies, to be taken out by :func:`drop_halo` at the end.
     """
-    home = block_of(pos, size)
-    p = F.col(pos) % F.lit(size)
+    halo = min(halo, size)
+    home, p = block_of(pos, size), F.col(pos) % F.lit(size)
     spread = df.withColumn("_home", home).withColumn(
         "_blk",
         F.explode(F.array_compact(F.array(
             home,
-            F.when((p == 0) & (home > 0), home - 1),
-            F.when(p == size - 1, home + 1),
+            F.when((p < halo) & (home > 0), home - 1),
+            F.when(p >= size - halo, home + 1),
         ))),
     )
-    w = W.partitionBy(*keys, "_blk").orderBy(pos)
+    return spread, W.partitionBy(*keys, "_blk").orderBy(pos)
+
+
+def drop_halo(df: DataFrame) -> DataFrame:
+    return df.where("_home = _blk").drop("_home", "_blk")
+
+
+def neighbours(df: DataFrame, keys: Sequence[str], pos: str,
+               lags: Mapping[str, Column] | None = None,
+               leads: Mapping[str, Column] | None = None,
+               size: int = BLOCK) -> DataFrame:
+    """``lag(expr)`` and ``lead(expr)`` by one row over a gap-free ``pos`` starting at 0, with one
+    shuffle on ``(keys, block)``."""
+    spread, w = with_halo(df, keys, pos, size)
     cols = {name: F.lag(expr).over(w) for name, expr in (lags or {}).items()}
     cols |= {name: F.lead(expr).over(w) for name, expr in (leads or {}).items()}
-    return spread.withColumns(cols).where("_home = _blk").drop("_home", "_blk")
+    return drop_halo(spread.withColumns(cols))
 
 
 def running(df: DataFrame, keys: Sequence[str], pos: str, *,
@@ -91,11 +101,16 @@ def running(df: DataFrame, keys: Sequence[str], pos: str, *,
 
 
 def dense_number(df: DataFrame, keys: Sequence[str], block: Column, order: Sequence[Column],
-                 out: str, start: int = 0) -> DataFrame:
-    """Gap-free numbering per key. ``block`` must be non-decreasing in ``order`` and bounded."""
+                 out: str, start: int = 0, census: DataFrame | None = None) -> DataFrame:
+    """Gap-free numbering per key. ``block`` must be non-decreasing in ``order`` and bounded.
+
+    ``census`` is a cheaper table that tells how many rows (column ``n``) there are: it has the
+    keys and what ``block`` reads. Without one the rows themselves are counted.
+    """
     base = df.withColumn("_blk", block)
     before = W.partitionBy(*keys).orderBy("_blk").rowsBetween(W.unboundedPreceding, -1)
-    offset = base.groupBy(*keys, "_blk").agg(F.count(F.lit(1)).alias("_n")).select(
+    counted = base.withColumn("n", F.lit(1)) if census is None else census.withColumn("_blk", block)
+    offset = counted.groupBy(*keys, "_blk").agg(F.sum("n").alias("_n")).select(
         *keys, "_blk", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
     here = W.partitionBy(*keys, "_blk").orderBy(*order)
     return (

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions.emotion import NEUTRAL, emotion_of, prefix
@@ -19,6 +19,8 @@ from quire.operators.ordered import first_rows
 from quire.session import materialise
 
 CONTEXT_SEEDS = 10
+KEY = ["doc_id", "chunk_id"]
+BUCKETS = 1024           # splits of a stored table by document
 META = ["chapter", "subheading", "page_label", "page_physical"]
 
 
@@ -30,10 +32,6 @@ class Corpus:
     links: DataFrame       # doc_id, src, dst
     index: S.TextIndex
 
-    @property
-    def ids(self) -> DataFrame:
-        return self.chunks.select("doc_id", "chunk_id")
-
     def filtered(self, filters: Mapping[str, object] | None) -> "Corpus":
         """Keep matching chunks everywhere, before any ranking."""
         if not filters:
@@ -46,6 +44,17 @@ class Corpus:
         return Corpus(kept, self.vectors.join(ids, "chunk_id", "left_semi"), links, index)
 
 
+def doc_bucket() -> Column:
+    return F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS)).cast("int")
+
+
+def load_corpus(spark: SparkSession, folder: str) -> Corpus:
+    """The tables as :func:`quire.plans.ingest.write_ingested` left them."""
+    def read(name: str) -> DataFrame:
+        return spark.read.parquet(f"{folder}/{name}")
+    return Corpus(read("chunks"), read("vectors"), read("links"), S.TextIndex(read("postings"), read("lengths")))
+
+
 def build_corpus(chunks: DataFrame, embed: Callable[[Column], Column] = text_embed) -> Corpus:
     """Vectors, links and inverted index of a chunk table, written once."""
     index = S.build_index(chunks)
@@ -102,15 +111,19 @@ def graph_primary(asked: DataFrame, corpus: Corpus, k: int) -> DataFrame:
 def graph_merge(asked: DataFrame, corpus: Corpus, k: int) -> DataFrame:
     """Primary hits and the neighbourhood of the first five, best score per chunk."""
     primary = materialise(graph_primary(asked, corpus, k))
-    near = G.multihop_expand(primary, corpus.links, corpus.ids)
+    near = G.multihop_expand(primary, corpus.links)
     return K.best_per_key(K.unify(primary, near), order=[F.col("leg"), F.col("rank")])
 
 
 def fetch(hits: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Texts and metadata of all hit chunks, read in one scan of the chunk table."""
-    ids = hits.select("chunk_id").distinct()
-    return materialise(chunks.join(ids, "chunk_id", "left_semi").select(
-        "chunk_id", "text", *META))
+    """Texts and metadata of all hit chunks (``doc_id, chunk_id``), read in one scan of the chunk
+    table. A stored table is split by document bucket; only buckets that hold a hit are read."""
+    ids = hits.select("doc_id", "chunk_id").distinct()
+    on = ["chunk_id"]
+    if "bucket" in chunks.columns:
+        ids, on = ids.withColumn("bucket", doc_bucket()), ["bucket", "chunk_id"]
+    ids = materialise(ids.select(*on))
+    return materialise(chunks.join(ids, on, "left_semi").select("chunk_id", "text", *META))
 
 
 def _graph_ranked(found: DataFrame, asked: DataFrame, texts: DataFrame, k: int) -> DataFrame:
@@ -133,10 +146,9 @@ def hybrid_candidates(queries: DataFrame, corpus: Corpus, initial_k: int,
     and the texts of everything looked at."""
     asked = materialise(with_concepts(queries))
     vector = materialise(vector_topk(queries, corpus, initial_k, embed))
-    around = materialise(G.expand_chunk_context(vector.where(F.col("rank") <= CONTEXT_SEEDS), corpus.links, corpus.ids))
+    around = materialise(G.expand_chunk_context(vector.where(F.col("rank") <= CONTEXT_SEEDS), corpus.links))
     graph = materialise(graph_merge(asked, corpus, initial_k))
-    texts = fetch(vector.select("chunk_id").unionByName(around.select("chunk_id")).unionByName(
-        graph.select("chunk_id")), corpus.chunks)
+    texts = fetch(vector.select(*KEY).unionByName(around.select(*KEY)).unionByName(graph.select(*KEY)), corpus.chunks)
     legs = K.unify(vector, _graph_ranked(graph, asked, texts, initial_k), around)
     return K.best_per_key(legs, order=[F.col("leg"), F.col("rank")]).drop("leg", "rank"), texts
 

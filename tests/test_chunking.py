@@ -73,11 +73,18 @@ def texts(df):
 def test_overlap(spark):
     once = C.chunk_overlap(three(spark))
     assert texts(once) == ["A\nB", "A\nB\nC", "B\nC"]
-    assert texts(C.chunk_overlap(once, sep=" ")) == ["A\nB A\nB\nC", "A\nB A\nB\nC B\nC", "A\nB\nC B\nC"]
+    assert texts(C.chunk_overlap(once, (" ",))) == texts(C.chunk_overlap(three(spark), ("\n", " "))) == ["A\nB A\nB\nC", "A\nB A\nB\nC B\nC", "A\nB\nC B\nC"]
     sizes = C.overlap_sizes(three(spark)).orderBy("chunk_no").select("overlap.*").collect()
     assert [tuple(r) for r in sizes] == [(0, 300), (300, 300), (300, 0)]
 
 
+def test_overlap_in_small_blocks(spark):
+    df = spark.createDataFrame([("d", i, f"<{i}>" * (i % 5 + 1)) for i in range(40)], "doc_id string, chunk_no long, text string")
+    want = texts(C.chunk_overlap(df, ("\n", " "), chars=7))
+    assert texts(C.chunk_overlap(df, ("\n", " "), chars=7, size=4)) == want
+    assert texts(C.chunk_overlap(C.chunk_overlap(df, ("\n",), chars=7, size=3), (" ",), chars=7, size=5)) == want
+
+
 def test_overlap_is_bounded(spark):
     df = spark.createDataFrame([("d", i, "z" * (i * 97 % 900)) for i in range(30)], "doc_id string, chunk_no long, text string")
     grown = C.chunk_overlap(df).join(df.withColumnRenamed("text", "was"), ["doc_id", "chunk_no"])

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from quire.operators import store as S
 from quire.plans.ingest import ingest_documents, write_ingested
+from quire.plans.retrieve import load_corpus, retrieve
 from quire.sources import files
 from quire.sources import views as V
 
@@ -63,6 +64,10 @@ def test_cascade_and_written_tables(spark, sf_dir, tmp_path):
     write_ingested(done, str(tmp_path))
     n = done.corpus.chunks.count()
     assert spark.read.parquet(f"{tmp_path}/chunks").count() == n == spark.read.parquet(f"{tmp_path}/vectors").count()
+    stored, asked = load_corpus(spark, str(tmp_path)), V.queries(spark, sf_dir)
+    cols = ["query_id", "rank", "chunk_id", "rerank_score"]
+    assert sorted(map(tuple, retrieve(asked, stored).select(*cols).collect())) == sorted(
+        map(tuple, retrieve(asked, done.corpus).select(*cols).collect()))
     outcome = spark.createDataFrame([("3", 0, "deleted"), ("none", 1, "document not found")], "doc_id string, pos int, outcome string")
     left = S.cascade_delete(outcome, spark.createDataFrame([("3",), ("4",)], "doc_id string"),
                             done.corpus.vectors, done.nodes, done.edges)
