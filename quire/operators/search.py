@@ -77,7 +77,8 @@ def bm25_search(query_terms: DataFrame, index: TextIndex, k: int | None = None)
     corpus = index.lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("avg_length"))
     n, avg_length = corpus.select("n").scalar(), corpus.select("avg_length").scalar()
     terms = query_terms.distinct()
-    wanted = index.postings.join(terms.select("term").distinct(), "term", "left_semi")
+    # One scan of the index: what matches is little, and is needed twice.
+    wanted = materialise(index.postings.join(terms.select("term").distinct(), "term", "left_semi"))
     frequency = wanted.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
     # Written aside, so that its true size decides between broadcast and shuffle join.
