@@ -13,7 +13,6 @@ from quire.functions.text import clean_text
 from quire.operators import chunking as C
 from quire.operators import classify as K
 from quire.operators import graph as G
-from quire.operators import layout as L
 from quire.operators import validate as X
 from quire.session import materialise
 from quire.sources import files
