@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -28,11 +29,14 @@ def local_session(app: str = "quire", cores: str = "*", shuffle_partitions: int
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a private one only where none is set."""
+    """The shared folder the cluster names. Only a local session may do without one: its
+    executors share the driver's disk, so a private folder holds whole tables."""
     folder = spark.conf.get(CHECKPOINT_KEY, None)
     if not folder:
         folder = spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError(f"set {CHECKPOINT_KEY} to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="quire-ckpt-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(folder)
