@@ -23,7 +23,7 @@ def query(sql: str | None = None):
     return add
 
 
-from quire.llm import line_chunks, sharding  # noqa: E402
+from quire.llm import line_chunks, pieces, sharding  # noqa: E402
 
 
 @query()
@@ -31,6 +31,13 @@ def op4_sharding(spark, sf_dir):
     return sharding.shard_documents(table(spark, sf_dir, "documents"), shards=24, seed=20)
 
 
+@query()
+def op7_sentencepiece(spark, sf_dir):
+    import public_tokenizers
+    return pieces.tokenize(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"),
+                           ("n_tokens", "ids_sha256", "decoded_sha256"))
+
+
 @query(line_chunks.CHUNKS_SQL)
 def op10_line_dedup(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
