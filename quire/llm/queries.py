@@ -23,7 +23,7 @@ def query(sql: str | None = None):
     return add
 
 
-from quire.llm import line_chunks, near_simhash, pieces, sharding  # noqa: E402
+from quire.llm import line_chunks, near_simhash, pieces, sharding, toxicity  # noqa: E402
 
 
 @query()
@@ -38,6 +38,11 @@ def op7_sentencepiece(spark, sf_dir):
                            ("n_tokens", "ids_sha256", "decoded_sha256"))
 
 
+@query()
+def op8_toxicity(spark, sf_dir):
+    return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query()
 def op9_simhash_dedup(spark, sf_dir):
     return near_simhash.near_duplicates(table(spark, sf_dir, "documents"))
