@@ -157,18 +157,19 @@ def _cell_links(key: np.ndarray, fp: np.ndarray, block: np.ndarray, other: np.nd
     return a, b
 
 
-def near_links(prints: DataFrame, scratch: Scratch, radius: int = RADIUS, block_rows: int = BLOCK) -> DataFrame:
+def near_links(prints: DataFrame, scratch: Scratch, radius: int = RADIUS, block_rows: int = BLOCK, keys=cells) -> DataFrame:
     """Links ``(a, b)`` between different fingerprints of the column ``fp`` that connect all within
     ``radius`` (at most 4) bits.
 
     Fingerprints meet in grid cells (see :func:`cells`) and are compared there in Arrow batches.
     Small cells return all their links; a dense cell returns one link per member, which joins the
     same members. A cell of more than ``block_rows`` members is dealt out by pairs of blocks, so
-    that no task holds more than two blocks of it.
+    that no task holds more than two blocks of it. ``keys`` gives the cells of a fingerprint; it
+    must give all fingerprints within ``radius`` one in common.
     """
     if not 0 <= radius <= RADIUS:
         raise ValueError("radius must be 0 to 4 bits")
-    rows = prints.select("fp").distinct().select("fp", F.explode(cells(F.col("fp"))).alias("key"))
+    rows = prints.select("fp").distinct().select("fp", F.explode(keys(F.col("fp"))).alias("key"))
     rows = scratch.save(rows)
     large = scratch.save(rows.groupBy("key").count().where(F.col("count") > block_rows)
                          .select("key", F.ceil(F.col("count") / block_rows).cast("int").alias("blocks")))

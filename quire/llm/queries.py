@@ -23,7 +23,28 @@ def query(sql: str | None = None):
     return add
 
 
-from quire.llm import line_chunks, near_simhash, pieces, sharding, toxicity  # noqa: E402
+from quire.llm import (  # noqa: E402
+    embed_dedup, langid, licenses, line_chunks, mixing, near_simhash, pieces, sharding, simhash, toxicity)
+
+
+@query(embed_dedup.LINKS_SQL)
+def op1_embedding_dedup(spark, sf_dir):
+    return embed_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+# Target weights of the mixture; sources not named have weight 1.
+MIXTURE = {"src0": 4, "src1": 3, "src2": 2, "src3": 2}
+
+
+@query()
+def op2_mixing(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars")
+    return mixing.mix(docs, MIXTURE, block_rows=16, seed=20)
+
+
+@query()
+def op3_langid(spark, sf_dir):
+    return langid.predict_languages(table(spark, sf_dir, "documents"))
 
 
 @query()
@@ -31,6 +52,16 @@ def op4_sharding(spark, sf_dir):
     return sharding.shard_documents(table(spark, sf_dir, "documents"), shards=24, seed=20)
 
 
+@query()
+def op5_fingerprints(spark, sf_dir):
+    return simhash.fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
+@query(licenses.SCAN_SQL)
+def op6_licenses(spark, sf_dir):
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
 @query()
 def op7_sentencepiece(spark, sf_dir):
     import public_tokenizers
