@@ -322,4 +322,4 @@ def reject_toxic(docs: DataFrame, model: Model, limit: float = 0.5, text_col: st
     from quire.llm.tables import free_names
 
     name, = free_names(docs, "score")
-    return with_toxicity(docs, model, name, text_col).where(F.col(name) < limit).select(*[docs[c] for c in docs.columns])
+    return with_toxicity(docs, model, name, text_col).where(F.col(name) < limit).drop(name)
