@@ -18,6 +18,7 @@ from quire.llm.tables import Scratch, components, free_names
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 SHINGLE, RADIUS = 4, 4
+WORK_BYTES = 1 << 20
 HALF_BITS, SEGMENTS = 32, 16
 BLOCK = 2048
 SMALL = 32
@@ -77,7 +78,7 @@ def with_fingerprint(docs: DataFrame, name: str, text_col: str = "text", size: i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             batch = batch.rename_columns([str(i) for i in range(batch.num_columns)])
-            for part in pieces(batch, str(where)):
+            for part in pieces(batch, str(where), WORK_BYTES):
                 made = pa.array(fingerprints(part.column(where), size).view(np.int64))
                 yield pa.RecordBatch.from_arrays([*part.columns, made], names)
 
