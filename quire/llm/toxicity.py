@@ -23,6 +23,8 @@ SPAN, DECAY = 8, 0.6
 WINDOW, STRIDE = 16, 8
 OPEN, CLOSE, SPACE = 30, 31, 255
 PENALTY = 1e-3
+WORK_BYTES = 1 << 20
+COUNT_PARTS = 16
 
 
 def alphabet() -> np.ndarray:
@@ -224,7 +226,7 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, rows: int = TRAIN_
 
     def count(batches):
         for batch in batches:
-            for part in pieces(batch, "text"):
+            for part in pieces(batch, "text", WORK_BYTES):
                 row, which, kinds = words(part.column("text"), symbols.value)
                 once = np.unique(np.stack((row, which)), axis=1) if len(row) else np.zeros((2, 0), np.int64)
                 bad = part.column("toxic").to_numpy(zero_copy_only=False)[once[0]] == 1
@@ -241,7 +243,8 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, rows: int = TRAIN_
     counted = sample.mapInArrow(count, "word binary, pos bigint, neg bigint").groupBy("word").agg(
         F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).where("pos + neg > 1")
     odds = F.log((F.col("pos") + 0.1) / (n_pos + 0.2)) - F.log((F.col("neg") + 0.5) / (n_neg + 1.0))
-    counted = counted.withColumn("odds", odds * F.sqrt(F.col("pos"))).persist()
+    counted = counted.withColumn("odds", odds * F.sqrt(F.col("pos")))
+    counted = counted.coalesce(COUNT_PARTS).persist()  # words of a bounded sample; each part sends its best to the driver
     suspects = counted.orderBy(F.desc("odds"), "word").limit(SUSPECTS).toPandas()
     common = counted.orderBy(F.desc("neg"), "word").limit(SUSPECTS).toPandas()
     other = counted.where("neg > 0").orderBy(F.xxhash64("word")).limit(4 * SUSPECTS).toPandas()
@@ -277,7 +280,7 @@ def _worst(sample: DataFrame, model: Model) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for part in pieces(batch, "text"):
+            for part in pieces(batch, "text", WORK_BYTES):
                 best, n, word = _best(shared.value, part.column("text"))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(best), pa.array(n), word.cast(pa.binary()), part.column("toxic").cast(pa.int32())],
@@ -297,7 +300,7 @@ def with_toxicity(docs: DataFrame, model: Model, name: str = "score", text_col:
     def run(batches):
         for batch in batches:
             batch = batch.rename_columns([str(i) for i in range(batch.num_columns)])
-            for part in pieces(batch, str(where)):
+            for part in pieces(batch, str(where), WORK_BYTES):
                 best, n, _ = _best(shared.value, part.column(where))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(shared.value.score(best, n))], names)
 
