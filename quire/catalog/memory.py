@@ -51,12 +51,12 @@ def qa_window(spark, sf_dir):
 
 
 LAST = """last_said as (select user_id, thread_id, coalesce(arg_max(content, seq) filter (role = 'assistant'), '') as last_answer
-  from messages where seq % 1000 <> 1 group by 1, 2)"""
+  from messages group by 1, 2)"""
 
 
 @query("last_assistant", f"with {I.MESSAGES}, {LAST} select * from last_said")
 def last_assistant(spark, sf_dir):
-    return M.last_assistant(V.messages(spark, sf_dir).where("seq % 1000 <> 1"))
+    return M.last_assistant(V.messages(spark, sf_dir))
 
 
 @query("clear_memory", f"""with {I.MESSAGES}, clears as (select user_id, thread_id, seq from messages where seq % 1000 = 3 and seq % 7 < 4),
@@ -99,12 +99,12 @@ def memory_export(spark, sf_dir):
     return out.withColumn("entries", F.array_join(F.transform("entries", lambda e: F.concat_ws(":", e["label"], e["content"])), "|"))
 
 
-ASKS = """asks as (select user_id, thread_id, seq, content as query from messages where role = 'user' and seq % 1000 < 3
+ASKS = """asks as (select user_id, thread_id, seq, content as query from messages where role = 'user'
   union all select 'x', 'thread_x' || p_partkey, p_partkey, p_name from part)"""
 
 
 def asks(spark, sf_dir):
-    m = V.messages(spark, sf_dir).where("role = 'user' and seq % 1000 < 3").select(
+    m = V.messages(spark, sf_dir).where("role = 'user'").select(
         "user_id", "thread_id", "seq", F.col("content").alias("query"))
     p = table(spark, sf_dir, "part").select(F.lit("x").alias("user_id"), F.concat(F.lit("thread_x"), "p_partkey").alias("thread_id"),
                                             F.col("p_partkey").alias("seq"), F.col("p_name").alias("query"))

@@ -39,14 +39,15 @@ def vector_normalize(spark, sf_dir):
         "vec_id", F.col("pos").cast("long").alias("pos"), F.round("value", 6).alias("value"))
 
 
-@query("distance_to_score", """select vec_id, label, round(case label % 4 when 0 then 1 - d when 1 then 1 / (1 + d)
-  when 2 then d else 1 - d end, 6) as score from (select vec_id, label, abs(embedding[1])::double d from embeddings)""")
+@query("distance_to_score", """select vec_id, label, pos - 1 as pos, round(case label % 4 when 0 then 1 - d when 1 then 1 / (1 + d)
+  when 2 then d else 1 - d end, 6) as score from (select vec_id, label, pos, abs(embedding[pos])::double d
+  from (select *, unnest(generate_series(1, len(embedding))) as pos from embeddings))""")
 def distance_to_score(spark, sf_dir):
     m = F.col("label") % 4
     metric = F.when(m == 0, "cosine").when(m == 1, "l2").when(m == 2, "ip").otherwise("other")
-    d = F.abs(F.element_at("embedding", 1)).cast("double")
-    return table(spark, sf_dir, "embeddings").select(
-        "vec_id", "label", F.round(VF.distance_to_score(d, metric), 6).alias("score"))
+    d = F.abs(F.col("component")).cast("double")
+    return table(spark, sf_dir, "embeddings").select("vec_id", "label", F.posexplode("embedding").alias("pos", "component")).select(
+        "vec_id", "label", F.col("pos").cast("long").alias("pos"), F.round(VF.distance_to_score(d, metric), 6).alias("score"))
 
 
 @query("knn_join", f"""with {I.QUERY_VECTORS}, {I.CHUNK_VECTORS}, s as (select query_id, doc_id, chunk_id,

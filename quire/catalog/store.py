@@ -101,35 +101,45 @@ def ingest_batch_summary(spark, sf_dir):
 
 
 VEC_VERSIONS = I.CHUNK_VECTORS + """,
-vectors as (select doc_id || '_' || chunk_id as id, doc_id, chunk_id, embedding[1] as head, vec_id as version from chunk_vectors),
+vectors as (select doc_id || '_' || chunk_id as id, doc_id, chunk_id, embedding, vec_id as version from chunk_vectors),
 vec_versions as (select * from vectors union all
-  select id, doc_id, chunk_id, -head, version + 1000000 from vectors where version % 7 = 0),
+  select id, doc_id, chunk_id, list_transform(embedding, lambda x: -x), version + 1000000 from vectors where version % 7 = 0),
 vec_current as (select * from (select *, row_number() over (partition by id order by version desc) r from vec_versions) where r = 1)"""
 
 
 def vectors(spark, sf_dir):
     return V.chunk_vectors(spark, sf_dir).select(
         F.concat_ws("_", "doc_id", "chunk_id").alias("id"), "doc_id", "chunk_id",
-        F.element_at("embedding", 1).alias("head"), F.col("vec_id").alias("version"))
+        "embedding", F.col("vec_id").alias("version"))
+
+
+VEC_VALUES = """select id, doc_id, chunk_id, version, pos - 1 as pos, embedding[pos]::double as value
+  from (select *, unnest(generate_series(1, len(embedding))) as pos from {})"""
+
+
+def vec_values(v):
+    """One row per component of the stored vectors."""
+    return v.select("id", "doc_id", "chunk_id", "version", F.posexplode("embedding").alias("pos", "value")).select(
+        "id", "doc_id", "chunk_id", "version", F.col("pos").cast("long").alias("pos"), F.col("value").cast("double").alias("value"))
 
 
 def vec_current(spark, sf_dir):
     v = vectors(spark, sf_dir)
-    new = v.where(F.col("version") % 7 == 0).withColumns({"head": -F.col("head"), "version": F.col("version") + 1000000})
+    new = v.where(F.col("version") % 7 == 0).withColumns({"embedding": F.transform("embedding", lambda x: -x), "version": F.col("version") + 1000000})
     return S.upsert(v, new, ["id"], "version")
 
 
-@query("vector_upsert", f"with {VEC_VERSIONS} select id, doc_id, chunk_id, head, version from vec_current")
+@query("vector_upsert", f"with {VEC_VERSIONS} {VEC_VALUES.format('vec_current')}")
 def vector_upsert(spark, sf_dir):
-    return vec_current(spark, sf_dir)
+    return vec_values(vec_current(spark, sf_dir))
 
 
-@query("vector_delete", f"""with {VEC_VERSIONS} select id, doc_id, chunk_id, head, version from vec_current
+@query("vector_delete", f"""with {VEC_VERSIONS} {VEC_VALUES.format('vec_current')}
   where doc_id not in (select 'd' || n_nationkey from nation where n_regionkey = 1)""")
 def vector_delete(spark, sf_dir):
     ids = table(spark, sf_dir, "nation").where("n_regionkey = 1").select(
         F.concat(F.lit("d"), "n_nationkey").alias("doc_id"))
-    return S.delete(vec_current(spark, sf_dir), ids).select("id", "doc_id", "chunk_id", "head", "version")
+    return vec_values(S.delete(vec_current(spark, sf_dir), ids))
 
 
 RAW_IDS = """raw_ids as (select doc_id as pos, case doc_id % 5 when 0 then '  ' when 1 then '  ' || k || ' '

@@ -140,11 +140,9 @@ def confidence_sql(src: str, key: str) -> str:
 BAND = "case when score >= 40 then 'HIGH' when score >= 20 then 'MEDIUM' else 'LOW' end"
 
 
-@query("toc_confidence", f"""with {ENTRIES}, e as (select *, doc_id || '/' || page_index as page_key from entries
-  where not (level = 'chapter' and page_index % 2 = 0)) select *, {BAND} as level from {confidence_sql('e', 'page_key')}""")
+@query("toc_confidence", f"""with {ENTRIES}, e as (select *, doc_id || '/' || page_index as page_key from entries ) select *, {BAND} as level from {confidence_sql('e', 'page_key')}""")
 def toc_confidence(spark, sf_dir):
     e = T.toc_entries(T.toc_rows(V.toc_blocks(spark, sf_dir)))
-    e = e.where(~((F.col("level") == "chapter") & (F.col("page_index") % 2 == 0)))
     return T.toc_confidence(e.withColumn("page_key", F.concat_ws("/", "doc_id", "page_index")), "page_key")
 
 

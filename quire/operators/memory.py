@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from quire.functions.text import strip
-from quire.operators.ordered import block_of, first_rows, running
+from quire.operators.ordered import block_of, first_rows, join_null_safe, running
 
 THREAD = ["user_id", "thread_id"]
 STM_MESSAGES = 20
@@ -146,7 +146,7 @@ def trailing_hour_limit(events: DataFrame, limit: int = 3, window_us: int = HOUR
     per_slot = e.groupBy("user_id", "_slot").agg(F.count(F.lit(1)).alias("_n"))
     whole = per_slot.select("user_id", "_slot", F.coalesce(F.sum("_n").over(
         W.partitionBy("user_id").orderBy("_slot").rangeBetween(-(slots - 1), -1)), F.lit(0)).alias("_whole"))
-    out = near.join(whole, ["user_id", "_slot"]).withColumn("recent", F.col("_near") + F.col("_whole") - 1)
+    out = join_null_safe(near, whole, ["user_id", "_slot"]).withColumn("recent", F.col("_near") + F.col("_whole") - 1)
     return out.withColumn("blocked", F.col("recent") >= limit).select(*events.columns, "recent", "blocked")
 
 

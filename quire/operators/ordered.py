@@ -58,6 +58,13 @@ def neighbours(df: DataFrame, keys: Sequence[str], pos: str,
     return drop_halo(spread.withColumns(cols))
 
 
+def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on ``keys`` where null equals null; the keys are those of ``left``."""
+    right = right.withColumnsRenamed({k: f"_same_{k}" for k in keys})
+    same = [F.col(k).eqNullSafe(F.col(f"_same_{k}")) for k in keys]
+    return left.join(right, same, how).drop(*[f"_same_{k}" for k in keys])
+
+
 def running(df: DataFrame, keys: Sequence[str], pos: str, *,
             sums: Mapping[str, Column] | None = None,
             lasts: Mapping[str, Column] | None = None,
@@ -90,7 +97,7 @@ def running(df: DataFrame, keys: Sequence[str], pos: str, *,
         | {f"_l_{n}": F.last(f"_v_{n}", ignorenulls=True).over(here) for n in lasts}
         | {f"_l_{n}": F.max(f"_v_{n}").over(here) for n in maxes}
     )
-    out = local.join(carry, [*keys, "_blk"], "left")
+    out = join_null_safe(local, carry, [*keys, "_blk"], "left")
     zero = F.lit(0)
     out = out.withColumns(
         {n: F.coalesce(F.col(f"_p_{n}"), zero) + F.coalesce(F.col(f"_l_{n}"), zero) for n in sums}
@@ -114,8 +121,7 @@ def dense_number(df: DataFrame, keys: Sequence[str], block: Column, order: Seque
         *keys, "_blk", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
     here = W.partitionBy(*keys, "_blk").orderBy(*order)
     return (
-        base.withColumn("_rn", F.row_number().over(here))
-        .join(offset, [*keys, "_blk"])
+        join_null_safe(base.withColumn("_rn", F.row_number().over(here)), offset, [*keys, "_blk"])
         .withColumn(out, (F.col("_rn") + F.col("_off") + F.lit(start - 1)).cast("long"))
         .select(*df.columns, out)
     )

@@ -46,3 +46,18 @@ def test_first_rows_limits_before_the_shuffle(data):
     assert out.groupBy("k").count().agg(F.max("count")).first()[0] == 3
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan and "Partial" in plan
+
+
+def test_null_keys_keep_their_rows(spark):
+    from pyspark.sql import functions as F
+
+    from quire.operators.memory import trailing_hour_limit
+    from quire.operators.ordered import dense_number, running
+
+    rows = spark.createDataFrame([(None, 0, 1), (None, 1, 1), (None, 2, 1), ("a", 0, 1)], "k string, pos long, v long")
+    got = dense_number(rows, ["k"], F.floor(F.col("pos") / 2).cast("long"), [F.col("pos")], "n", start=1)
+    assert sorted((r.k or "", r.n) for r in got.collect()) == [("", 1), ("", 2), ("", 3), ("a", 1)]
+    got = running(rows, ["k"], "pos", sums={"s": F.col("v")}, size=2)
+    assert sorted((r.k or "", r.s) for r in got.collect()) == [("", 1), ("", 2), ("", 3), ("a", 1)]
+    events = spark.sql("select id as event_id, if(id = 0, 7, null) as user_id, timestamp'2024-01-01 10:00:00' as ts from range(3)")
+    assert sorted(r.recent for r in trailing_hour_limit(events).collect()) == [0, 1, 1]
