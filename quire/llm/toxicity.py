@@ -61,7 +61,7 @@ def words(texts: pa.Array, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     run = np.cumsum(~same) - 1
     spelled = (np.bincount(run, minlength=1)[run] >= 3) if len(run) else single
     head = ~(spelled & same)
-    last = np.append(head[1:], True)
+    last = np.append(head[1:], True)[:len(head)]
     begin, end, row = begin[head], end[last], row[head]
     letters = np.flatnonzero((sym > 0) & (sym < OPEN))
     low, high = np.searchsorted(letters, begin), np.searchsorted(letters, end)
