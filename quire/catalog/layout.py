@@ -131,7 +131,7 @@ def page_band_filter(spark, sf_dir):
 
 
 @query("line_units", f"""with {I.SPLIT_SPANS} select * from (select doc_id, page, line_no,
-  {strip_sql("string_agg(text, '' order by span_no)")} as text, round(avg(round(size, 1)), 1) as font_size
+  {strip_sql("string_agg(text, '' order by span_no)")} as text, round_even(avg(round_even(size, 1)), 1) as font_size
   from split_spans group by 1, 2, 3) where text <> ''""")
 def line_units(spark, sf_dir):
     return L.line_units(V.split_spans(spark, sf_dir))

@@ -119,7 +119,7 @@ def metadata_filter(spark, sf_dir):
 
 
 @query("retrieval_stats", f"""with {CAND} select query_id, count(*) result_count, count(distinct doc_id) unique_document_count,
-  round(avg(score), 6) avg_score, max(score) max_score, min(score) min_score from best group by 1""")
+  round_even(avg(score), 6) avg_score, round_even(max(score), 6) max_score, round_even(min(score), 6) min_score from best group by 1""")
 def retrieval_stats(spark, sf_dir):
     return K.retrieval_stats(best_per_key(spark, sf_dir))
 
@@ -176,11 +176,12 @@ scoped as (select * from emo),
 toks as (select chunk_id, doc_id, emotion, {tokens_sql('text')} w from emo),
 lens as (select count(*) n, avg(len(w)) avgdl from toks),
 postings as (select chunk_id, doc_id, emotion, term, dl, count(*) tf from (
-   select chunk_id, doc_id, emotion, len(w) dl, unnest(w) term from toks where chunk_id in (select chunk_id from scoped)) where term in (select term from qterms) group by 1, 2, 3, 4, 5),
+   select chunk_id, doc_id, emotion, len(w) dl, unnest(w) term from toks) where term in (select term from qterms) group by 1, 2, 3, 4, 5),
 dfs as (select term, count(*) df from postings group by 1),
 bm as (select query_id, doc_id, chunk_id, any_value(emotion) emotion, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2
     / (tf + 1.2 * (1 - 0.75 + 0.75 * dl / avgdl))), 6) score
-  from postings join dfs using (term) join qterms using (term), lens group by 1, 2, 3),
+  from postings join dfs using (term) join qterms using (term), lens
+  where chunk_id in (select chunk_id from scoped) group by 1, 2, 3),
 ft as (select query_id, doc_id, chunk_id, emotion, score, cast(rank as integer) rank from (
   select bm.*, row_number() over (partition by query_id order by score desc, chunk_id) rank
   from bm join asked using (query_id) where query_emotion is null or query_emotion = bm.emotion))"""

@@ -215,7 +215,7 @@ def frequency_min_count(spark, sf_dir):
     return Q.min_frequency(counts(spark, sf_dir), 100)
 
 
-@query("frequency_normalize", f"with {VALUES} select value, round(n / (select sum(n) from vals)::double, 4) as share from vals")
+@query("frequency_normalize", f"with {VALUES} select value, round_even(n / (select sum(n) from vals)::double, 4) as share from vals")
 def frequency_normalize(spark, sf_dir):
     return Q.normalize(counts(spark, sf_dir))
 

@@ -100,7 +100,7 @@ _scalar("nfkc", R.nfkc, nfkc_sql("text"))
 _scalar("remove_control_chars", R.remove_control_chars, control_sql("text"))
 _scalar("clean_spacing", R.clean_spacing, spacing_sql("text"))
 _scalar("ocr_confidence", T.ocr_confidence,
-        f"case when {strip_sql('text')} = '' then 0.0::double else round(least(1.0::double, "
+        f"case when {strip_sql('text')} = '' then 0.0::double else round_even(least(1.0::double, "
         f"length(regexp_replace(text, '[^\\p{{L}}{SP}]', '', 'g')) / greatest(length(text), 1)::double), 2) end")
 
 

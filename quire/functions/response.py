@@ -31,6 +31,7 @@ CHATTER = (
     r"|to answer (?:the|your) question"
     rf"|as stated in).*?[:\-,]?[{SPACE}]*\n*"
 )
+# What counts as a markdown link and as a raw address.
 MD_LINK = rf"\[([^\]]+)\]\((https?://[^{SPACE})]+)\)"
 URL_CHARS = r"[a-zA-Z0-9\-._~:/?#\[\]@!$&'()*+,;=%]+"
 RAW_URL = rf"(?<!\]\()(https?://{URL_CHARS})"

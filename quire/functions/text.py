@@ -118,10 +118,10 @@ def drop_null_fields(m: Column) -> Column:
 
 
 def ocr_confidence(c: Column) -> Column:
-    """Share of letters and white space, two decimals; 0 for blank text."""
+    """Share of letters and white space, two decimals, ties to even; 0 for blank text."""
     good = F.length(F.regexp_replace(c, rf"[^\p{{L}}{SPACE}]", ""))
     share = F.least(F.lit(1.0), good / F.greatest(F.length(c), F.lit(1)))
-    return F.when(strip(c) == "", F.lit(0.0)).otherwise(F.round(share, 2))
+    return F.when(strip(c) == "", F.lit(0.0)).otherwise(F.bround(share, 2))
 
 
 def short_text(c: Column, limit: int = 300) -> Column:

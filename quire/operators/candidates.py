@@ -96,8 +96,8 @@ def retrieval_stats(df: DataFrame) -> DataFrame:
     return df.groupBy("query_id").agg(
         F.count(F.lit(1)).alias("result_count"),
         F.countDistinct(F.when(F.col("doc_id") != "", F.col("doc_id"))).alias("unique_document_count"),
-        F.round(F.avg("score"), 6).alias("avg_score"), F.round(F.max("score"), 6).alias("max_score"),
-        F.round(F.min("score"), 6).alias("min_score"))
+        F.bround(F.avg("score"), 6).alias("avg_score"), F.bround(F.max("score"), 6).alias("max_score"),
+        F.bround(F.min("score"), 6).alias("min_score"))
 
 
 def unify(*parts: DataFrame) -> DataFrame:

@@ -36,6 +36,6 @@ def min_frequency(counts: DataFrame, least: int) -> DataFrame:
 
 
 def normalize(counts: DataFrame) -> DataFrame:
-    """Share of each value, four decimals."""
+    """Share of each value, four decimals, ties to even."""
     total = counts.agg(F.sum("n")).scalar()
-    return counts.select("value", F.round(F.col("n") / total, 4).alias("share"))
+    return counts.select("value", F.bround(F.col("n") / total, 4).alias("share"))

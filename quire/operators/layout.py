@@ -19,7 +19,7 @@ def _position(df: DataFrame):
 
 def text_spans(spans: DataFrame, *, max_pages: int | None = None, after_page: DataFrame | None = None) -> DataFrame:
     """Non-blank spans with rounded size: of the first pages, or of the pages from a start page on."""
-    s = spans.where(strip(F.col("text")) != "").withColumn("size", F.round("size", 1))
+    s = spans.where(strip(F.col("text")) != "").withColumn("size", F.bround("size", 1))
     if max_pages is not None:
         s = s.where(F.col("page") <= max_pages)
     if after_page is not None:
@@ -40,14 +40,18 @@ def band_limits(*, points: float | None = None, share: float | None = None):
     return (F.lit(points), h - points) if points is not None else (h * share, h * (1 - share))
 
 
-def header_footer_detect(spans: DataFrame, max_pages: int = 20, band: float = 80.0) -> DataFrame:
-    """Lower-case band texts seen at least ``max(3, max_pages // 2)`` times in a document."""
+def header_footer_detect(spans: DataFrame, max_pages: int | None = 20, band: float = 80.0) -> DataFrame:
+    """Lower-case band texts seen on half of the first ``max_pages`` pages of a document, and at least
+    three times. Without ``max_pages`` all pages are read, and half of the last page's number counts."""
     top, bottom = band_limits(points=band)
-    s = text_spans(spans, max_pages=max_pages).where((F.col("y0") < top) | (F.col("y1") > bottom))
-    return (
-        s.groupBy("doc_id", F.lower(strip(F.col("text"))).alias("line_key"))
-        .agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= max(3, max_pages // 2))
-    )
+    s = text_spans(spans, max_pages=max_pages)
+    seen = s.where((F.col("y0") < top) | (F.col("y1") > bottom)).groupBy(
+        "doc_id", F.lower(strip(F.col("text"))).alias("line_key")).agg(F.count(F.lit(1)).alias("n"))
+    if max_pages is not None:
+        return seen.where(F.col("n") >= max(3, max_pages // 2))
+    pages = s.groupBy("doc_id").agg(F.max("page").alias("_pages"))
+    return seen.join(pages, "doc_id").where(
+        (F.col("n") >= 3) & (F.col("n") >= F.floor(F.col("_pages") / 2))).drop("_pages")
 
 
 def page_band_filter(blocks: DataFrame, share: float = 0.2) -> DataFrame:
@@ -56,13 +60,13 @@ def page_band_filter(blocks: DataFrame, share: float = 0.2) -> DataFrame:
 
 
 def line_units(spans: DataFrame) -> DataFrame:
-    """Spans of a line joined in order; the line's size is the mean span size, one decimal."""
+    """Spans of a line joined in order; the line's size is the mean span size, one decimal, ties to even."""
     return (
         spans.groupBy("doc_id", "page", "line_no")
         .agg(
             strip(F.array_join(F.transform(
                 F.array_sort(F.collect_list(F.struct("span_no", "text"))), lambda x: x["text"]), "")).alias("text"),
-            F.round(F.avg(F.round("size", 1)), 1).alias("font_size"),
+            F.bround(F.avg(F.bround("size", 1)), 1).alias("font_size"),
         )
         .where("text <> ''")
     )
@@ -123,8 +127,9 @@ def unit_position():
     return F.shiftleft(F.col("page").cast("long"), 24) + F.col("line_no")
 
 
-def styled_units(spans: DataFrame, max_pages: int = 20) -> DataFrame:
-    """Lines of all pages, without running headers, typed by size, with their position."""
+def styled_units(spans: DataFrame, max_pages: int | None = 20) -> DataFrame:
+    """Lines of all pages, without running headers, typed by size, with their position. Headers and
+    sizes are learned from the first ``max_pages`` pages, or from all of them without that."""
     lines = line_units(spans)
     running_heads = header_footer_detect(spans, max_pages).select("doc_id", "line_key")
     kept = lines.withColumn("line_key", F.lower("text")).join(

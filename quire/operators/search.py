@@ -49,9 +49,11 @@ def fulltext_terms(concepts: Column) -> Column:
 @dataclass(frozen=True)
 class TextIndex:
     """Inverted index as two tables: ``postings(term, chunk_id, doc_id, emotion, tf, length)`` and
-    ``lengths(chunk_id, length)``."""
+    ``lengths(chunk_id, length)``. With ``within(chunk_id)`` only those chunks are found; their scores
+    are those of the whole index."""
     postings: DataFrame
     lengths: DataFrame
+    within: DataFrame | None = None
 
 
 def build_index(chunks: DataFrame) -> TextIndex:
@@ -85,7 +87,10 @@ def bm25_search(query_terms: DataFrame, index: TextIndex, k: int | None = None)
     weighted = materialise(terms.join(frequency.select("term", idf.alias("idf")), "term"))
     tf = F.col("tf")
     part = tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("length") / avg_length))
-    by_chunk = wanted.select("term", "doc_id", "chunk_id", "emotion", part.alias("part")).repartition("chunk_id")
+    by_chunk = wanted.select("term", "doc_id", "chunk_id", "emotion", part.alias("part"))
+    if index.within is not None:
+        by_chunk = by_chunk.join(index.within.select("chunk_id"), "chunk_id", "left_semi")
+    by_chunk = by_chunk.repartition("chunk_id")
     met = by_chunk.join(weighted, "term")
     if "query_emotion" in terms.columns:
         met = met.where(F.col("query_emotion").isNull() | (F.col("emotion") == F.col("query_emotion")))

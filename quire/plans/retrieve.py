@@ -39,8 +39,7 @@ class Corpus:
         kept = K.metadata_filter(self.chunks, filters)
         ids = kept.select("chunk_id")
         links = G.link_endpoint_check(self.links, kept)
-        index = replace(self.index, postings=self.index.postings.join(ids, "chunk_id", "left_semi")
-                        .select(*self.index.postings.columns))
+        index = replace(self.index, within=ids)
         return Corpus(kept, self.vectors.join(ids, "chunk_id", "left_semi"), links, index)
 
 

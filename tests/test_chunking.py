@@ -95,3 +95,17 @@ def test_next_links_skip_gaps_and_copies(spark):
     df = spark.createDataFrame([("d", 0, "a"), ("d", 5, "b"), ("d", 9, "b"), ("d", 5000, "c"), ("e", 1, "x")],
                                "doc_id string, chunk_no long, chunk_id string")
     assert sorted((r.src, r.dst) for r in C.next_links(df).collect()) == [("a", "b"), ("b", "c")]
+
+
+def test_sizes_round_ties_to_even_and_headers_of_whole_documents(spark):
+    from quire.operators import layout as L
+    rows = [("d", p, n, s, t, size, y, y + 12.0, 792.0) for p in range(1, 31) for n, s, t, size, y in [
+        (0, 0, "Head", 10.25, 10.0), (1, 0, f"body {p} ", 10.25, 300.0), (1, 1, "end", 10.5, 300.0)]]
+    spans = spark.createDataFrame(rows, "doc_id string, page int, line_no int, span_no int, text string, size double, "
+                                        "y0 double, y1 double, page_height double")
+    assert {r["size"]: r.n for r in L.font_stats(spans, None).collect()} == {10.2: 60, 10.5: 30}
+    lines = {r.text: r.font_size for r in L.line_units(spans).where("page = 1").collect()}
+    assert lines == {"Head": 10.2, "body 1 end": 10.4}  # mean of 10.2 and 10.5 is 10.35
+    assert [tuple(r) for r in L.header_footer_detect(spans, None).collect()] == [("d", "head", 30)]
+    assert L.header_footer_detect(spans, 62).count() == 0
+    assert L.styled_units(spans, None).where("text = 'Head'").count() == 0

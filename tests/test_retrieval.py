@@ -117,3 +117,14 @@ def test_citations(spark):
     got = CI.citations(df, registry).first().citations
     assert [(c.id, c.document.name, c.chunk_id, c.source) for c in got] == [
         ("CIT-001", "a.pdf", "c1", "vector"), ("CIT-002", None, "c3", None)]
+
+
+def test_filtered_search_scores_like_the_whole_index(spark):
+    texts = [("d1", "c1", "fever and cough"), ("d1", "c2", "fever"), ("d2", "c3", "rest and tea"), ("d2", "c4", "fever tea rest")]
+    chunks = spark.createDataFrame(texts, "doc_id string, chunk_id string, text string")
+    terms = spark.createDataFrame([("q", "fever"), ("q", "tea")], "query_id string, term string")
+    index = S.build_index(chunks)
+    every = {r.chunk_id: r.score for r in S.bm25_search(terms, index).collect()}
+    kept = S.TextIndex(index.postings, index.lengths, within=chunks.where("doc_id = 'd2'").select("chunk_id"))
+    some = {r.chunk_id: r.score for r in S.bm25_search(terms, kept).collect()}
+    assert set(every) == {"c1", "c2", "c3", "c4"} and some == {c: every[c] for c in ("c3", "c4")}
