@@ -219,13 +219,14 @@ def train(docs: DataFrame, usable: Column, rows: int = TRAIN_ROWS) -> Model | No
     if not len(grams):
         return None
     model = Model(languages, symbols, *fit(counts, grams, len(chars) + FIRST), 1.0, np.full(len(languages), np.inf))
-    shown = spark.sparkContext.broadcast(model)
+    # Plain arrays: a broadcast object of this module would need the module installed on the workers.
+    shown = spark.sparkContext.broadcast(vars(model))
 
     def measure(batches):
-        order = {k: i for i, k in enumerate(raw.value)}
+        order, m = {k: i for i, k in enumerate(raw.value)}, Model(**shown.value)
         for batch in batches:
             for part in pieces(batch, "text"):
-                e, n = entropies(shown.value, part.column("text"))
+                e, n = entropies(m, part.column("text"))
                 lang = [order[x] for x in part.column("lang").to_pylist()]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(lang, pa.int32()), pa.array(e.tolist(), pa.list_(pa.float64())), pa.array(n)],
@@ -257,11 +258,11 @@ def identify(docs: DataFrame, model: Model | None, reject: bool = True, id_col:
     left behind. Nothing is shuffled.
     """
     slim = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(model and vars(model))
     kind = slim.schema["id"].dataType.simpleString()
 
     def run(batches):
-        m = shared.value
+        m = shared.value and Model(**shared.value)
         for batch in batches:
             for part in pieces(batch, "text"):
                 n = part.num_rows

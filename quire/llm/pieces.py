@@ -266,10 +266,11 @@ def tokenize(docs: DataFrame, model_path: str, outputs: Iterable[str] = ("n_toke
     once; a longer text is a slice by itself. Nothing is shuffled.
     """
     outputs = tuple(outputs)
-    vocabulary = docs.sparkSession.sparkContext.broadcast(load_vocabulary(model_path))
+    # Plain arrays: a broadcast object of this module would need the module installed on the workers.
+    vocabulary = docs.sparkSession.sparkContext.broadcast(vars(load_vocabulary(model_path)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = vocabulary.value
+        v = Vocabulary(**vocabulary.value)
         for batch in batches:
             for part in pieces(batch, "text", WORK_BYTES):
                 ids, offsets = encode(v, part.column("text"))

@@ -276,12 +276,14 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, rows: int = TRAIN_
 
 
 def _worst(sample: DataFrame, model: Model) -> DataFrame:
-    shared = sample.sparkSession.sparkContext.broadcast(model)
+    # Plain arrays: a broadcast object of this module would need the module installed on the workers.
+    shared = sample.sparkSession.sparkContext.broadcast(vars(model))
 
     def run(batches):
+        m = Model(**shared.value)
         for batch in batches:
             for part in pieces(batch, "text", WORK_BYTES):
-                best, n, word = _best(shared.value, part.column("text"))
+                best, n, word = _best(m, part.column("text"))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(best), pa.array(n), word.cast(pa.binary()), part.column("toxic").cast(pa.int32())],
                     ["best", "n_words", "word", "toxic"])
@@ -294,15 +296,16 @@ def with_toxicity(docs: DataFrame, model: Model, name: str = "score", text_col:
     have the probability of a text without words. Nothing is shuffled."""
     from pyspark.sql.types import DoubleType, StructField, StructType
 
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(vars(model))
     names, where = [*docs.columns, name], docs.columns.index(text_col)
 
     def run(batches):
+        m = Model(**shared.value)
         for batch in batches:
             batch = batch.rename_columns([str(i) for i in range(batch.num_columns)])
             for part in pieces(batch, str(where), WORK_BYTES):
-                best, n, _ = _best(shared.value, part.column(where))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(shared.value.score(best, n))], names)
+                best, n, _ = _best(m, part.column(where))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(m.score(best, n))], names)
 
     return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, DoubleType())]))
 

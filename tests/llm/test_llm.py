@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import pickle
 import random
 import re
 import zlib
@@ -346,3 +347,19 @@ def test_pipeline_stages(spark, sf_dir, model_path):
     import sentencepiece
     library = sentencepiece.SentencePieceProcessor(model_file=model_path)
     assert all(r.ids == library.encode(one[i].text, add_bos=True, add_eos=True) for i, r in tokens.items())
+
+
+def test_models_travel_without_the_package(spark, sf_dir, monkeypatch):
+    """What is broadcast is plain data, so that workers need nothing installed."""
+    from pyspark import SparkContext
+    sent, broadcast = [], SparkContext.broadcast
+
+    def watched(self, value):
+        sent.append(pickle.dumps(value))
+        return broadcast(self, value)
+
+    monkeypatch.setattr(SparkContext, "broadcast", watched)
+    for name in ("op3_langid", "op7_sentencepiece", "op8_toxicity"):
+        sent.clear()
+        assert queries.QUERIES[name](spark, sf_dir).count() > 0
+        assert sent and not any(b"quire.llm" in s for s in sent), name
