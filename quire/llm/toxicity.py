@@ -7,6 +7,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
@@ -242,15 +243,18 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, rows: int = TRAIN_
         return flat_model
     counted = sample.mapInArrow(count, "word binary, pos bigint, neg bigint").groupBy("word").agg(
         F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).where("pos + neg > 1")
-    odds = F.log((F.col("pos") + 0.1) / (n_pos + 0.2)) - F.log((F.col("neg") + 0.5) / (n_neg + 1.0))
-    counted = counted.withColumn("odds", odds * F.sqrt(F.col("pos")))
+    both, share = F.col("pos") + F.col("neg"), n_pos / (n_pos + n_neg)
+    excess = sum(2 * F.when(F.col(c) > 0, F.col(c) * F.log(F.col(c) / (both * q))).otherwise(0.0)
+                 for c, q in (("pos", share), ("neg", 1 - share)))
+    counted = counted.withColumn("excess", F.when(F.col("pos") > both * share, excess).otherwise(0.0))
     counted = counted.coalesce(COUNT_PARTS).persist()  # words of a bounded sample; each part sends its best to the driver
-    suspects = counted.orderBy(F.desc("odds"), "word").limit(SUSPECTS).toPandas()
+    proof = 2 * np.log(max(counted.count(), 1)) + 4
+    suspects = counted.orderBy(F.desc("excess"), "word").limit(SUSPECTS).toPandas()
     common = counted.orderBy(F.desc("neg"), "word").limit(SUSPECTS).toPandas()
     other = counted.where("neg > 0").orderBy(F.xxhash64("word")).limit(4 * SUSPECTS).toPandas()
     counted.unpersist()
-    telling = suspects[(suspects["odds"] > 2) & (suspects["pos"] > 1)]
-    marks = list(telling["word"][:LANDMARKS]) or list(suspects["word"][:LANDMARKS])
+    proven = suspects[suspects["excess"] > proof]
+    marks = list((proven if len(proven) else suspects)["word"][:LANDMARKS])
     z = subsequences(pa.array(map(bytes, marks), pa.binary()))
     values, vectors = np.linalg.eigh(z @ z.T)
     good = values > 1e-6
@@ -263,12 +267,14 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, rows: int = TRAIN_
         return Model(symbols.value, (z.T @ (root @ w[:-1])).astype(np.float32), float(w[-1]), flat_model.slope)
 
     first = {bytes(r.word): r for part in (suspects, common, other) for r in part.itertuples()}
-    pos = np.array([r.pos if r.odds > 2 else 0 for r in first.values()], float)
+    least = proof if len(proven) else 0
+    pos = np.array([r.pos if r.excess > least else 0 for r in first.values()], float)
     neg = np.array([r.neg for r in first.values()], float)
     model = machine(list(first), pos, neg)
     worst = _worst(sample, model).groupBy("word").agg(
         F.sum("toxic").alias("pos"), F.sum(1 - F.col("toxic")).alias("neg")).where("word is not null").toPandas()
-    if len(worst) and worst["pos"].sum() and worst["neg"].sum():
+    worst = pd.concat((worst, proven[["word", "pos", "neg"]])).groupby("word", sort=True).sum().reset_index()
+    if worst["pos"].sum() and worst["neg"].sum():
         model = machine(list(map(bytes, worst["word"])), worst["pos"].to_numpy(float), worst["neg"].to_numpy(float))
     seen = _worst(sample, model).select("best", "n_words", "toxic").toPandas()
     x = np.column_stack((seen["best"], np.log1p(seen["n_words"]), np.ones(len(seen))))
