@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.flat import distinct, flat, pieces, spans_of
+from quire.llm.tables import Scratch, free_names
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -23,9 +24,11 @@ SUSPECTS = 600
 SPAN, DECAY = 8, 0.6
 WINDOW, STRIDE = 16, 8
 OPEN, CLOSE, SPACE = 30, 31, 255
-PENALTY = 1e-3
+PENALTY, RIDGE = 1e-3, 0.3
 WORK_BYTES = 1 << 20
 COUNT_PARTS = 16
+TOP = 3
+CASES = ["pos", "neg", "worst_pos", "worst_neg"]
 
 
 def alphabet() -> np.ndarray:
@@ -126,43 +129,60 @@ def subsequences(kinds: pa.Array) -> np.ndarray:
 
 
 def word_margins(kinds: pa.Array, weights: np.ndarray) -> np.ndarray:
-    """Inner product of each word's subsequence weights with ``weights`` of all triples."""
+    """Inner products of each word's subsequence weights with each row of ``weights`` of all triples."""
     sym, at, word = _padded(kinds)
-    total = np.zeros(len(at), np.float32)
+    total = np.zeros((len(weights), len(at)), np.float32)
     for code, span in _triples(sym, at):
-        total += weights[code] * np.float32(DECAY ** span)
-    return np.bincount(word, total, len(kinds)) / _length(sym, at, word, len(kinds))
+        for k, own in enumerate(weights):
+            total[k] += own[code] * np.float32(DECAY ** span)
+    return np.stack([np.bincount(word, t, len(kinds)) for t in total]) / _length(sym, at, word, len(kinds))
 
 
 @dataclass
 class Model:
-    """The classifier in primal form: one weight for each symbol triple."""
+    """The classifier in primal form: one weight for each symbol triple and machine. The first machine
+    tells suspect words, the second one those that suffice alone."""
     symbols: np.ndarray
     weights: np.ndarray
-    bias: float
-    slope: np.ndarray  # of the margin, of the logarithm of the words, and the constant
+    bias: np.ndarray
+    slope: np.ndarray  # of the features, see _features
 
     def score(self, best: np.ndarray, n_words: np.ndarray) -> np.ndarray:
-        z = self.slope[0] * best + self.slope[1] * np.log1p(n_words) + self.slope[2]
+        z = _features(best, n_words) @ self.slope
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def _best(model: Model, texts: pa.Array):
-    """Margin and word of the worst word in each text, and the number of words. Without words the
-    margin is the bias."""
+def _features(best: np.ndarray, n_words: np.ndarray) -> np.ndarray:
+    return np.column_stack((best, np.log1p(n_words), np.ones(len(best))))
+
+
+def _ranked(model: Model, texts: pa.Array):
+    """``(row, which, margins, rank, kinds, counts)``: the different words of each text, by the first
+    machine from the worst on, and the number of all its words."""
     row, which, kinds = words(texts, model.symbols)
-    n = len(texts)
-    best, counts = np.full(n, model.bias), np.bincount(row, minlength=n)
-    top = np.full(n, -1)
+    counts = np.bincount(row, minlength=len(texts))
+    if not len(row):
+        return row, which, np.zeros((len(model.weights), 0)), row, kinds, counts
+    row, which = np.divmod(np.unique(row * len(kinds) + which), len(kinds))
+    margins = (word_margins(kinds, model.weights) + model.bias[:, None])[:, which]
+    order = np.lexsort((which, -margins[0], row))
+    row, which, margins = row[order], which[order], margins[:, order]
+    first = np.flatnonzero(np.diff(row, prepend=-1))
+    rank = np.arange(len(row)) - np.repeat(first, np.diff(np.append(first, len(row))))
+    return row, which, margins, rank, kinds, counts
+
+
+def _best(model: Model, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The ``TOP`` highest margins of different words by the first machine and the highest one by the
+    second, for each text, and its number of words. A word that is not there has the bias."""
+    row, _, margins, rank, _, counts = _ranked(model, texts)
+    best, shown = np.full((len(texts), TOP + 1), model.bias[0]), rank < TOP
+    best[row[shown], rank[shown]] = margins[0, shown]
+    best[:, TOP] = model.bias[-1]
     if len(row):
-        margin = word_margins(kinds, model.weights)[which] + model.bias
-        first = np.flatnonzero(np.diff(row, prepend=-1))
-        most = np.maximum.reduceat(margin, first)
-        best[row[first]] = most
-        hit = np.flatnonzero(margin == np.repeat(most, np.diff(np.append(first, len(row)))))
-        hit = hit[np.diff(row[hit], prepend=-1) != 0]
-        top[row[hit]] = which[hit]
-    return best, counts, kinds.take(pa.array(np.where(top < 0, None, top).tolist(), pa.int64()))
+        first = np.flatnonzero(rank == 0)
+        best[row[first], TOP] = np.maximum.reduceat(margins[-1], first)
+    return best, counts
 
 
 def _solve(x: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = 60) -> np.ndarray:
@@ -185,8 +205,8 @@ def _fit_logistic(x: np.ndarray, y: np.ndarray, steps: int = 50) -> np.ndarray:
     w = np.zeros(x.shape[1])
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        h = (x * (p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(len(w))
-        step = np.linalg.solve(h, x.T @ (y - p) - 1e-3 * w)
+        h = (x * (p * (1 - p))[:, None]).T @ x + RIDGE * np.eye(len(w))
+        step = np.linalg.solve(h, x.T @ (y - p) - RIDGE * w)
         w += step
         if np.abs(step).max() < 1e-8:
             break
@@ -201,12 +221,20 @@ def _balanced(pos: np.ndarray, neg: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 def training_rows(docs: DataFrame, labels: DataFrame, usable: Column, rows: int = TRAIN_ROWS) -> DataFrame:
     """``text, toxic`` of about ``rows`` labelled documents, chosen by a hash of the id. Labels of an id
-    named more than once count as toxic if one of them does. The ids are few enough to broadcast."""
+    named more than once count as toxic if one of them does. The ids are few enough to broadcast.
+
+    Copies would prove their words over and over, so of texts with the same smallest hash of three
+    words in a row only the one with the smallest id is learned from."""
     known = labels.where(usable & F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(
         F.max("toxic").alias("toxic"))
     share = min(1.0, rows / max(known.count(), 1))
     chosen = known.where(F.pmod(F.xxhash64("doc_id", F.lit("toxicity")), F.lit(1 << 20)) < int(share * (1 << 20)))
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic")
+    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").withColumn(
+        "words", F.split(F.trim(F.coalesce("text", F.lit(""))), "\\s+"))
+    shingle = F.transform("words", lambda w, i: F.xxhash64(
+        w, F.get("words", i + 1), F.get("words", i + 2)))
+    return found.withColumn("sketch", F.array_min(shingle)).groupBy("sketch").agg(
+        F.min(F.struct("doc_id", "toxic", "text")).alias("kept")).select("kept.text", "kept.toxic")
 
 
 def train(docs: DataFrame, labels: DataFrame, usable: Column, rows: int = TRAIN_ROWS) -> Model:
@@ -215,14 +243,17 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, rows: int = TRAIN_
     1. Words are counted by the label of their text. The most telling ones become the landmarks
        of the Nyström map and, with the commonest and the telling words of harmless texts, the
        first cases.
-    2. A text is as bad as its worst word: with the first machine every text names that word,
-       and the machine is fitted anew to those words with the labels of their texts.
-    3. The margins of the worst words are turned into probabilities by a logistic fit.
+    2. Two machines are fitted to the words that the first one finds in the texts, with the labels of
+       the texts. One takes the worst word of each text and the words whose counts prove them. The
+       other takes all words held toxic, or else the worst one; the ``k`` such words of a toxic text
+       weigh ``1 / k ** 2`` each, as each of them explains less, so it holds for words that stand alone.
+    3. The ``TOP`` highest margins of the one and the highest of the other are turned into a
+       probability by a logistic fit: a doubtful word may stand there by chance, several do not.
     As the kernel is an inner product of subsequence weights, the sum over landmarks folds into
     one weight for each triple of symbols. Without both labels everything scores the base rate.
     """
     spark = docs.sparkSession
-    sample = training_rows(docs, labels, usable, rows)
+    sample = Scratch(spark).save(training_rows(docs, labels, usable, rows))
     symbols = spark.sparkContext.broadcast(alphabet())
 
     def count(batches):
@@ -238,7 +269,7 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, rows: int = TRAIN_
     totals = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
     n_pos, n_neg = totals.get(1, 0), totals.get(0, 0)
     rate = (n_pos + 0.5) / (n_pos + n_neg + 1)
-    flat_model = Model(symbols.value, np.zeros(1 << 15, np.float32), 0.0, np.array([0, 0, np.log(rate / (1 - rate))]))
+    flat_model = Model(symbols.value, np.zeros((2, 1 << 15), np.float32), np.zeros(2), np.append(np.zeros(TOP + 2), np.log(rate / (1 - rate))))
     if not n_pos or not n_neg:
         return flat_model
     counted = sample.mapInArrow(count, "word binary, pos bigint, neg bigint").groupBy("word").agg(
@@ -260,28 +291,31 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, rows: int = TRAIN_
     good = values > 1e-6
     root = vectors[:, good] / np.sqrt(values[good])
 
-    def machine(cases: list[bytes], pos: np.ndarray, neg: np.ndarray) -> Model:
-        x = np.vstack([subsequences(pa.array(cases[i:i + 500], pa.binary())) @ z.T for i in range(0, len(cases), 500)]) @ root
-        which, y, weight = _balanced(pos, neg)
+    def machine(cases: pd.DataFrame) -> tuple[np.ndarray, float]:
+        names = list(map(bytes, cases["word"]))
+        x = np.vstack([subsequences(pa.array(names[i:i + 500], pa.binary())) @ z.T for i in range(0, len(names), 500)]) @ root
+        which, y, weight = _balanced(cases["pos"].to_numpy(float), cases["neg"].to_numpy(float))
         w = _solve(x[which], y, weight)
-        return Model(symbols.value, (z.T @ (root @ w[:-1])).astype(np.float32), float(w[-1]), flat_model.slope)
+        return (z.T @ (root @ w[:-1])).astype(np.float32), float(w[-1])
 
-    first = {bytes(r.word): r for part in (suspects, common, other) for r in part.itertuples()}
     least = proof if len(proven) else 0
-    pos = np.array([r.pos if r.excess > least else 0 for r in first.values()], float)
-    neg = np.array([r.neg for r in first.values()], float)
-    model = machine(list(first), pos, neg)
-    worst = _worst(sample, model).groupBy("word").agg(
-        F.sum("toxic").alias("pos"), F.sum(1 - F.col("toxic")).alias("neg")).where("word is not null").toPandas()
-    worst = pd.concat((worst, proven[["word", "pos", "neg"]])).groupby("word", sort=True).sum().reset_index()
-    if worst["pos"].sum() and worst["neg"].sum():
-        model = machine(list(map(bytes, worst["word"])), worst["pos"].to_numpy(float), worst["neg"].to_numpy(float))
-    seen = _worst(sample, model).select("best", "n_words", "toxic").toPandas()
-    x = np.column_stack((seen["best"], np.log1p(seen["n_words"]), np.ones(len(seen))))
+    first = pd.concat((suspects, common, other)).assign(word=lambda d: d["word"].map(bytes)).drop_duplicates("word")
+    first["pos"] = first["pos"].where(first["excess"] > least, 0)
+    weights, bias = machine(first)
+    model = Model(symbols.value, weights[None], np.array([bias]), flat_model.slope)
+    cases = _cases(sample, model).groupBy("word").agg(*[F.sum(c).alias(c) for c in CASES]).orderBy(
+        F.desc(F.col("pos") + F.col("neg")), "word").limit(rows).toPandas()
+    cases["word"] = cases["word"].map(bytes)
+    worst = cases[["word", "worst_pos", "worst_neg"]].set_axis(["word", "pos", "neg"], axis=1)
+    kept = proven[["word", "pos", "neg"]].assign(word=proven["word"].map(bytes))
+    fits = [machine(c.groupby("word").sum().reset_index()) for c in (pd.concat((worst, kept)), cases[["word", "pos", "neg"]])]
+    model = Model(symbols.value, np.stack([w for w, _ in fits]), np.array([b for _, b in fits]), flat_model.slope)
+    seen = _margins(sample, model).toPandas()
+    x = _features(np.array(seen["best"].tolist()).reshape(-1, TOP + 1), seen["n_words"].to_numpy())
     return Model(model.symbols, model.weights, model.bias, _fit_logistic(x, seen["toxic"].to_numpy(float)))
 
 
-def _worst(sample: DataFrame, model: Model) -> DataFrame:
+def _over_texts(sample: DataFrame, model: Model, work, schema: str) -> DataFrame:
     # Plain arrays: a broadcast object of this module would need the module installed on the workers.
     shared = sample.sparkSession.sparkContext.broadcast(vars(model))
 
@@ -289,12 +323,35 @@ def _worst(sample: DataFrame, model: Model) -> DataFrame:
         m = Model(**shared.value)
         for batch in batches:
             for part in pieces(batch, "text", WORK_BYTES):
-                best, n, word = _best(m, part.column("text"))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(best), pa.array(n), word.cast(pa.binary()), part.column("toxic").cast(pa.int32())],
-                    ["best", "n_words", "word", "toxic"])
+                yield work(m, part.column("text"), part.column("toxic").cast(pa.int32()))
+
+    return sample.mapInArrow(run, schema)
+
 
-    return sample.mapInArrow(run, "best double, n_words bigint, word binary, toxic int")
+def _cases(sample: DataFrame, model: Model) -> DataFrame:
+    """Words with their weights as toxic and as harmless cases: of each text those with a positive
+    margin, or else the worst one; and the same for the worst words alone."""
+    def work(m, texts, toxic):
+        row, which, margins, rank, kinds, _ = _ranked(m, texts)
+        used = (margins[0] > 0) | (rank == 0)
+        row, which, worst = row[used], which[used], rank[used] == 0
+        bad = toxic.to_numpy(zero_copy_only=False)[row] == 1
+        shared = np.bincount(row, minlength=len(texts))[row].astype(float)
+        sums = [np.bincount(which, w, len(kinds)).astype(float)
+                for w in (np.where(bad, shared ** -2, 0), ~bad, bad & worst, ~bad & worst)]
+        return pa.RecordBatch.from_arrays([kinds.cast(pa.binary()), *map(pa.array, sums)], ["word", *CASES]).filter(
+            pa.array(sums[0] + sums[1] > 0))
+
+    return _over_texts(sample, model, work, "word binary, " + ", ".join(f"{c} double" for c in CASES))
+
+
+def _margins(sample: DataFrame, model: Model) -> DataFrame:
+    def work(m, texts, toxic):
+        best, n = _best(m, texts)
+        return pa.RecordBatch.from_arrays([pa.array(list(best), pa.list_(pa.float64())), pa.array(n), toxic],
+                                          ["best", "n_words", "toxic"])
+
+    return _over_texts(sample, model, work, "best array<double>, n_words bigint, toxic int")
 
 
 def with_toxicity(docs: DataFrame, model: Model, name: str = "score", text_col: str = "text") -> DataFrame:
@@ -310,7 +367,7 @@ def with_toxicity(docs: DataFrame, model: Model, name: str = "score", text_col:
         for batch in batches:
             batch = batch.rename_columns([str(i) for i in range(batch.num_columns)])
             for part in pieces(batch, str(where), WORK_BYTES):
-                best, n, _ = _best(m, part.column(where))
+                best, n = _best(m, part.column(where))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(m.score(best, n))], names)
 
     return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, DoubleType())]))
@@ -331,7 +388,5 @@ def score_documents(docs: DataFrame, labels: DataFrame, held_out_fold: int = 0,
 
 def reject_toxic(docs: DataFrame, model: Model, limit: float = 0.5, text_col: str = "text") -> DataFrame:
     """The documents that score below ``limit``, with their columns."""
-    from quire.llm.tables import free_names
-
     name, = free_names(docs, "score")
     return with_toxicity(docs, model, name, text_col).where(F.col(name) < limit).drop(name)

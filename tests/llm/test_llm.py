@@ -272,7 +272,7 @@ def test_toxicity(spark, odd, empty):
     model = toxicity.train(df.select("doc_id", "text"), labels, F.lit(True))
 
     def score(text):
-        best, n, _ = toxicity._best(model, pa.array([text], pa.string()))
+        best, n = toxicity._best(model, pa.array([text], pa.string()))
         return float(model.score(best, n)[0])
     base = prose(20, 77)
     assert all(score(f"{base} {bad} {base}") > 0.5 for bad in ("idiot", "i-d-i-o-t", "i d i o t", "IDIOOT", "st.upid"))
@@ -280,6 +280,9 @@ def test_toxicity(spark, odd, empty):
     rows = toxicity.with_toxicity(odd, model).collect()
     assert len(rows) == odd.count() and all(0 <= r.score <= 1 for r in rows)
     assert toxicity.with_toxicity(empty, model).count() == 0
+    copies = spark.range(2000, 2900).select(F.col("id").alias("doc_id"), F.lit(prose(60, 5)).alias("text"), F.lit(1).alias("toxic"))
+    assert toxicity.training_rows(copies.select("doc_id", "text"), copies.select("doc_id", "toxic"), F.lit(True)).count() == 1
+    assert toxicity.training_rows(empty, labels, F.lit(True)).count() == 0
     none = toxicity.train(df.select("doc_id", "text"), labels.where("toxic = 0"), F.lit(True))
     assert toxicity.reject_toxic(odd, none).count() == odd.count()
 
