@@ -37,13 +37,12 @@ def _bag(dim: int):
     @F.pandas_udf("array<float>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in batches:
-            out = []
-            for buckets in s:
-                v = np.bincount(np.asarray([] if buckets is None else buckets, dtype=np.int64),
-                                minlength=dim).astype(np.float64)
-                norm = np.sqrt((v * v).sum())
-                out.append((v / norm if norm else v).astype(np.float32))
-            yield pd.Series(out)
+            lists = [np.asarray([] if b is None else b, dtype=np.int64) for b in s]
+            at = np.repeat(np.arange(len(lists)), np.array([len(b) for b in lists], dtype=np.int64)) * dim
+            at += np.concatenate(lists) if lists else 0
+            v = np.bincount(at, minlength=len(lists) * dim).reshape(-1, dim).astype(np.float64)
+            norm = np.sqrt((v * v).sum(axis=1, keepdims=True))
+            yield pd.Series(list((v / np.where(norm > 0, norm, 1)).astype(np.float32)))
     return run
 
 
