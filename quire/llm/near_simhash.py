@@ -238,17 +238,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.col("id").alias(id_col), fingerprint_text(F.col("fp")).alias("fingerprint"), F.col("low").alias("component_id"))
 
 
+def place_of(docs: DataFrame, id_col: str, text_col: str) -> Column:
+    """What rows are ordered by: the id, rows without one last, then a hash of the text."""
+    return F.struct(docs[id_col].isNull().alias("none"), docs[id_col].alias("id"), F.xxhash64(docs[text_col]).alias("row"))
+
+
+def keep_places(docs: DataFrame, first: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of ``docs`` whose place is in the column ``low`` of ``first``; of rows equal in id and text one."""
+    place, low = free_names(docs, "place", "low")
+    kept = docs.withColumn(place, place_of(docs, id_col, text_col)).join(
+        first.select(F.col("low").alias(low)), F.col(place) == F.col(low), "left_semi")
+    columns = [F.first(docs[c]).alias(f"c{i}") for i, c in enumerate(docs.columns)]
+    one = kept.groupBy(place).agg(*columns)
+    return one.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
+
+
 def keep_one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
     """Of each group of near-duplicates the row with the smallest id (rows without an id last, then
     by a hash of the text), with all its columns. Of rows equal in id and text one stays."""
     scratch = Scratch(docs.sparkSession)
-    fp, place, low, own = free_names(docs, "fp", "place", "low", "own")
-    slim = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
-    order = F.struct(F.col("id").isNull(), F.col("id"), F.xxhash64("text"))
-    prints = scratch.save(with_fingerprint(slim, "fp").select("fp", order.alias("low")))
+    slim = docs.select(place_of(docs, id_col, text_col).alias("low"), docs[text_col].alias("text"))
+    prints = scratch.save(with_fingerprint(slim, "fp").select("fp", "low"))
     first = group_labels(prints, scratch, radius).select("low").distinct()
-    here = F.struct(docs[id_col].isNull(), docs[id_col], F.xxhash64(docs[text_col]))
-    kept = docs.withColumn(place, here).join(first.select(F.col("low").alias(low)), F.col(place) == F.col(low), "left_semi")
-    columns = [F.first(docs[c]).alias(f"c{i}") for i, c in enumerate(docs.columns)]
-    one = kept.groupBy(place).agg(*columns)
-    return one.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
+    return keep_places(docs, first, id_col, text_col)

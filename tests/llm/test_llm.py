@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from quire.llm import (
-    embed_dedup, langid, licenses, line_chunks, mixing, near_simhash, pieces, queries, sharding, simhash, toxicity)
+    embed_dedup, langid, licenses, line_chunks, mixing, near_simhash, pieces, queries, resemblance, sharding, simhash,
+    toxicity)
 from quire.llm.tables import Scratch, components
 
 ODD = "doc_id long, text string, source string, id string, n_chars long"
@@ -311,6 +312,36 @@ def test_near_duplicates(spark, sf_dir, odd, empty):
     assert near_simhash.near_duplicates(empty).count() == near_simhash.keep_one_per_group(empty).count() == 0
 
 
+def shingled(text):
+    words = (text or "").lower().split()
+    return frozenset(tuple(words[i:i + 5]) for i in range(max(1, len(words) - 4))) if words else frozenset()
+
+
+@pytest.mark.parametrize("block", [(1024, 1 << 20), (3, 400)])
+def test_edited_copies_go(spark, odd, empty, block):
+    rng, texts = random.Random(9), []
+    for i in range(25):
+        base = prose(200, 3000 + i).split(" ")
+        for _ in range(8):
+            words = list(base)
+            for at in rng.sample(range(200), rng.randint(0, 7)):
+                words[at] = f"edit{rng.randint(0, 10**6)}"
+            texts.append(" ".join(words))
+    texts += [texts[0], texts[0].upper(), "", None, "one two", "One  two", "one three"]
+    sets = [shingled(t) for t in texts]
+    pairs = [(i, j) for i, j in itertools.combinations(range(len(texts)), 2)
+             if sets[i] == sets[j] or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    far = [(i, j) for i, j in pairs if (plain_print(texts[i]) ^ plain_print(texts[j])).bit_count() > 4]
+    assert len(far) > 50  # pairs that the four bits of op9 do not link
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = resemblance.keep_one_per_group(docs, block_rows=block[0], block_shingles=block[1]).collect()
+    assert sorted(r.doc_id for r in kept) == sorted(set(groups(len(texts), pairs)))
+    kept = resemblance.keep_one_per_group(odd)
+    assert kept.columns == odd.columns
+    assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 2, 4, 6, 8]
+    assert resemblance.keep_one_per_group(empty).count() == 0
+
+
 # 10: repeated passages
 def test_line_chunks(spark, odd, empty):
     passage = prose(60, 1)
