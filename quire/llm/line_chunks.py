@@ -11,6 +11,7 @@ BASE, MODULUS = 1_000_003, 2_147_483_647
 DIVISOR = 3
 LONG_WORDS = 40
 MIN_WORDS = 10
+RUN_WORDS = 50
 
 
 def bind(value: Column, body) -> Column:
@@ -104,6 +105,64 @@ def drop_repeated_chunks(docs: DataFrame, divisor: int = DIVISOR, id_col: str =
                       F.size(gone_list).cast("long").alias(n_removed))
 
 
+def _neighbours(text: Column) -> Column:
+    """Every two neighbouring lines as one string, in order."""
+    return bind(F.split(text, "\n"), lambda x: F.when(F.size(x) > 1, F.transform(
+        F.slice(x, 1, F.size(x) - 1), lambda a, i: F.concat(a, F.lit("\n"), F.element_at(x, i + 2)))).otherwise(
+            F.array().cast("array<string>")))
+
+
+def _without_runs(text: Column, seen: Column, more_than: int) -> Column:
+    """The text without its runs of lines of which every two neighbours are ``seen`` (ordered numbers, from 0,
+    of the first of the two), where a run has more than ``more_than`` words."""
+    def runs(at: Column) -> Column:  # first line and the line after the last, from 0
+        begin = F.filter(at, lambda x: ~F.array_contains(at, x - 1))
+        end = F.filter(at, lambda x: ~F.array_contains(at, x + 1))
+        return F.zip_with(begin, end, lambda a, b: F.struct(a.alias("a"), (b + 2).alias("b")))
+
+    def cut(lines: Column) -> Column:
+        words = lambda r: F.aggregate(F.slice(lines, r["a"] + 1, r["b"] - r["a"]), F.lit(0), lambda n, x: n + words_in(x))
+        return bind(F.filter(runs(seen), lambda r: words(r) > more_than), lambda out: F.filter(
+            lines, lambda x, i: ~F.exists(out, lambda r: (r["a"] <= i) & (i < r["b"]))))
+
+    return bind(F.split(text, "\n"), lambda lines: F.array_join(cut(lines), "\n"))
+
+
+def drop_repeated_runs(docs: DataFrame, more_than: int = RUN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """All rows and columns of ``docs``; the text without runs of repeated lines, whatever their lengths.
+
+    Two neighbouring lines are repeated if the same two stand together in a smaller id (null first) or
+    above. A run is a stretch of lines of which every two neighbours are repeated; one of more than
+    ``more_than`` words goes whole. So every passage of several lines that stands before goes, wherever
+    its host's lines are cut, and the first place of every line stays. Rows equal in id and text are
+    one document. The lines meet by hash; those of a hash met twice are compared by their bytes.
+    """
+    row, one, seen = free_names(docs, "_row", "_one", "_seen")
+    scratch = Scratch(docs.sparkSession)
+    source = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("row"), F.col(text_col).alias("text"))
+    pairs = source.select("id", "row", F.posexplode(_neighbours(F.col("text"))).alias("no", "both")).withColumn(
+        "hash", F.xxhash64("both"))
+    place = F.struct("id", "row", "no")
+    met = scratch.save(pairs.groupBy("hash").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).where("n > 1"))
+    again = pairs.join(met.select("hash", "first"), "hash")
+    told = scratch.save(again.groupBy("hash").agg((F.min("both") == F.max("both")).alias("same")))
+    clash = told.where("not same").select("hash")
+    repeated = again.where(place > F.col("first"))
+    if clash.isEmpty():
+        repeated = repeated.select("id", "row", "no")
+    else:
+        apart = pairs.join(clash, "hash")
+        firsts = apart.groupBy("hash", "both").agg(F.min(place).alias("first"))
+        repeated = repeated.join(clash, "hash", "left_anti").select("id", "row", "no").union(
+            apart.join(firsts, ["hash", "both"]).where(place > F.col("first")).select("id", "row", "no"))
+    repeated = repeated.groupBy("id", "row").agg(F.sort_array(F.collect_set("no")).alias(seen)).select(
+        F.col("id").alias(one), F.col("row").alias(row), seen)
+
+    out = docs.join(repeated, docs[id_col].eqNullSafe(repeated[one]) & (F.xxhash64(docs[text_col]) == repeated[row]), "left")
+    text = F.when(F.col(seen).isNull(), docs[text_col]).otherwise(_without_runs(docs[text_col], F.col(seen), more_than))
+    return out.select(*[text.alias(c) if c == text_col else docs[c] for c in docs.columns])
+
+
 CHUNKS_SQL = f"""
 with lines as (
   select doc_id, n as no, line,

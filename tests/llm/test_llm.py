@@ -361,6 +361,28 @@ def test_line_chunks(spark, odd, empty):
     assert line_chunks.drop_repeated_chunks(empty).count() == 0
 
 
+def test_passages_of_short_lines_go(spark, odd, empty):
+    passage, pair = [prose(n, 50 + n) for n in (9, 25, 32, 13)], [prose(34, 60), prose(33, 61)]
+    rows, want = [], {}
+    for i in range(12):
+        head, tail = prose(8, 100 + i), prose(9, 200 + i)
+        rows += [(i, "\n".join([head, *passage, tail])), (20 + i, "\n".join([head + "x", *pair, tail + "x"]))]
+        want |= {i: [head, tail], 20 + i: [head + "x", tail + "x"]}
+    want[0], want[20] = rows[0][1].split("\n"), rows[1][1].split("\n")
+    few = "\n".join(["few words", prose(20, 1), prose(20, 2), "and more"])
+    rows += [(40, few), (41, few.replace("few", "the")), (42, None), (43, ""), (None, "\n".join(pair))]
+    want |= {40: few.split("\n"), 41: few.replace("few", "the").split("\n"), 43: [""], None: pair, 20: [want[20][0], want[20][-1]]}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.text for r in line_chunks.drop_repeated_runs(docs).collect()}
+    assert got.pop(42) is None and {k: v.split("\n") for k, v in got.items()} == want
+    staged = {r.doc_id: r.text for r in corpus_pipeline.repeated_lines(spark, docs, "").collect()}
+    assert all(set(staged[i].split("\n")) <= set(want[i]) for i in want)
+    out = line_chunks.drop_repeated_runs(odd)
+    rows = {r.doc_id: r for r in out.collect()}
+    assert out.columns == odd.columns and out.count() == odd.count() and rows[5].text == "" and rows[6].text == "same"
+    assert line_chunks.drop_repeated_runs(empty).count() == 0
+
+
 # the pipeline
 def test_pipeline_stages(spark, sf_dir, model_path):
     scratch, docs, seen = Scratch(spark), queries.table(spark, sf_dir, "documents"), [queries.table(spark, sf_dir, "documents")]
