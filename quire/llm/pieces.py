@@ -257,15 +257,15 @@ SPARK_TYPES = {"n_tokens": "bigint", "ids": "array<int>", "ids_sha256": "string"
 
 
 def tokenize(docs: DataFrame, model_path: str, outputs: Iterable[str] = ("n_tokens", "ids"), id_col: str = "doc_id",
-             text_col: str = "text") -> DataFrame:
-    """``id_col`` and the chosen ``outputs`` of every row: ``n_tokens``, ``ids``, ``ids_sha256`` (ids as
+             text_col: str = "text", keep: Iterable[str] = ()) -> DataFrame:
+    """``id_col``, the columns ``keep`` and the chosen ``outputs`` of every row: ``n_tokens``, ``ids``, ``ids_sha256`` (ids as
     little-endian 32-bit integers), ``decoded`` (the text that the ids decode to) and its digest.
 
     A null text counts as empty and has the begin and end ids alone; other columns are left
     behind. Texts are worked on in slices of bounded size, within which equal words are encoded
     once; a longer text is a slice by itself. Nothing is shuffled.
     """
-    outputs = tuple(outputs)
+    outputs, keep = tuple(outputs), tuple(keep)
     # Plain arrays: a broadcast object of this module would need the module installed on the workers.
     vocabulary = docs.sparkSession.sparkContext.broadcast(vars(load_vocabulary(model_path)))
 
@@ -284,9 +284,9 @@ def tokenize(docs: DataFrame, model_path: str, outputs: Iterable[str] = ("n_toke
                                  pa.large_string(), part.num_rows,
                                  [None, pa.py_buffer(starts.astype(np.int64)), pa.py_buffer(data)]).cast(pa.string())}
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("id"), *[made[o]() for o in outputs]], ["id", *outputs])
+                    [part.column("id"), *[part.column(c) for c in keep], *[made[o]() for o in outputs]], ["id", *keep, *outputs])
 
-    slim = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
-    kind = slim.schema["id"].dataType.simpleString()
-    out = slim.mapInArrow(run, ", ".join([f"id {kind}", *[f"{o} {SPARK_TYPES[o]}" for o in outputs]]))
+    slim = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), *[docs[c] for c in keep])
+    kinds = {c: slim.schema[c].dataType.simpleString() for c in ("id", *keep)}
+    out = slim.mapInArrow(run, ", ".join([*[f"{c} {kind}" for c, kind in kinds.items()], *[f"{o} {SPARK_TYPES[o]}" for o in outputs]]))
     return out.withColumnRenamed("id", id_col)

@@ -405,6 +405,18 @@ def test_pipeline_stages(spark, sf_dir, model_path):
     assert all(r.ids == library.encode(one[i].text, add_bos=True, add_eos=True) for i, r in tokens.items())
 
 
+def test_mixture_outlives_the_reread(spark, model_path):
+    docs = spark.createDataFrame([(i, prose(5, i), "en", f"src{i % 4}", 9) for i in range(600)],
+                                 "doc_id long, text string, lang string, source string, n_chars long")
+    mixed = Scratch(spark).save(corpus_pipeline.mixture(spark, docs, "").repartition(7))
+    rows = Scratch(spark).save(corpus_pipeline.tokens(spark, mixed, "")).collect()
+    want = {r.doc_id: (r.slot, r.position) for r in mixing.mix(docs, queries.MIXTURE, block_rows=16, seed=20).collect()}
+    assert {r.doc_id: (r.slot, r.position) for r in rows} == want and len(rows) == 600
+    sources = [f"src{r.doc_id % 4}" for r in sorted(rows, key=lambda r: r.position)]
+    first = sources[:11 * 16]  # a period: 4, 3, 2 and 2 blocks of 16 rows
+    assert [first.count(f"src{i}") for i in range(4)] == [64, 48, 32, 32]
+
+
 def test_models_travel_without_the_package(spark, sf_dir, monkeypatch):
     """What is broadcast is plain data, so that workers need nothing installed."""
     from pyspark import SparkContext
