@@ -54,7 +54,7 @@ def op4_sharding(spark, sf_dir):
 
 @query()
 def op5_fingerprints(spark, sf_dir):
-    return simhash.fingerprint_documents(table(spark, sf_dir, "documents"))
+    return simhash.search_documents(simhash.fingerprint_documents(table(spark, sf_dir, "documents")))
 
 
 @query(licenses.SCAN_SQL)

@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from quire.llm.flat import flat, mix64, pieces, spans_of
-from quire.llm.near_simhash import near_links
 from quire.llm.tables import Scratch
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -23,6 +22,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 BASE = 0x9E3779B97F4A7C15
 BLOCKS = (11, 11, 11, 11, 10, 10)
 SEARCH_RADIUS = 3
+BLOCK_ROWS = 2048
+QUERY_EVERY = 20
 WORK_BYTES = 2 << 20
 CLOSED, OPEN, HEAD = 0, 1, 2
 
@@ -94,12 +95,78 @@ def block_keys(fp: Column) -> Column:
     return F.array(*keys)
 
 
-def near_fingerprints(prints: DataFrame, radius: int = SEARCH_RADIUS) -> DataFrame:
-    """Links ``(a, b)`` that connect all different fingerprints of the column ``fp`` within ``radius`` (at
-    most 3) bits; null fingerprints link with nothing."""
-    if radius > SEARCH_RADIUS:
+def _matches(batches: Iterator[pa.RecordBatch], radius: int, chunk: int = 256) -> Iterator[pa.RecordBatch]:
+    """For every query of each run of equal ``(key, block, other)`` the fingerprints within ``radius``, as one row."""
+    def found(asked: np.ndarray, held: np.ndarray):
+        for at in range(0, len(asked), chunk):
+            near = np.bitwise_count(asked[at:at + chunk, None] ^ held[None]) <= radius
+            hit = np.flatnonzero(near.any(1))
+            if len(hit):
+                offsets = np.concatenate(([0], np.cumsum(near[hit].sum(1)))).astype(np.int32)
+                own = held[np.nonzero(near[hit])[1]]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(asked[at + hit].view(np.int64)),
+                     pa.ListArray.from_arrays(pa.array(offsets), pa.array(own.view(np.int64)))], ["query", "found"])
+
+    kept: list[np.ndarray] | None = None
+
+    def runs(columns):
+        new = np.ones(len(columns[0]), bool)
+        new[1:] = np.logical_or.reduce([x[1:] != x[:-1] for x in columns[:3]])
+        start = np.flatnonzero(new)
+        for a, b in zip(start.tolist(), [*start[1:].tolist(), len(new)]):
+            asks, fp = columns[3][a:b], columns[4][a:b].view(np.uint64)
+            if asks.any() and not asks.all():
+                yield from found(fp[asks], fp[~asks])
+
+    for batch in batches:
+        own = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "block", "other", "asks", "fp")]
+        kept = own if kept is None else [np.concatenate(x) for x in zip(kept, own)]
+        if not len(kept[0]):
+            continue
+        open_from = int(np.argmax(np.logical_and.reduce([x == x[-1] for x in kept[:3]])))
+        if open_from:
+            yield from runs([x[:open_from] for x in kept])
+            kept = [x[open_from:] for x in kept]
+    if kept is not None and len(kept[0]):
+        yield from runs(kept)
+
+
+def near_fingerprints(prints: DataFrame, queries: DataFrame, radius: int = SEARCH_RADIUS, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """``(query, found)``: for each different fingerprint ``fp`` of ``queries`` all different ones of ``prints`` within
+    ``radius`` (at most 3) bits, itself included if it is there, in order; without any there is no row.
+
+    Queries and fingerprints meet in 20 permuted block tables (:func:`block_keys`), in buckets that hold a
+    query. A bucket of more than ``block_rows`` queries or fingerprints is dealt out by pairs of blocks of
+    either side, so that no task holds more than one of each. Null fingerprints match nothing.
+    """
+    if not 0 <= radius <= SEARCH_RADIUS:
         raise ValueError(f"the block tables reach {SEARCH_RADIUS} bits")
-    return near_links(prints.where("fp is not null"), Scratch(prints.sparkSession), radius, keys=block_keys).distinct()
+
+    def tables(df):
+        return df.where("fp is not null").select("fp").distinct().select("fp", F.explode(block_keys(F.col("fp"))).alias("key"))
+
+    asked = tables(queries)
+    wanted = asked.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("queries"))
+    scratch = Scratch(prints.sparkSession)
+    held = scratch.save(tables(prints).join(wanted, "key"))
+    sizes = held.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("blocks"))
+
+    def cells(df, asks):  # own block, and every block of the other side
+        n, m = (F.col("queries"), F.col("blocks")) if asks else (F.col("blocks"), F.col("queries"))
+        dealt = df.withColumn("home", F.pmod(F.xxhash64("fp"), n).cast("int")).withColumn(
+            "mate", F.explode(F.sequence(F.lit(0), m - 1)))
+        return dealt.select("key", F.col("home" if asks else "mate").alias("block"),
+                            F.col("mate" if asks else "home").alias("other"), F.lit(asks).alias("asks"), "fp")
+
+    large = scratch.save(sizes.join(wanted, "key").where("blocks > 1 or queries > 1"))
+    one = F.lit(1)
+    dealt = [cells(df.drop("queries").join(large, "key", "left").withColumn("blocks", F.coalesce("blocks", one)).withColumn(
+        "queries", F.coalesce("queries", one)), asks) for df, asks in ((asked, True), (held, False))]
+    by = ["key", "block", "other"]
+    pairs = dealt[0].union(dealt[1]).repartition(*by).sortWithinPartitions(*by, "asks", "fp").mapInArrow(
+        lambda batches: _matches(batches, radius), "query long, found array<long>")
+    return pairs.groupBy("query").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("found")))).alias("found"))
 
 
 def _edited(text: str, following: str) -> str:
@@ -183,3 +250,18 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
     gaps = gaps.mapInArrow(_finish, f"id {kind}, n_chars bigint, {RESULT}")
     closed = done.where(F.col("kind") == CLOSED).select("id", "n_chars", *NAMES)
     return closed.unionByName(gaps).withColumnRenamed("id", id_col)
+
+
+def search_documents(found: DataFrame, radius: int = SEARCH_RADIUS, every: int = QUERY_EVERY, id_col: str = "doc_id") -> DataFrame:
+    """``found`` (rows of :func:`fingerprint_documents`) with the search for the documents whose id is divisible by
+    ``every``: ``near_fingerprints``, all different fingerprints within ``radius`` bits, its own included; null for
+    the other documents."""
+    done = Scratch(found.sparkSession).save(found)
+    signed = F.conv("fingerprint", 16, -10).cast("long")
+    asks = F.coalesce(F.pmod(F.col(id_col), F.lit(every)) == 0, F.lit(False))
+    prints = done.select(signed.alias("fp"), asks.alias("asks")).groupBy("fp").agg(F.max("asks").alias("asks"))
+    prints = Scratch(found.sparkSession).save(prints)
+    text = lambda x: F.lpad(F.lower(F.hex(x)), 16, "0")
+    near = near_fingerprints(prints, prints.where("asks"), radius).select(
+        text(F.col("query")).alias("own"), F.transform("found", text).alias("near_fingerprints"))
+    return done.join(near, asks & (F.col("fingerprint") == F.col("own")), "left").drop("own")

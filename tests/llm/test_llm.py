@@ -210,6 +210,36 @@ def test_near_fingerprints(spark, links, radius, block_rows, monkeypatch):
     assert groups(len(points), [(at[a], at[b]) for a, b in got]) == groups(len(points), want)
 
 
+@pytest.mark.parametrize("block_rows", [2048, 20])
+def test_search_finds_all(spark, block_rows):
+    rng, points = np.random.default_rng(8), set()
+    for b in rng.integers(0, 2**64, 6, dtype=np.uint64).tolist():
+        for _ in range(150):
+            x = b
+            for k in rng.integers(0, 64, rng.integers(0, 5)):
+                x ^= 1 << int(k)
+            points.add(x)
+    points = np.array(sorted(points), np.uint64)
+    asked = points[::3]
+    frame = lambda x: spark.createDataFrame([(v,) for v in x.view(np.int64).tolist()] + [(None,)], "fp long")
+    got = {r.query: r.found for r in simhash.near_fingerprints(frame(points), frame(asked), 3, block_rows).collect()}
+    want = {q: sorted(points[np.bitwise_count(points ^ np.uint64(q & (2**64 - 1))) <= 3].view(np.int64).tolist())
+            for q in asked.view(np.int64).tolist()}
+    assert got == want and max(map(len, want.values())) > 32
+
+
+def test_fingerprint_query_searches(spark, sf_dir):
+    rows = queries.QUERIES["op5_fingerprints"](spark, sf_dir).collect()
+    prints = {r.doc_id: int(r.fingerprint, 16) for r in rows}
+    assert len(rows) == len(prints) == queries.table(spark, sf_dir, "documents").count()
+    for r in rows:
+        if r.doc_id % 20:
+            assert r.near_fingerprints is None
+        else:
+            near = {p for p in prints.values() if (p ^ prints[r.doc_id]).bit_count() <= 3}
+            assert sorted(r.near_fingerprints) == sorted(f"{p:016x}" for p in near)
+
+
 # 6: licences
 def test_licenses(spark, odd, empty):
     mit = licenses.TEXTS["MIT"][1]
