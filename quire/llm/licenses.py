@@ -33,6 +33,33 @@ TEXTS = {
     "GPL-3.0": ["This work is licensed under the GNU General Public License, version 3."],
     "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0."],
 }
+# Digests of the canonical full texts, with and without title, with and without the part on how to apply them.
+FULL_TEXTS = {
+    "ff7be961361eda3cd2a76927dd0d9482cf45defafde2045befedf77400d98100": "Apache-2.0",
+    "e9dbf930ca0f1e090ec68da9a37b657d11bc9e43b30643455d6a96dbf73116ca": "Apache-2.0",
+    "8bc274b78ed86c607ba1cda8907d306bdcd748d87218adf3dcc786d7f5be76c9": "Apache-2.0",
+    "36bf4bc3f65a3a3715a27446fcc6e075c896e3b75cb615136b59a98da8c2d2c8": "Apache-2.0",
+    "b866f5427b78991db8012466b32f51c907f5e974fde5129a47372d0d0552e3a1": "GPL-2.0",
+    "e4d14510e41435c3eb12c255b72546a3cb9943f06f209c72bc30a19095b08999": "GPL-2.0",
+    "e7bc7b2c2e4b763c9c6ceb90a3984a8273193cd39747fbab315ee26296ddd602": "GPL-2.0",
+    "51784fcce02e3d6a52a2ec0260f583b9d573810cf33e46bd16fd6a821b36760b": "GPL-2.0",
+    "f3ab5ee40da170411ea6671f9845ada2aaba303ee57ba6086b373d1e66c9dc3f": "GPL-3.0",
+    "3dcf77ad8c25248618918aaff1de8a2cb80cea6ca922ef4a7a389cca96a7560b": "GPL-3.0",
+    "f4e87d2266314d5f9d6c3a1488d4ffd2d9992f355e6cf74f1f83fea59f3e6451": "GPL-3.0",
+    "c0c9bd5f6daa38ab99b2393ea1bf3fa29104890d97df6f0e6ee8151c8ea15e08": "GPL-3.0",
+    "cb225061bb71741fe8b31a2092e22fe05b1130438158ae5d16c48fd50186e345": "LGPL-2.1",
+    "963f79d48038eed98d8341c84d8d3b765e99508a738d00654c0112f70a7c370c": "LGPL-2.1",
+    "f9d8c63510acadfc6b74bb2f6da8f29ced84841c43b4548b8aa673c7d43abba9": "LGPL-2.1",
+    "359509cf11d8ff3c5d1dcc9af8aef0449aa2f4665124a5f19daa9990ee1c77eb": "LGPL-2.1",
+    "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be": "LGPL-3.0",
+    "13980739d6423be0921994d8ce3ce547437735b0e6733161f70b19c962f194b7": "LGPL-3.0",
+    "95f6a0d094cf3da6a140310541c7b576789031b600469b70877b34f97918e4c9": "MPL-2.0",
+    "e07dcdcc3b2c19db7e604dfb1498cc5dafa0e9cecf6ffc44f7c2b093fe9bafc2": "MPL-2.0",
+}
+# What stands above the text of a licence, by its short name; the empty one is a text without title.
+TITLES = {"MIT": ["", "MIT License", "The MIT License", "The MIT License (MIT)"], "ISC": ["", "ISC License", "The ISC License", "ISC License (ISC)"]}
+# Where a licence begins behind a copyright notice on the same line.
+GRANT = "(permission is hereby granted|permission to use, copy|redistribution and use in).*"
 # Spellings that count as equal, applied to canonical words.
 SPELLINGS = {"licence": "license", "licences": "licenses", "licenced": "licensed", "organisation": "organization",
              "noninfringement": "non infringement"}
@@ -46,6 +73,23 @@ def canonical_lines(text: Column) -> Column:
     return F.filter(F.transform(lines, canonical_words), lambda x: x != "")
 
 
+def granted_lines(text: Column) -> Column:
+    """Like :func:`canonical_lines`, but of a copyright line what stands behind the notice stays if it is a grant."""
+    lines = F.transform(F.split(F.lower(text), "\n"), lambda x: F.when(
+        F.ltrim(x).rlike(COPYRIGHT), F.regexp_extract(x, GRANT, 0)).otherwise(x))
+    return F.filter(F.transform(lines, canonical_words), lambda x: x != "")
+
+
+def titled(texts: Mapping[str, list[str]]) -> dict[str, list[str]]:
+    """The texts with all titles of their licence; those that begin with none of them stay as they are."""
+    out = {}
+    for name, own in texts.items():
+        out[name] = list(own)
+        for title in TITLES.get(name, []):
+            out[name] += [f"{title} {t[len(f'{name} License '):]}".strip() for t in own if t.startswith(f"{name} License ")]
+    return out
+
+
 def canonical_words(line: Column) -> Column:
     out = F.concat(F.lit(" "), F.regexp_replace(line, NOT_WORDS, " "), F.lit(" "))
     for have, want in SPELLINGS.items():
@@ -71,14 +115,19 @@ def scan_licenses(docs: DataFrame, texts: Mapping[str, list[str]] = TEXTS, id_co
     and ``notices``, the licences that single lines name, in order and separated by commas.
 
     Case, punctuation, copyright lines and equivalent spellings do not matter. A null text has a
-    null digest and no licence; a text without words has the digest of the empty text. Only
+    null digest and no licence. A grant behind a copyright notice on its line counts for ``license``, not for
+    ``digest``; full texts of six more licences are known by their digests. A text without words has the digest of the empty text. Only
     digests are joined; the known ones are as many as the given texts, so they are broadcast.
     """
-    slim = docs.select(docs[id_col].alias("id"), canonical_lines(docs[text_col]).alias("lines")).select(
-        "id", digest(F.array_join("lines", " ")).alias("digest"), F.transform("lines", digest).alias("lines"))
-    known = known_licenses(docs.sparkSession, texts)
+    slim = docs.select(docs[id_col].alias("id"), canonical_lines(docs[text_col]).alias("lines"),
+                       granted_lines(docs[text_col]).alias("granted")).select(
+        "id", digest(F.array_join("lines", " ")).alias("digest"), F.transform("lines", digest).alias("lines"),
+        digest(F.array_join("granted", " ")).alias("granted"))
+    known = known_licenses(docs.sparkSession, titled(texts))
+    if texts:
+        known = known.union(docs.sparkSession.createDataFrame(list(FULL_TEXTS.items()), "known string, license string"))
     named = F.create_map(*[F.lit(x) for r in known.collect() for x in r]) if texts else F.create_map().cast("map<string,string>")
-    whole = slim.join(F.broadcast(known), slim["digest"] == known["known"], "left")
+    whole = slim.join(F.broadcast(known), slim["granted"] == known["known"], "left")
     notices = F.array_sort(F.array_distinct(F.array_compact(F.transform("lines", lambda x: named[x]))))
     return whole.select(F.col("id").alias(id_col), "digest", "license",
                         F.coalesce(F.array_join(notices, ","), F.lit("")).alias("notices"))

@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import os
 import pickle
 import random
 import re
@@ -253,6 +254,21 @@ def test_licenses(spark, odd, empty):
     assert licenses.scan_licenses(odd).count() == odd.count() and licenses.scan_licenses(empty).count() == 0
 
 
+def test_full_licenses_and_titles(spark):
+    body = licenses.TEXTS["MIT"][1].removeprefix("MIT License ")
+    rows = [(1, body), (2, "The MIT License (MIT)\n\nCopyright (c) 2020 A\n\n" + body), (3, "Copyright (c) 2020 A. " + body),
+            (4, "Copyright (c) 2020 A. Other text.")]
+    want = {1: "MIT", 2: "MIT", 3: "MIT", 4: None}
+    for i, (path, name) in enumerate([("Apache-2.0", "Apache-2.0"), ("GPL-2", "GPL-2.0"), ("GPL-3", "GPL-3.0"),
+                                      ("LGPL-2.1", "LGPL-2.1"), ("LGPL-3", "LGPL-3.0"), ("MPL-2.0", "MPL-2.0")]):
+        path = f"/usr/share/common-licenses/{path}"
+        if os.path.exists(path):
+            rows.append((10 + i, open(path).read()))
+            want[10 + i] = name
+    got = licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.license for r in got} == want
+
+
 # 7: pieces
 @pytest.fixture(scope="module")
 def model_path():
