@@ -167,6 +167,11 @@ def _shares(model_scale: float, entropy: np.ndarray, length: np.ndarray) -> np.n
     return z / z.sum(1, keepdims=True)
 
 
+def drawn(rows: int, of: int) -> int:
+    """How many of 2 ** 20 hash values are drawn for about ``rows`` rows; one at least, however many there are."""
+    return max(1, int(min(1.0, rows / max(of, 1)) * (1 << 20)))
+
+
 def train(docs: DataFrame, usable: Column, rows: int = TRAIN_ROWS) -> Model | None:
     """Fit on about ``rows`` whole documents of each language, chosen by a hash, for which ``usable``
     holds and ``lang`` is not null. Every eighth of them is kept back: it fixes the scale of the
@@ -179,7 +184,7 @@ def train(docs: DataFrame, usable: Column, rows: int = TRAIN_ROWS) -> Model | No
     if not languages:
         return None
     draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20))
-    share = F.create_map(*[F.lit(x) for k in languages for x in (k, int(min(1.0, rows / per[k]) * (1 << 20)))])
+    share = F.create_map(*[F.lit(x) for k in languages for x in (k, drawn(rows, per[k]))])
     sample = known.where(draw < share[F.col("lang")]).select("text", "lang", (F.pmod(
         F.xxhash64("text", F.lit("kept back")), F.lit(8)) == 0).alias("kept"))
     raw = spark.sparkContext.broadcast(languages)

@@ -227,8 +227,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, usable: Column, rows: int
     words in a row only the one with the smallest id is learned from."""
     known = labels.where(usable & F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(
         F.max("toxic").alias("toxic"))
-    share = min(1.0, rows / max(known.count(), 1))
-    chosen = known.where(F.pmod(F.xxhash64("doc_id", F.lit("toxicity")), F.lit(1 << 20)) < int(share * (1 << 20)))
+    share = max(1, int(min(1.0, rows / max(known.count(), 1)) * (1 << 20)))
+    chosen = known.where(F.pmod(F.xxhash64("doc_id", F.lit("toxicity")), F.lit(1 << 20)) < share)
     found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").withColumn(
         "words", F.split(F.trim(F.coalesce("text", F.lit(""))), "\\s+"))
     shingle = F.transform("words", lambda w, i: F.xxhash64(

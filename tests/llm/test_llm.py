@@ -144,6 +144,10 @@ def test_language(spark, sf_dir, odd, empty):
     assert np.allclose((2.0 ** langid.log_probabilities(model, code.astype(np.int64))).sum(0), 1, atol=0.02)
 
 
+def test_huge_languages_are_drawn_from():
+    assert langid.drawn(3000, 10**10) == 1 and langid.drawn(3000, 6000) == 1 << 19 and langid.drawn(3000, 0) == 1 << 20
+
+
 # 4: shards
 def test_permutation_and_shards(spark, odd, empty, sf_dir):
     for n in (1, 2, 3, 7, 12, 97, 1000):
