@@ -24,7 +24,8 @@ def query(sql: str | None = None):
 
 
 from quire.llm import (  # noqa: E402
-    embed_dedup, langid, licenses, line_chunks, mixing, near_simhash, pieces, sharding, simhash, toxicity)
+    embed_dedup, exact_dedup, hard_negatives, langid, licenses, line_chunks, mixing, near_simhash, pieces, sharding, simhash,
+    spelling, toxicity)
 
 
 @query(embed_dedup.LINKS_SQL)
@@ -83,3 +84,19 @@ def op9_simhash_dedup(spark, sf_dir):
 def op10_line_dedup(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return line_chunks.drop_repeated_chunks(docs)
+
+
+@query(hard_negatives.NEGATIVES_SQL)
+def op11_hard_negatives(spark, sf_dir):
+    return hard_negatives.mine(hard_negatives.labelled_vectors(table(spark, sf_dir, "embeddings")))
+
+
+@query(exact_dedup.DEDUP_SQL)
+def op12_exact_dedup(spark, sf_dir):
+    return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query(spelling.VARIANTS_SQL)
+def op13_spelling(spark, sf_dir):
+    words = spelling.count_words(table(spark, sf_dir, "documents"), altered=spelling.one_letter_less)
+    return spelling.spelling_variants(words)
