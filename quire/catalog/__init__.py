@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-TOPICS = ("text", "layout", "toc", "store", "checks", "retrieval", "answers", "memory", "streams")
+TOPICS = ("text", "layout", "toc", "store", "checks", "retrieval", "answers", "memory", "chat", "streams")
 
 
 def load_catalog():

@@ -83,18 +83,25 @@ def memory_export(messages: DataFrame, entries: DataFrame) -> DataFrame:
     return stm.unionByName(ltm, allowMissingColumns=True).select("user_id", "part", "thread_id", "entries")
 
 
+def long_term_notes(entries: DataFrame, shown: int = LTM_SHOWN) -> DataFrame:
+    """``user_id, notes``: the user's last entries as a list, oldest first."""
+    last = first_rows(ltm_window(entries), ["user_id"], [F.col("seq").desc()], shown)
+    return last.groupBy("user_id").agg(F.array_join(F.transform(
+        F.array_sort(F.collect_list(F.struct("seq", "content"))), lambda x: F.concat(F.lit("- "), x["content"])), "\n").alias("notes"))
+
+
 def memory_inject(requests: DataFrame, entries: DataFrame, messages: DataFrame, shown: int = LTM_SHOWN) -> DataFrame:
     """Query text with the user's last long-term entries and the thread's last turns in front."""
-    notes = first_rows(ltm_window(entries), ["user_id"], [F.col("seq").desc()], shown)
-    notes = notes.groupBy("user_id").agg(F.array_join(F.transform(
-        F.array_sort(F.collect_list(F.struct("seq", "content"))), lambda x: F.concat(F.lit("- "), x["content"])), "\n").alias("_notes"))
+    notes = long_term_notes(entries, shown).withColumnRenamed("notes", "_notes")
     out = requests.join(notes, "user_id", "left").join(qa_window(messages), THREAD, "left")
-    qa = F.nullif("qa_text", F.lit(""))
-    memory = F.concat_ws("\n", F.concat(F.lit("### User Long-Term Memory:\n"), "_notes"),
-                         F.concat(F.lit("\n### Recent Conversation:\n"), qa))
-    text = F.when(memory == "", F.col("query")).otherwise(
-        F.concat(memory, F.lit("\n\n### Current User Query:\n"), "query"))
-    return out.select(*requests.columns, text.alias("enriched_query"))
+    return out.select(*requests.columns, with_memory(F.col("_notes"), F.col("qa_text"), F.col("query")).alias("enriched_query"))
+
+
+def with_memory(notes: Column, qa_text: Column, query: Column) -> Column:
+    """The query with notes and turns in front; what is null or has no turns leaves no heading."""
+    memory = F.concat_ws("\n", F.concat(F.lit("### User Long-Term Memory:\n"), notes),
+                         F.concat(F.lit("\n### Recent Conversation:\n"), F.nullif(qa_text, F.lit(""))))
+    return F.when(memory == "", query).otherwise(F.concat(memory, F.lit("\n\n### Current User Query:\n"), query))
 
 
 NOTHING_TO_TRANSFORM = "No previous response available to transform."
@@ -103,11 +110,35 @@ NOTHING_TO_TRANSFORM = "No previous response available to transform."
 def transform_query_text(requests: DataFrame, messages: DataFrame) -> DataFrame:
     """The previous answer with the instruction, or a message where there is none."""
     out = requests.join(last_assistant(messages), THREAD, "left")
-    text = F.when(F.coalesce("last_answer", F.lit("")) == "", NOTHING_TO_TRANSFORM).otherwise(
-        F.concat(F.lit("\nPrevious Answer:\n"), "last_answer", F.lit("\n\nInstruction:\n"), "query", F.lit("\n")))
+    text = F.coalesce(with_last_answer(F.col("last_answer"), F.col("query")), F.lit(NOTHING_TO_TRANSFORM))
     return out.select(*requests.columns, text.alias("enriched_query"))
 
 
+def with_last_answer(last_answer: Column, query: Column) -> Column:
+    """The instruction behind the answer it is about; null where there is no answer."""
+    return F.concat(F.lit("\nPrevious Answer:\n"), F.nullif(last_answer, F.lit("")), F.lit("\n\nInstruction:\n"), query, F.lit("\n"))
+
+
+def window_qa(window: Column, max_turns: int = QA_TURNS) -> Column:
+    """The turns of :func:`qa_window` from a thread's messages as an array of ``role, content``."""
+    last = F.slice(window, F.greatest(F.size(window) - 2 * max_turns + 1, F.lit(1)), 2 * max_turns)
+
+    def turn(m: Column, i: Column) -> Column:
+        after = F.get(last, i + 1)
+        return F.when(m["role"] == "user", F.struct(
+            F.coalesce(m["content"], F.lit("")).alias("q"),
+            F.when(after["role"] == "assistant", F.coalesce(after["content"], F.lit(""))).otherwise("").alias("a")))
+    no = lambda i: (i + 1).cast("string")
+    return F.array_join(F.transform(F.array_compact(F.transform(last, turn)), lambda t, i: F.concat(
+        F.lit("Q"), no(i), F.lit(": "), t["q"], F.lit("\nA"), no(i), F.lit(": "), t["a"])), "\n\n")
+
+
+def window_last_answer(window: Column) -> Column:
+    """The latest assistant message of such an array, null if there is none."""
+    said = F.filter(window, lambda m: m["role"] == "assistant")
+    return F.get(said, F.size(said) - 1)["content"]
+
+
 # Fixed values of this library: words that point back at an earlier answer or ask to recast it.
 TRANSFORM_WORDS = ("above", "previous", "that", "it", "this answer", "summarize", "summarise", "summary", "rewrite",
                    "rephrase", "reformat", "format", "bullet", "bullets", "simplify", "shorten", "convert", "translate")
