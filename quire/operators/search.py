@@ -2,19 +2,24 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
-from dataclasses import dataclass
+import uuid
+from dataclasses import dataclass, replace
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from quire.functions.text import tokens
 from quire.operators.ordered import first_rows
-from quire.session import materialise
+from quire.session import checkpoint_dir, materialise
 
 K1, B = 1.2, 0.75
-TERM_BLOCK = 50_000      # terms per pass of the keyword scan
+PLACES = 6
+BUCKETS = 1024           # splits of a stored table by document
+TERM_BUCKETS = 64        # splits of the index by term
+BLOCK_CHUNKS = 256       # chunks of an index block
+GRAM = 3                 # characters of a join key of substrings
+SALT_ROWS = 1 << 20      # texts of a join key before it is split
 
 # Fixed values of this library: frequent English words of more than three letters.
 STOP_WORDS = (
@@ -46,57 +51,152 @@ def fulltext_terms(concepts: Column) -> Column:
     return F.array_join(F.transform(term_keys(concepts), lambda c: F.concat(F.lit('"'), c, F.lit('"'))), " OR ")
 
 
+def doc_bucket(doc: str = "doc_id") -> Column:
+    """The split of the stored tables that holds a document."""
+    return F.pmod(F.xxhash64(doc), F.lit(BUCKETS)).cast("int")
+
+
+def term_bucket(term: str = "term") -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(TERM_BUCKETS)).cast("int")
+
+
 @dataclass(frozen=True)
 class TextIndex:
-    """Inverted index as two tables: ``postings(term, chunk_id, doc_id, emotion, tf, length)`` and
-    ``lengths(chunk_id, length)``. With ``within(chunk_id)`` only those chunks are found; their scores
-    are those of the whole index."""
+    """Inverted index in blocks of chunks, as three tables.
+
+    ``postings(term_bucket, term, block, bucket, chunk_id, doc_id, emotion, tf, length)``; ``maxima(term_bucket, term, block,
+    bucket, n, max_tf, min_length)``, one row per term and block, from which follow the term's document frequency and
+    an upper bound for every posting of the block; and ``lengths(bucket, chunk_id, length)``. A block holds about
+    ``BLOCK_CHUNKS`` chunks of one document bucket, so a frequent word is many blocks and no hot key, and
+    replacing a bucket replaces whole blocks. With ``within(chunk_id)`` only those chunks are found; their scores are
+    those of the whole index."""
     postings: DataFrame
+    maxima: DataFrame
     lengths: DataFrame
     within: DataFrame | None = None
 
 
-def build_index(chunks: DataFrame) -> TextIndex:
+def build_index(chunks: DataFrame, block_chunks: int = BLOCK_CHUNKS) -> TextIndex:
     """Term counts per chunk. All words of a chunk sit in one row, so map-side aggregation has
     counted them before anything is shuffled."""
     if "emotion" not in chunks.columns:
         chunks = chunks.withColumn("emotion", F.lit(None).cast("string"))
-    words = chunks.select("chunk_id", "doc_id", "emotion", tokens(F.col("text")).alias("_w")).withColumn(
-        "length", F.size("_w"))
-    postings = words.select("chunk_id", "doc_id", "emotion", "length", F.explode("_w").alias("term")).groupBy(
-        "term", "chunk_id", "doc_id", "emotion", "length").agg(F.count(F.lit(1)).alias("tf"))
-    return TextIndex(postings, words.select("chunk_id", "length"))
+    bucketed = chunks.select("chunk_id", "doc_id", "emotion", "text", doc_bucket().alias("bucket"))
+    # At most one row per bucket; a bucket with many chunks, or with one very long document, has many blocks.
+    splits = materialise(bucketed.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / block_chunks).cast("long").alias("_splits")))
+    part = F.pmod(F.xxhash64("chunk_id"), F.col("_splits"))
+    words = bucketed.join(splits, "bucket").select(
+        "chunk_id", "doc_id", "emotion", "bucket", (F.shiftleft(F.col("bucket").cast("long"), 32) + part).alias("block"),
+        tokens(F.col("text")).alias("_w")).withColumn("length", F.size("_w"))
+    one = ["chunk_id", "doc_id", "emotion", "bucket", "block", "length"]
+    postings = words.select(*one, F.explode("_w").alias("term")).groupBy("term", *one).agg(F.count(F.lit(1)).alias("tf"))
+    return TextIndex(postings.withColumn("term_bucket", term_bucket()), block_maxima(postings), words.select("bucket", "chunk_id", "length"))
 
 
-def bm25_search(query_terms: DataFrame, index: TextIndex, k: int | None = None) -> DataFrame:
-    """Chunks by BM25 for ``query_terms(query_id, term[, query_emotion])``: ``query_id, doc_id,
-    chunk_id, emotion, score``. Where a query has an emotion only chunks of that emotion count.
+def block_maxima(postings: DataFrame) -> DataFrame:
+    return postings.groupBy("term", "block", "bucket").agg(
+        F.count(F.lit(1)).alias("n"), F.max("tf").alias("max_tf"), F.min("length").alias("min_length")).withColumn(
+        "term_bucket", term_bucket())
+
+
+def write_index(index: TextIndex, folder: str) -> None:
+    """The tables as parquet. Postings and maxima are split by term bucket, so that a search opens those of
+    its terms only, and lie there in the order of terms and blocks; a frequent term spans several files.
+    The maxima are made of the postings as written, so that texts are read once."""
+    def write(df: DataFrame, name: str) -> None:
+        order = ["term_bucket", "term", "block"]
+        df.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").partitionBy("term_bucket").parquet(
+            f"{folder}/{name}")
+    write(index.postings, "postings")
+    write(block_maxima(index.postings.sparkSession.read.parquet(f"{folder}/postings")), "maxima")
+    index.lengths.write.mode("overwrite").parquet(f"{folder}/lengths")
+
+
+def stored_index(index: TextIndex, spark: SparkSession) -> TextIndex:
+    """The index written to the shared folder and read back."""
+    folder = f"{checkpoint_dir(spark)}/quire-index-{uuid.uuid4().hex}"
+    write_index(index, folder)
+    return read_index(spark, folder)
+
+
+def read_index(spark: SparkSession, folder: str) -> TextIndex:
+    return TextIndex(*[spark.read.parquet(f"{folder}/{name}") for name in ("postings", "maxima", "lengths")])
+
+
+def _part(tf: Column, length: Column, avg_length: Column) -> Column:
+    return tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / avg_length))
+
+
+def for_terms(index: TextIndex, query_terms: DataFrame) -> TextIndex:
+    """The index without the folders that hold none of the terms. The list has at most ``TERM_BUCKETS`` numbers."""
+    some = F.col("term_bucket").isin([r[0] for r in query_terms.select(term_bucket().alias("b")).distinct().collect()])
+    return replace(index, postings=index.postings.where(some), maxima=index.maxima.where(some))
 
-    Matching postings are dealt out by chunk *before* they meet the queries. The sum per query and
-    chunk then needs no shuffle of its own, and the cut at ``k`` starts on the map side, so a
-    word found in a third of all chunks is moved once, not once per query that uses it.
+
+def block_bounds(query_terms: DataFrame, index: TextIndex, k: int | None) -> DataFrame:
+    """``query_id, block, [query_emotion,] terms, bound, first`` for every query and block with a word in common.
+
+    ``bound`` is the largest score a chunk of the block could have: the largest term count and the smallest
+    length of the block, per word. ``terms`` are the words that occur there with their weights. ``first`` marks the
+    ``k`` blocks with the highest bounds, which hold at least ``k`` hits.
     """
     corpus = index.lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("avg_length"))
     n, avg_length = corpus.select("n").scalar(), corpus.select("avg_length").scalar()
-    terms = query_terms.distinct()
-    # One scan of the index: what matches is little, and is needed twice.
-    wanted = materialise(index.postings.join(terms.select("term").distinct(), "term", "left_semi"))
-    frequency = wanted.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    # Written aside, so that its true size decides between broadcast and shuffle join.
-    weighted = materialise(terms.join(frequency.select("term", idf.alias("idf")), "term"))
-    tf = F.col("tf")
-    part = tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("length") / avg_length))
-    by_chunk = wanted.select("term", "doc_id", "chunk_id", "emotion", part.alias("part"))
-    if index.within is not None:
-        by_chunk = by_chunk.join(index.within.select("chunk_id"), "chunk_id", "left_semi")
-    by_chunk = by_chunk.repartition("chunk_id")
-    met = by_chunk.join(weighted, "term")
-    if "query_emotion" in terms.columns:
+    asked = query_terms.distinct()
+    held = index.maxima.join(asked.select("term").distinct(), "term", "left_semi")
+    held = materialise(held.select("term", "block", "n", "max_tf", "min_length"))
+    df = F.sum("n")
+    weights = held.groupBy("term").agg(F.log(1 + (n - df + 0.5) / (df + 0.5)).alias("idf"))
+    emotion = [c for c in ("query_emotion",) if c in asked.columns]
+    bound = F.sum(F.col("idf") * _part(F.col("max_tf"), F.col("min_length"), avg_length))
+    out = asked.join(weights, "term").join(held, "term").groupBy("query_id", "block", *emotion).agg(
+        bound.alias("bound"), F.collect_list(F.struct("term", "idf")).alias("terms"))
+    if k is None:
+        return out.withColumn("first", F.lit(True))
+    best = W.partitionBy("query_id").orderBy(F.col("bound").desc(), "block")
+    return out.withColumn("first", F.row_number().over(best) <= k)
+
+
+def _block_hits(wanted: DataFrame, index: TextIndex) -> DataFrame:
+    """Scores of the chunks of the wanted blocks (see :func:`block_bounds`)."""
+    corpus = index.lengths.agg(F.avg("length").alias("avg_length"))
+    asked = wanted.withColumn("_t", F.explode("terms")).select(
+        *[c for c in wanted.columns if c in ("query_id", "block", "query_emotion")], "_t.term", "_t.idf")
+    asked = asked.withColumn("term_bucket", term_bucket())
+    met = index.postings.join(asked, ["term_bucket", "term", "block"])
+    if "query_emotion" in asked.columns:
         met = met.where(F.col("query_emotion").isNull() | (F.col("emotion") == F.col("query_emotion")))
-    hits = met.groupBy("query_id", "doc_id", "chunk_id", "emotion").agg(
-        F.round(F.sum(F.col("idf") * F.col("part")), 6).alias("score"))
-    return hits if k is None else fulltext_overfetch(hits, k, 1)
+    if index.within is not None:
+        met = met.join(index.within.select("chunk_id"), "chunk_id", "left_semi")
+    part = _part(F.col("tf"), F.col("length"), corpus.scalar())
+    return met.groupBy("query_id", "doc_id", "chunk_id", "emotion").agg(
+        F.round(F.sum(F.col("idf") * part), PLACES).alias("score"))
+
+
+def bm25_search(query_terms: DataFrame, index: TextIndex, k: int | None = None) -> DataFrame:
+    """Chunks by BM25 for ``query_terms(query_id, term[, query_emotion])``: ``query_id, doc_id, chunk_id, emotion, score``,
+    and with ``k`` the first ``k`` with their ``rank``. Where a query has an emotion only chunks of that emotion count.
+
+    The most promising blocks of each query are scored first. Blocks whose bound stays below the ``k``-th score found
+    there cannot hold one of the first ``k`` and are not read; all others are, so the result is exact. A query
+    with fewer than ``k`` hits in the first blocks has all its blocks read.
+    """
+    index = for_terms(index, query_terms)
+    bounds = block_bounds(query_terms, index, k)
+    if k is None:
+        return _block_hits(bounds, index)
+    bounds = materialise(bounds)
+    first = materialise(fulltext_overfetch(_block_hits(bounds.where("first"), index), k, 1))
+    rest = blocks_left(bounds, first, k)
+    hits = first.drop("rank").unionByName(_block_hits(rest, index))
+    return fulltext_overfetch(hits, k, 1)
+
+
+def blocks_left(bounds: DataFrame, first: DataFrame, k: int) -> DataFrame:
+    """The blocks that may still hold one of the first ``k``; ties count."""
+    floor = first.groupBy("query_id").agg(F.count(F.lit(1)).alias("_n"), F.min("score").alias("_kth")).where(F.col("_n") >= k)
+    return bounds.where(~F.col("first")).join(floor, "query_id", "left").where(
+        F.col("_kth").isNull() | (F.col("bound") + 2 * 10.0 ** -PLACES >= F.col("_kth"))).drop("_n", "_kth")
 
 
 def fulltext_overfetch(hits: DataFrame, k: int, times: int = 3) -> DataFrame:
@@ -112,50 +212,42 @@ def fulltext_source(score: Column) -> Column:
     return F.when(score.isNotNull(), "graph_fulltext").otherwise("graph_keyword")
 
 
-def _finder(words: Sequence[str]):
-    """A function giving the distinct words contained in a text."""
-    try:
-        import ahocorasick
-    except ImportError:
-        return lambda text: [w for w in words if w in text]
-    machine = ahocorasick.Automaton()
-    for w in words:
-        machine.add_word(w, w)
-    machine.make_automaton()
-    return lambda text: sorted({w for _, w in machine.iter(text)})
-
-
-def _keyword_pass(chunks: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
-    asked: dict[str, list[str]] = {}
-    for query_id, term in pairs:
-        asked.setdefault(term, []).append(query_id)
-    shipped = chunks.sparkSession.sparkContext.broadcast(asked)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        find = _finder(list(shipped.value)) if shipped.value else (lambda text: [])
-        for pdf in batches:
-            pdf = pdf.assign(queries=[sorted({q for w in find(t or "") for q in shipped.value[w]}) for t in pdf["low"]])
-            yield pdf[["chunk_id", "doc_id", "queries"]]
-    texts = chunks.select("chunk_id", "doc_id", F.lower("text").alias("low"))
-    found = texts.mapInPandas(run, "chunk_id string, doc_id string, queries array<string>")
-    return found.select(F.explode("queries").alias("query_id"), "doc_id", "chunk_id")
-
-
-def keyword_theta_join(query_terms: DataFrame, chunks: DataFrame, block: int = TERM_BLOCK) -> DataFrame:
-    """Pairs of query and chunk where the chunk contains any of the query's terms, ignoring case.
-
-    A substring test has no equality to join on. Instead of comparing every chunk with every term,
-    each task runs a multi-pattern automaton over its texts: one pass whatever the number of
-    terms, and nothing to shuffle. Terms are shipped in blocks of checked size, one scan per block.
+def _grams(text: Column, size: int) -> Column:
+    """The different stretches of ``size`` characters of a text."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1)))
+
+
+def keyword_theta_join(query_terms: DataFrame, chunks: DataFrame, salt_rows: int = SALT_ROWS) -> DataFrame:
+    """Pairs of query and chunk where the chunk contains any of the query's terms, ignoring the chunk's case.
+
+    A substring test has no equality to join on, so one is made: a text that contains a term contains
+    each of its stretches of three characters (shorter terms: the term itself). Of these the one
+    that fewest texts have is the term's key. Texts meet terms by key, and what meets is tested. A term with a
+    stretch that no text has is out at once. Stretches are counted before they move, and one that
+    more than ``salt_rows`` texts have is joined in that many parts. Null and empty terms match nothing.
     """
-    pairs = query_terms.where("term <> ''").select("query_id", "term").distinct()
-    head = [tuple(r) for r in pairs.limit(block + 1).collect()]
-    if len(head) <= block:
-        return _keyword_pass(chunks, head)
-    passes = -(-pairs.count() // (block // 2))
-    found = None
-    for i in range(passes):
-        part = pairs.where(F.pmod(F.xxhash64("query_id", "term"), F.lit(passes)) == i)
-        hits = _keyword_pass(chunks, [tuple(r) for r in part.toLocalIterator()])
-        found = hits if found is None else found.unionByName(hits)
-    return found.distinct()
+    asked = query_terms.where("term <> ''").select("query_id", "term").distinct()
+    terms = materialise(asked.select("term").distinct().withColumn("size", F.least(F.length("term"), F.lit(GRAM))))
+    sizes = [r[0] for r in terms.select("size").distinct().collect()]  # at most GRAM numbers
+    low = chunks.select("chunk_id", "doc_id", F.lower("text").alias("low"))
+
+    def grams_of(df: DataFrame, text: str, size: int) -> DataFrame:
+        return df.withColumn("gram", F.explode(_grams(F.col(text), size)))
+    none = terms.select("term", F.lit("").alias("gram")).where("false")
+    of_terms, of_texts = none, low.select("chunk_id", "doc_id", F.lit("").alias("gram")).where("false")
+    for size in sizes:
+        of_terms = of_terms.union(grams_of(terms.where(F.col("size") == size), "term", size).select("term", "gram"))
+        of_texts = of_texts.union(grams_of(low, "low", size).select("chunk_id", "doc_id", "gram"))
+    counts = of_texts.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    n = F.coalesce("n", F.lit(0))
+    keys = of_terms.join(counts, "gram", "left").groupBy("term").agg(
+        F.min(F.struct(n.alias("n"), F.col("gram"))).alias("key")).where("key.n > 0")
+    keys = materialise(keys.select("term", "key.gram", F.ceil(F.col("key.n") / salt_rows).cast("int").alias("parts")))
+    frequent = materialise(keys.where("parts > 1").select("gram", "parts").distinct())
+    # Only stretches that are a key go on; the parts of a frequent one go by chunk.
+    rows = of_texts.join(keys.select("gram").distinct(), "gram", "left_semi").join(frequent, "gram", "left").select(
+        "chunk_id", "doc_id", "gram", F.pmod(F.xxhash64("chunk_id"), F.coalesce("parts", F.lit(1))).alias("part"))
+    spread = keys.select("term", "gram", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1)).alias("part"))
+    met = rows.join(spread, ["gram", "part"]).select("chunk_id", "doc_id", "term")
+    found = met.join(low.select("chunk_id", "low"), "chunk_id").where(F.contains("low", "term")).select("chunk_id", "doc_id", "term")
+    return found.join(asked, "term").select("query_id", "doc_id", "chunk_id").distinct()

@@ -16,11 +16,11 @@ from quire.operators import search as S
 from quire.operators.chunking import next_links
 from quire.operators.nearest import knn_join
 from quire.operators.ordered import first_rows
+from quire.operators.search import doc_bucket
 from quire.session import materialise
 
 CONTEXT_SEEDS = 10
 KEY = ["doc_id", "chunk_id"]
-BUCKETS = 1024           # splits of a stored table by document
 META = ["chapter", "subheading", "page_label", "page_physical"]
 
 
@@ -43,25 +43,20 @@ class Corpus:
         return Corpus(kept, self.vectors.join(ids, "chunk_id", "left_semi"), links, index)
 
 
-def doc_bucket() -> Column:
-    return F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS)).cast("int")
-
-
 def load_corpus(spark: SparkSession, folder: str) -> Corpus:
     """The tables as :func:`quire.plans.ingest.write_ingested` left them."""
     def read(name: str) -> DataFrame:
         return spark.read.parquet(f"{folder}/{name}")
-    return Corpus(read("chunks"), read("vectors"), read("links"), S.TextIndex(read("postings"), read("lengths")))
+    return Corpus(read("chunks"), read("vectors"), read("links"), S.read_index(spark, folder))
 
 
 def build_corpus(chunks: DataFrame, embed: Callable[[Column], Column] = text_embed) -> Corpus:
     """Vectors, links and inverted index of a chunk table, written once."""
-    index = S.build_index(chunks)
     return Corpus(
         chunks=chunks,
         vectors=materialise(chunks.select("doc_id", "chunk_id", embed(F.col("text")).alias("embedding"))),
         links=materialise(next_links(chunks)),
-        index=S.TextIndex(materialise(index.postings), materialise(index.lengths)),
+        index=S.stored_index(S.build_index(chunks), chunks.sparkSession),
     )
 
 
@@ -95,7 +90,7 @@ def fulltext_query(asked: DataFrame) -> DataFrame:
 
 def graph_primary(asked: DataFrame, corpus: Corpus, k: int) -> DataFrame:
     """Full-text hits, three times as many as asked for; keyword hits for queries without any."""
-    found = materialise(S.fulltext_overfetch(S.bm25_search(fulltext_query(asked), corpus.index), k))
+    found = materialise(S.bm25_search(fulltext_query(asked), corpus.index, 3 * k))
     missing = asked.where(F.size("concepts") > 0).join(found.select("query_id").distinct(), "query_id", "left_anti")
     if not missing.isEmpty():
         words = missing.select("query_id", F.explode("concepts").alias("term"))

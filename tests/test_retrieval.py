@@ -1,3 +1,8 @@
+import math
+import random
+import re
+from dataclasses import replace
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -58,26 +63,103 @@ def test_score_scale(spark):
     assert [round(r[0], 6) for r in df.select(S.fulltext_score_scale(F.col("s"))).collect()] == [0.7, 1.0, 0.6]
 
 
-def test_keyword_blocks_agree_with_brute_force(spark, sf_dir):
+def test_keywords_agree_with_brute_force(spark, sf_dir):
     chunks = RQ.corpus(spark, sf_dir).chunks
     words = spark.createDataFrame([(f"q{i % 7}", w) for i, w in enumerate(
         ["the", "eau", "on", "idiot", "ßßß", "tion", "en d", "ing.", "zzz", "ER"])], "query_id string, term string")
     texts = [(r.chunk_id, r.text.lower()) for r in chunks.select("chunk_id", "text").collect()]
     want = {(w.query_id, c) for w in words.collect() for c, t in texts if w.term in t}
-    for block in (50_000, 4):
-        got = S.keyword_theta_join(words, chunks, block).select("query_id", "chunk_id").collect()
+    for salt_rows in (1 << 20, 3):
+        got = S.keyword_theta_join(words, chunks, salt_rows).select("query_id", "chunk_id").collect()
         assert len(got) == len(want) and {tuple(r) for r in got} == want
 
 
-def test_bm25_moves_postings_not_pairs(spark, sf_dir):
-    from quire.plans.retrieve import fulltext_query, with_concepts
-    terms = fulltext_query(with_concepts(RQ.query_rows(spark, sf_dir)))
-    plan = S.bm25_search(terms, RQ.corpus(spark, sf_dir).index)._jdf.queryExecution().executedPlan().toString()
-    # The pairs are summed where the postings were dealt out: no exchange by query and chunk.
-    assert "hashpartitioning(query_id" not in plan
+def test_keyword_join_is_a_plan_without_python(spark, sf_dir):
+    words = spark.createDataFrame([("q", "fever")], "query_id string, term string")
+    plan = S.keyword_theta_join(words, RQ.corpus(spark, sf_dir).chunks)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Pandas" not in plan and "Cartesian" not in plan and "NestedLoop" not in plan
+
+
+def test_keywords_on_odd_texts(spark):
+    texts = [("c1", "Aaaa"), ("c2", ""), ("c3", None), ("c4", "x\ny 😀😀z"), ("c5", "ab" * 50_000), ("c5", "ab" * 50_000)]
+    terms = [("q1", "aa"), ("q1", "a"), ("q2", "\ny"), ("q2", "😀z"), ("q3", "😀😀z"), ("q4", ""), ("q5", None), ("q6", "bab"), ("q6", "zab"), ("q7", "aaaaa")]
+    chunks = spark.createDataFrame([("d", c, t) for c, t in texts], "doc_id string, chunk_id string, text string")
+    words = spark.createDataFrame(terms, "query_id string, term string")
+    want = {(q, c) for q, w in terms if w for c, t in texts if t and w in t.lower()}
+    for salt_rows in (1 << 20, 1):
+        got = [(r.query_id, r.chunk_id) for r in S.keyword_theta_join(words, chunks, salt_rows).collect()]
+        assert len(got) == len(want) and set(got) == want
+    assert S.keyword_theta_join(words.where("false"), chunks).count() == 0 == S.keyword_theta_join(words, chunks.where("false")).count()
+
+
+def bm25_by_hand(texts, terms, k):
+    """Every chunk scored for every query."""
+    words = {c: t.lower().split() for _, c, t in texts}
+    n, average = len(words), sum(map(len, words.values())) / len(words)
+    out = []
+    for q in sorted({q for q, _ in terms}):
+        scored = []
+        for c, ws in words.items():
+            score, hit = 0.0, False
+            for t in {t for x, t in terms if x == q}:
+                df, tf = sum(t in w for w in words.values()), ws.count(t)
+                if tf:
+                    hit = True
+                    score += math.log(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(ws) / average))
+            if hit:
+                scored.append((-round(score, 6), c))
+        out += [(q, i + 1, c, -s) for i, (s, c) in enumerate(sorted(scored)[:k])]
+    return out
+
+
+@pytest.fixture(scope="module")
+def corpus_texts():
+    """Common and rare words, many equal texts, and one document with a third of all chunks."""
+    rng = random.Random(4)
+    vocabulary = [f"w{i}" for i in range(60)]
+    weights = [1 / (i + 1) for i in range(60)]
+    texts = [" ".join(rng.choices(vocabulary, weights, k=rng.randint(3, 25))) for _ in range(400)] + ["w1 w2 w3 w30"] * 200
+    return [("big" if i % 3 == 0 else f"d{i % 50}", f"c{i:04d}", t) for i, t in enumerate(texts)]
+
+
+@pytest.mark.parametrize("block_chunks", [4, 256])
+def test_block_max_search_is_exact(spark, corpus_texts, block_chunks):
+    terms = [("a", "w1"), ("a", "w30"), ("b", "w59"), ("b", "w0"), ("c", "w2"), ("d", "nowhere"), ("e", "w40"), ("e", "w41"), ("e", "w3"), ("e", "w3")]
+    chunks = spark.createDataFrame(corpus_texts, "doc_id string, chunk_id string, text string")
+    index = S.stored_index(S.build_index(chunks, block_chunks), spark)
+    asked = spark.createDataFrame(terms, "query_id string, term string")
+    for k in (1, 7, 250):
+        got = sorted((r.query_id, r["rank"], r.chunk_id, r.score) for r in S.bm25_search(asked, index, k).collect())
+        assert got == sorted(bm25_by_hand(corpus_texts, terms, k))
+    every = S.bm25_search(asked, index).collect()
+    assert sorted((r.query_id, r.chunk_id, r.score) for r in every) == sorted((q, c, s) for q, _, c, s in bm25_by_hand(corpus_texts, terms, 10_000))
+
+
+def test_search_reads_few_blocks_and_folders(spark, corpus_texts):
+    """A rare word beside a frequent one: most blocks hold the frequent one only and cannot win."""
+    texts = [(f"d{i}", f"c{i:05d}", "common " * (1 + i % 3) + f"filler{i % 7} " * 20) for i in range(3000)]
+    texts[17] = ("d17", "c00017", "rare rare common")
+    texts[1200] = ("d1200", "c01200", "rare common")
+    chunks = spark.createDataFrame(texts, "doc_id string, chunk_id string, text string")
+    index = S.stored_index(S.build_index(chunks), spark)
+    asked = spark.createDataFrame([("q", "rare"), ("q", "common")], "query_id string, term string")
+    bounds = S.block_bounds(asked, index, 2)
+    first = S.fulltext_overfetch(S._block_hits(bounds.where("first"), index), 2, 1)
+    read = bounds.where("first").drop("first").unionByName(S.blocks_left(bounds, first, 2).drop("first"))
+    words = read.select("block", F.explode("terms.term").alias("term"))
+    rows = index.postings.join(words, ["term", "block"]).count()
+    every = index.postings.where("term in ('rare', 'common')").count()
+    assert every == 3002 and rows < every / 10
+    assert [r.chunk_id for r in S.bm25_search(asked, index, 2).orderBy("rank").collect()] == ["c00017", "c01200"]
+    # The scans open the folders of the two terms only.
+    pruned = S.for_terms(index, asked)
+    for table in (pruned.postings, pruned.maxima):
+        plan = table._jdf.queryExecution().executedPlan().toString()
+        assert re.search(r"PartitionFilters: \[[^\]]*term_bucket#\d+ (IN \(|= )", plan)
+    opened = [f for f in index.postings.inputFiles() if any(f"/term_bucket={r[0]}/" in f for r in asked.select(S.term_bucket()).collect())]
+    assert 0 < len(opened) <= 2 < len(index.postings.inputFiles())
 
 
-@pytest.mark.parametrize("mode", ["vector", "graph", "hybrid"])
 def test_modes_and_filters(spark, sf_dir, mode):
     corpus, queries = RQ.corpus(spark, sf_dir), RQ.query_rows(spark, sf_dir)
     out = retrieve(queries, corpus, mode=mode, top_k=4, filters={"page_physical": 1}).collect()
@@ -125,6 +207,6 @@ def test_filtered_search_scores_like_the_whole_index(spark):
     terms = spark.createDataFrame([("q", "fever"), ("q", "tea")], "query_id string, term string")
     index = S.build_index(chunks)
     every = {r.chunk_id: r.score for r in S.bm25_search(terms, index).collect()}
-    kept = S.TextIndex(index.postings, index.lengths, within=chunks.where("doc_id = 'd2'").select("chunk_id"))
+    kept = replace(index, within=chunks.where("doc_id = 'd2'").select("chunk_id"))
     some = {r.chunk_id: r.score for r in S.bm25_search(terms, kept).collect()}
     assert set(every) == {"c1", "c2", "c3", "c4"} and some == {c: every[c] for c in ("c3", "c4")}
