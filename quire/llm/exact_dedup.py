@@ -45,7 +45,8 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     place = F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("row").alias("row"))
 
     def groups(some: DataFrame, by: list[str]) -> DataFrame:
-        per = some.groupBy(*by).agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("size"))
+        # Written aside: a join with the aggregate itself could not be split where one group has very many rows.
+        per = scratch.save(some.groupBy(*by).agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("size")))
         return some.join(per, by).select("id", "row", "first", "size", "sha")
 
     # Rows of a collided hash get the number of their text; it needs the bytes, so only these are read again.
