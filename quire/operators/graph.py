@@ -39,11 +39,11 @@ def graph_build_nodes(chunks: DataFrame) -> DataFrame:
     ))).distinct()
 
 
-def graph_build_edges(chunks: DataFrame) -> DataFrame:
-    """Hierarchy and emotion relations, each once: ``rel, src, dst``."""
+def graph_build_edges(chunks: DataFrame, with_document: bool = False) -> DataFrame:
+    """Hierarchy and emotion relations, each once: ``rel, src, dst``, and on request the ``doc_id`` they belong to."""
     def edge(rel, src, dst):
         return F.struct(F.lit(rel).alias("rel"), src.alias("src"), dst.alias("dst"))
-    return _named(chunks).select(F.inline(F.array(
+    return _named(chunks).select(*["doc_id"] * with_document, F.inline(F.array(
         edge("HAS_CHAPTER", F.col("doc_id"), _key("chapter")),
         edge("HAS_SUBHEADING", _key("chapter"), _key("subheading")),
         edge("HAS_CHUNK", _key("subheading"), F.col("chunk_id")),

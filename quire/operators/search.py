@@ -51,9 +51,9 @@ def fulltext_terms(concepts: Column) -> Column:
     return F.array_join(F.transform(term_keys(concepts), lambda c: F.concat(F.lit('"'), c, F.lit('"'))), " OR ")
 
 
-def doc_bucket(doc: str = "doc_id") -> Column:
+def doc_bucket(buckets: int = BUCKETS) -> Column:
     """The split of the stored tables that holds a document."""
-    return F.pmod(F.xxhash64(doc), F.lit(BUCKETS)).cast("int")
+    return F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int")
 
 
 def term_bucket(term: str = "term") -> Column:
@@ -76,12 +76,12 @@ class TextIndex:
     within: DataFrame | None = None
 
 
-def build_index(chunks: DataFrame, block_chunks: int = BLOCK_CHUNKS) -> TextIndex:
+def build_index(chunks: DataFrame, block_chunks: int = BLOCK_CHUNKS, buckets: int = BUCKETS) -> TextIndex:
     """Term counts per chunk. All words of a chunk sit in one row, so map-side aggregation has
     counted them before anything is shuffled."""
     if "emotion" not in chunks.columns:
         chunks = chunks.withColumn("emotion", F.lit(None).cast("string"))
-    bucketed = chunks.select("chunk_id", "doc_id", "emotion", "text", doc_bucket().alias("bucket"))
+    bucketed = chunks.select("chunk_id", "doc_id", "emotion", "text", doc_bucket(buckets).alias("bucket"))
     # At most one row per bucket; a bucket with many chunks, or with one very long document, has many blocks.
     splits = materialise(bucketed.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / block_chunks).cast("long").alias("_splits")))
     part = F.pmod(F.xxhash64("chunk_id"), F.col("_splits"))

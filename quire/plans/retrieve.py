@@ -31,6 +31,7 @@ class Corpus:
     vectors: DataFrame     # doc_id, chunk_id, embedding
     links: DataFrame       # doc_id, src, dst
     index: S.TextIndex
+    buckets: int = S.BUCKETS  # splits of the stored tables
 
     def filtered(self, filters: Mapping[str, object] | None) -> "Corpus":
         """Keep matching chunks everywhere, before any ranking."""
@@ -40,7 +41,7 @@ class Corpus:
         ids = kept.select("chunk_id")
         links = G.link_endpoint_check(self.links, kept)
         index = replace(self.index, within=ids)
-        return Corpus(kept, self.vectors.join(ids, "chunk_id", "left_semi"), links, index)
+        return replace(self, chunks=kept, vectors=self.vectors.join(ids, "chunk_id", "left_semi"), links=links, index=index)
 
 
 def load_corpus(spark: SparkSession, folder: str) -> Corpus:
@@ -109,13 +110,13 @@ def graph_merge(asked: DataFrame, corpus: Corpus, k: int) -> DataFrame:
     return K.best_per_key(K.unify(primary, near), order=[F.col("leg"), F.col("rank")])
 
 
-def fetch(hits: DataFrame, chunks: DataFrame) -> DataFrame:
+def fetch(hits: DataFrame, corpus: Corpus) -> DataFrame:
     """Texts and metadata of all hit chunks (``doc_id, chunk_id``), read in one scan of the chunk
     table. A stored table is split by document bucket; only buckets that hold a hit are read."""
-    ids = hits.select("doc_id", "chunk_id").distinct()
+    chunks, ids = corpus.chunks, hits.select("doc_id", "chunk_id").distinct()
     on = ["chunk_id"]
     if "bucket" in chunks.columns:
-        ids, on = ids.withColumn("bucket", doc_bucket()), ["bucket", "chunk_id"]
+        ids, on = ids.withColumn("bucket", doc_bucket(corpus.buckets)), ["bucket", "chunk_id"]
     ids = materialise(ids.select(*on))
     return materialise(chunks.join(ids, on, "left_semi").select("chunk_id", "text", *META))
 
@@ -131,7 +132,7 @@ def graph_retrieve(queries: DataFrame, corpus: Corpus, k: int = 15) -> DataFrame
     """Terms to full text, two hops, boosts, best ``k`` per query."""
     asked = materialise(with_concepts(queries))
     found = materialise(graph_merge(asked, corpus, k))
-    return _graph_ranked(found, asked, fetch(found, corpus.chunks), k)
+    return _graph_ranked(found, asked, fetch(found, corpus), k)
 
 
 def hybrid_candidates(queries: DataFrame, corpus: Corpus, initial_k: int,
@@ -142,7 +143,7 @@ def hybrid_candidates(queries: DataFrame, corpus: Corpus, initial_k: int,
     vector = materialise(vector_topk(queries, corpus, initial_k, embed))
     around = materialise(G.expand_chunk_context(vector.where(F.col("rank") <= CONTEXT_SEEDS), corpus.links))
     graph = materialise(graph_merge(asked, corpus, initial_k))
-    texts = fetch(vector.select(*KEY).unionByName(around.select(*KEY)).unionByName(graph.select(*KEY)), corpus.chunks)
+    texts = fetch(vector.select(*KEY).unionByName(around.select(*KEY)).unionByName(graph.select(*KEY)), corpus)
     legs = K.unify(vector, _graph_ranked(graph, asked, texts, initial_k), around)
     return K.best_per_key(legs, order=[F.col("leg"), F.col("rank")]).drop("leg", "rank"), texts
 
@@ -161,7 +162,7 @@ def retrieve(queries: DataFrame, corpus: Corpus, mode: str = "hybrid", top_k: in
         leg = vector_topk(queries, corpus, initial_k, embed) if mode == "vector" else \
             graph_retrieve(queries, corpus, initial_k)
         hits = materialise(leg.drop("rank"))
-        texts = fetch(hits, corpus.chunks)
+        texts = fetch(hits, corpus)
     if "emotion" not in hits.columns:
         hits = hits.withColumn("emotion", F.lit(None).cast("string"))
     none = {"chapter": F.lit(None).cast("string"), "subheading": F.lit(None).cast("string")}
