@@ -7,6 +7,7 @@ import pickle
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -367,6 +368,28 @@ def shingled(text):
     return frozenset(tuple(words[i:i + 5]) for i in range(max(1, len(words) - 4))) if words else frozenset()
 
 
+def alike_pairs(texts):
+    """Pairs of texts with 0.8 or more of their five-word shingles in common, found by shared shingles."""
+    sets, holders, shared = [shingled(t) for t in texts], {}, Counter()
+    for i, own in enumerate(sets):
+        for shingle in own:
+            holders.setdefault(shingle, []).append(i)
+    for held in holders.values():
+        shared.update(itertools.combinations(held, 2))
+    empty = [i for i, own in enumerate(sets) if not own]
+    return [(i, j) for (i, j), n in shared.items() if n >= 0.8 * (len(sets[i]) + len(sets[j]) - n)] + list(zip(empty, empty[1:]))
+
+
+def test_near_duplicates_of_a_whole_table(spark):
+    """All 1,000 documents of sf0.01 against exact Jaccard similarity."""
+    docs = queries.table(spark, "/root/testdata/sf0.01", "documents")
+    rows = sorted((r.doc_id, r.text) for r in docs.collect())
+    pairs = alike_pairs([t for _, t in rows])
+    assert sum(rows[i][1] != rows[j][1] for i, j in pairs) >= 5
+    want = sorted(rows[g][0] for g in set(groups(len(rows), pairs)))
+    assert sorted(r.doc_id for r in resemblance.keep_one_per_group(docs).collect()) == want
+
+
 @pytest.mark.parametrize("block", [(1024, 1 << 20), (3, 400)])
 def test_edited_copies_go(spark, odd, empty, block):
     rng, texts = random.Random(9), []
@@ -446,8 +469,7 @@ def test_pipeline_stages(spark, sf_dir, model_path):
     assert cut.keys() == clean.keys() and all(len(r.text) == r.n_chars for r in cut.values())
     assert all(set(cut[i].text.split("\n")) <= {*clean[i].text.split("\n"), ""} for i in cut)
     ids = sorted(cut)
-    prints = [plain_print(cut[i].text) for i in ids]
-    pairs = [(i, j) for i, j in itertools.combinations(range(len(ids)), 2) if (prints[i] ^ prints[j]).bit_count() <= 4]
+    pairs = alike_pairs([cut[i].text for i in ids])
     assert one == {ids[g]: cut[ids[g]] for g in groups(len(ids), pairs)}
     assert mixed == one and tokens.keys() == one.keys()
     import sentencepiece
@@ -467,6 +489,17 @@ def test_mixture_outlives_the_reread(spark, model_path):
     assert [first.count(f"src{i}") for i in range(4)] == [64, 48, 32, 32]
 
 
+def test_columns_named_like_the_mixture(spark, model_path):
+    """The documents' own slot and position do not pass for those of the mixture."""
+    docs = spark.createDataFrame([(i, prose(5, i), "en", f"src{i % 2}", 9, 777, 888) for i in range(40)],
+                                 "doc_id long, text string, lang string, source string, n_chars long, slot long, position long")
+    rows = {r.doc_id: (r.slot, r.position) for r in corpus_pipeline.tokens(spark, docs, "").collect()}
+    want = mixing.mix(docs, queries.MIXTURE, block_rows=16, seed=20)
+    assert rows == {r.doc_id: (r._slot, r._position) for r in want.collect()} and len(set(rows.values())) == 40
+    mixed = corpus_pipeline.mixture(spark, docs, "")
+    assert mixed.columns == docs.columns and {(r.slot, r.position) for r in mixed.collect()} == {(777, 888)}
+
+
 def test_models_travel_without_the_package(spark, sf_dir, monkeypatch):
     """What is broadcast is plain data, so that workers need nothing installed."""
     from pyspark import SparkContext
