@@ -56,7 +56,8 @@ def distance_to_score(spark, sf_dir):
   select query_id, doc_id, chunk_id, distance, score, cast(k as integer) as rank from (
     select *, row_number() over (partition by query_id order by score desc, chunk_id) k from r) where k <= 20""")
 def knn_join(spark, sf_dir):
-    return nearest(V.query_vectors(spark, sf_dir), V.chunk_vectors(spark, sf_dir), 20, metric="l2")
+    # Blocks of 64 vectors.
+    return nearest(V.query_vectors(spark, sf_dir), V.chunk_vectors(spark, sf_dir), 20, metric="l2", block_bytes=64 * 64 * 8)
 
 
 VTOP = f"""{I.QUERY_VECTORS}, {I.CHUNK_VECTORS}, vs as (select query_id, doc_id, chunk_id, {COS} score from query_vectors q, chunk_vectors c),
@@ -301,6 +302,13 @@ def hybrid_merge(spark, sf_dir):
     return hits.select("query_id", "doc_id", "chunk_id", F.round("score", 6).alias("score"), "source")
 
 
+@query("vector_threshold", f"""with {HYBRID} select query_id, v.doc_id, chunk_id, v.score, v.source, cast(row_number() over (
+  partition by query_id order by v.rank) as integer) as rank from v_top v join emo e using (chunk_id) where v.score >= 0.2 and page_physical = 1""")
+def vector_threshold(spark, sf_dir):
+    """The nearest chunks, of which weak ones and those of later pages go after the search."""
+    return P.vector_topk(query_rows(spark, sf_dir), corpus(spark, sf_dir), 15, min_score=0.2, post_filter={"page_physical": 1})
+
+
 @query("retrieve", f"with {RETRIEVED} select {RESULT} from results")
 def retrieve(spark, sf_dir):
     return P.retrieve(query_rows(spark, sf_dir), corpus(spark, sf_dir)).withColumn("score", F.round("score", 6))

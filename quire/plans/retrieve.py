@@ -68,12 +68,24 @@ def with_concepts(queries: DataFrame) -> DataFrame:
                           F.nullif(emotion, F.lit(NEUTRAL)).alias("query_emotion"))
 
 
-def vector_topk(queries: DataFrame, corpus: Corpus, k: int,
-                embed: Callable[[Column], Column] = text_embed) -> DataFrame:
-    """``query_id, doc_id, chunk_id, score, source, rank`` of the nearest chunks."""
+def vector_topk(queries: DataFrame, corpus: Corpus, k: int, embed: Callable[[Column], Column] = text_embed,
+                min_score: float = 0.0, post_filter: Mapping[str, object] | None = None) -> DataFrame:
+    """``query_id, doc_id, chunk_id, score, source, rank`` of the nearest chunks.
+
+    ``min_score`` and ``post_filter`` (equalities on the chunk's columns) look at the ``k`` nearest only, so that fewer
+    may be left; ranks are those of what is left. :meth:`Corpus.filtered` filters before the search instead.
+    """
     q = queries.select("query_id", embed(F.col("query")).alias("embedding"))
-    return knn_join(q, corpus.vectors, k).select(
+    near = knn_join(q, corpus.vectors, k).select(
         "query_id", "doc_id", "chunk_id", "score", F.lit("vector").alias("source"), "rank")
+    if min_score <= 0 and not post_filter:
+        return near
+    kept = K.min_score_filter(near, min_score)
+    if post_filter:
+        matching = K.metadata_filter(corpus.chunks, post_filter).select("chunk_id")
+        kept = kept.join(matching, "chunk_id", "left_semi")
+    return first_rows(kept.withColumnRenamed("rank", "_place"), ["query_id"], [F.col("_place")], k, rank="rank").drop(
+        "_place").select(*near.columns)
 
 
 def _same_emotion(hits: DataFrame, asked: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -135,12 +147,12 @@ def graph_retrieve(queries: DataFrame, corpus: Corpus, k: int = 15) -> DataFrame
     return _graph_ranked(found, asked, fetch(found, corpus), k)
 
 
-def hybrid_candidates(queries: DataFrame, corpus: Corpus, initial_k: int,
-                      embed: Callable[[Column], Column] = text_embed) -> tuple[DataFrame, DataFrame]:
+def hybrid_candidates(queries: DataFrame, corpus: Corpus, initial_k: int, embed: Callable[[Column], Column] = text_embed,
+                      min_score: float = 0.0, post_filter: Mapping[str, object] | None = None) -> tuple[DataFrame, DataFrame]:
     """Vector hits, graph hits and the surroundings of the first vector hits, one row per chunk;
     and the texts of everything looked at."""
     asked = materialise(with_concepts(queries))
-    vector = materialise(vector_topk(queries, corpus, initial_k, embed))
+    vector = materialise(vector_topk(queries, corpus, initial_k, embed, min_score, post_filter))
     around = materialise(G.expand_chunk_context(vector.where(F.col("rank") <= CONTEXT_SEEDS), corpus.links))
     graph = materialise(graph_merge(asked, corpus, initial_k))
     texts = fetch(vector.select(*KEY).unionByName(around.select(*KEY)).unionByName(graph.select(*KEY)), corpus)
@@ -151,15 +163,17 @@ def hybrid_candidates(queries: DataFrame, corpus: Corpus, initial_k: int,
 def retrieve(queries: DataFrame, corpus: Corpus, mode: str = "hybrid", top_k: int = 8, initial_k: int = 15,
              filters: Mapping[str, object] | None = None,
              scorer: Callable[[Column, Column], Column] = K.overlap_score,
-             embed: Callable[[Column], Column] = text_embed) -> DataFrame:
-    """Best ``top_k`` chunks per query after reranking."""
+             embed: Callable[[Column], Column] = text_embed, min_score: float = 0.0,
+             post_filter: Mapping[str, object] | None = None) -> DataFrame:
+    """Best ``top_k`` chunks per query after reranking. ``filters`` hold before any ranking, ``min_score`` and
+    ``post_filter`` thin out what the vector search found; ``embed`` and ``scorer`` may be models."""
     if mode not in ("vector", "graph", "hybrid"):
         raise ValueError(f"mode must be vector, graph or hybrid, not {mode}")
     corpus = corpus.filtered(filters)
     if mode == "hybrid":
-        hits, texts = hybrid_candidates(queries, corpus, initial_k, embed)
+        hits, texts = hybrid_candidates(queries, corpus, initial_k, embed, min_score, post_filter)
     else:
-        leg = vector_topk(queries, corpus, initial_k, embed) if mode == "vector" else \
+        leg = vector_topk(queries, corpus, initial_k, embed, min_score, post_filter) if mode == "vector" else \
             graph_retrieve(queries, corpus, initial_k)
         hits = materialise(leg.drop("rank"))
         texts = fetch(hits, corpus)

@@ -11,6 +11,7 @@ from quire.catalog import retrieval as RQ
 from quire.functions.vectors import distance_to_score
 from quire.operators import candidates as K
 from quire.operators import citations as CI
+from quire.operators import nearest
 from quire.operators import search as S
 from quire.operators.nearest import knn_join
 from quire.plans.retrieve import retrieve
@@ -41,10 +42,11 @@ def brute(queries, rows, k, metric):
 
 
 @pytest.mark.parametrize("metric", ["cosine", "l2", "ip"])
-@pytest.mark.parametrize("block,cell", [(2048, 50_000), (5, 7)])
-def test_knn_is_exact_both_ways(vectors, metric, block, cell):
+@pytest.mark.parametrize("block_bytes", [8 << 20, 8 * 8 * 7])
+def test_knn_is_exact(vectors, metric, block_bytes):
+    """One block, and blocks of seven vectors."""
     q, c, queries, rows = vectors
-    got = knn_join(q, c, 4, metric, query_block=block, chunk_cell=cell)
+    got = knn_join(q, c, 4, metric, block_bytes=block_bytes)
     assert sorted((r.query_id, r.chunk_id, r["rank"]) for r in got.collect()) == brute(queries, rows, 4, metric)
 
 
@@ -53,6 +55,36 @@ def test_knn_without_queries(vectors):
     assert knn_join(q.where("false"), c, 3).count() == 0
 
 
+def test_knn_passes_over_far_blocks(spark):
+    """Clusters far apart: almost all queries find their neighbours in one block, and need no other."""
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=(10, 6)) * 50
+    x = np.repeat(centres, 40, 0) + rng.normal(size=(400, 6))
+    chunks = spark.createDataFrame([("d", f"c{i:03d}", v.tolist()) for i, v in enumerate(x)], "doc_id string, chunk_id string, embedding array<double>")
+    queries = spark.createDataFrame([(f"q{i}", (x[i * 7] + 0.1).tolist()) for i in range(50)], "query_id string, embedding array<double>")
+    searched, search = [], nearest._search
+
+    def watched(asked, *rest):
+        searched.append(asked.count())
+        return search(asked, *rest)
+    nearest._search = watched
+    try:
+        got = {(r.query_id, r.chunk_id) for r in knn_join(queries, chunks, 3, "l2", block_bytes=8 * 6 * 20).collect()}
+    finally:
+        nearest._search = search
+    want = {(f"q{i}", f"c{j:03d}") for i in range(50) for j in np.argsort(((x - x[i * 7] - 0.1) ** 2).sum(1))[:3]}
+    assert got == want and searched[0] == 50 and sum(searched) < 50 * 20 / 4
+
+
+def test_knn_zero_vectors(spark):
+    rows = [("d", f"c{i}", v) for i, v in enumerate([[0.0, 0.0], [1.0, 0.0], [-1.0, 0.0], [0.0, 2.0], [0.0, 0.0], [3.0, 0.1]])]
+    chunks = spark.createDataFrame(rows, "doc_id string, chunk_id string, embedding array<double>")
+    queries = spark.createDataFrame([("z", [0.0, 0.0]), ("x", [2.0, 0.0])], "query_id string, embedding array<double>")
+    for metric in ("cosine", "l2", "ip"):
+        few = knn_join(queries, chunks, 4, metric, block_bytes=32).collect()
+        assert sorted(map(tuple, few)) == sorted(map(tuple, knn_join(queries, chunks, 4, metric).collect()))
+
+
 def test_distance_to_score(spark):
     df = spark.createDataFrame([(0.25, "cosine"), (0.25, "l2"), (0.25, "ip")], "d double, m string")
     assert [r[0] for r in df.select(distance_to_score(F.col("d"), F.col("m"))).collect()] == [0.75, 0.8, 0.25]
