@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
+from bisect import bisect_left, bisect_right
 from collections.abc import Sequence
+from dataclasses import dataclass
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions.text import strip
-from quire.session import materialise
+from quire.session import checkpoint_dir, materialise
 from quire.sources.files import allowed_name
 
+RANGE_ROWS = 1 << 16     # rows of a listing that are sorted together
+
 
 def upsert(existing: DataFrame, updates: DataFrame, keys: Sequence[str], version: str) -> DataFrame:
     """Latest row per key. An aggregate, so map tasks combine and a hot key costs one row each."""
@@ -128,10 +134,41 @@ def document_search(table: DataFrame, text: str, columns: Sequence[str] = ("titl
     return table.where(test)
 
 
-def paginate(table: DataFrame, order: Sequence[Column], page: int, size: int = 10) -> DataFrame:
-    """One page of an ordered listing, with the page number clamped to the last page."""
-    total = table.count()
-    pages = max(1, -(-total // size))
-    page = max(1, min(page, pages))
-    return table.orderBy(*order).offset((page - 1) * size).limit(size).withColumns(
-        {"page": F.lit(page), "total_pages": F.lit(pages)})
+@dataclass(frozen=True)
+class Listing:
+    """A table stored in ranges of an order, and how many rows each range has."""
+    rows: DataFrame
+    order: Sequence[Column]
+    counts: Sequence[int]
+
+    def page(self, page: int, size: int = 10) -> DataFrame:
+        """One page, with the page number clamped to the last page. The counts tell which ranges hold it; only
+        these are read and sorted, for the first page as for the last."""
+        total = sum(self.counts)
+        pages = max(1, -(-total // size))
+        page = max(1, min(page, pages))
+        start, ends = (page - 1) * size, list(accumulate(self.counts))
+        first = bisect_right(ends, start)
+        last = bisect_left(ends, min(start + size, total)) if total else 0
+        before = ends[first - 1] if first else 0
+        held = self.rows.where(F.col("_range").between(first, last)).drop("_range")
+        return held.orderBy(*self.order).offset(start - before).limit(size).withColumns(
+            {"page": F.lit(page), "total_pages": F.lit(pages)})
+
+
+def listing(table: DataFrame, order: Sequence[Column], range_rows: int = RANGE_ROWS) -> Listing:
+    """The table cut into ranges of about ``range_rows`` rows in its order, once for all its pages. Only the number of
+    rows of each range comes to the driver."""
+    spark = table.sparkSession
+    ranges = max(1, -(-table.count() // range_rows))
+    folder = f"{checkpoint_dir(spark)}/quire-listing-{uuid.uuid4().hex}"
+    cut = table.repartitionByRange(ranges, *order).withColumn("_range", F.spark_partition_id())
+    cut.write.partitionBy("_range").parquet(folder)
+    stored = spark.read.schema(cut.schema).parquet(folder)
+    found = dict(stored.groupBy("_range").agg(F.count(F.lit(1)).alias("n")).collect())
+    return Listing(stored, order, [found.get(i, 0) for i in range(ranges)])
+
+
+def paginate(table: DataFrame, order: Sequence[Column], page: int, size: int = 10, range_rows: int = RANGE_ROWS) -> DataFrame:
+    """One page of an ordered listing; who needs several keeps the :func:`listing`."""
+    return listing(table, order, range_rows).page(page, size)

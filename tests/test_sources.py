@@ -1,9 +1,11 @@
 import hashlib
 import json
+import re
 
 from pyspark.sql import functions as F
 
 from quire.operators import store as S
+from quire.operators.graph import graph_delete
 from quire.plans.ingest import ingest_documents, write_ingested
 from quire.plans.retrieve import load_corpus, retrieve
 from quire.sources import files
@@ -59,6 +61,35 @@ def test_paginate_clamps(spark):
     assert S.paginate(df, [F.col("id")], -1).count() == 10
 
 
+def test_pages_read_the_same_number_of_ranges(spark):
+    df = spark.range(5000).select(((F.col("id") * 7919) % 5000).alias("id"), F.lit("x").alias("_r")).repartition(6)
+    listed = S.listing(df, [F.col("id").desc()], range_rows=400)
+    assert sum(listed.counts) == 5000 and max(listed.counts) < 1200 and len(listed.counts) == 13
+    read = []
+    for page in (1, 2, 250, 499, 500, 9999):
+        out = listed.page(page)
+        at = min(page, 500)
+        assert [r.id for r in out.orderBy(F.col("id").desc()).collect()] == [5000 - 10 * (at - 1) - i - 1 for i in range(10)]
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "_range" in plan.split("PartitionFilters: [")[1].split("], Pushed")[0]
+        low, high = [int(x) for x in re.findall(r"_range#\d+ [<>]= (\d+)", plan)[:2]]
+        read.append(high - low + 1)
+    assert max(read) <= 2 and read[0] == 1
+    assert listed.page(3, 2000).count() == 1000 and S.listing(df.where("false"), [F.col("id")]).page(4).count() == 0
+
+
+def test_hub_nodes_take_no_part_in_the_lookup(spark):
+    """A third of all edges ends in one shared node."""
+    nodes = spark.createDataFrame([("Chunk", f"c{i}", f"d{i % 30}", None) for i in range(300)] + [("Emotion", "Neutral", None, "Neutral")],
+                                  "label string, key string, doc_id string, name string")
+    edges = spark.createDataFrame([("HAS_EMOTION", f"c{i}", "Neutral") for i in range(300)] + [("NEXT", f"c{i}", f"c{i + 1}") for i in range(299)],
+                                  "rel string, src string, dst string")
+    left_nodes, left = graph_delete(nodes, edges, spark.createDataFrame([("d3",), ("d4",), ("x",)], "doc_id string"))
+    gone = {f"c{i}" for i in range(300) if i % 30 in (3, 4)}
+    assert {tuple(r) for r in left.collect()} == {tuple(r) for r in edges.collect() if r.src not in gone and r.dst not in gone}
+    assert left.count() == 280 + 299 - 30 and left_nodes.count() == 281
+
+
 def test_cascade_and_written_tables(spark, sf_dir, tmp_path):
     spans = V.spans(spark, sf_dir)
     done = ingest_documents(spans)

@@ -42,6 +42,53 @@ def test_active_thread(spark, sf_dir, pieces):
     assert rows(got.select("user_id", "thread_id")) == rows(want)
 
 
+HOUR = 3_600_000
+
+
+def stamped(spark, tmp_path, rows, schema, last):
+    """One file, and so one batch, per hour; a last file far ahead moves the watermark on."""
+    df = spark.createDataFrame([*rows, last], schema).withColumn("ts", F.timestamp_millis((F.col("hour") + 1000) * HOUR)).drop("hour")
+    hours = sorted({r[-1] for r in [*rows, last]})
+    for h in hours:
+        df.where(F.col("ts") == F.timestamp_millis(F.lit((h + 1000) * HOUR))).coalesce(1).write.mode("append").parquet(str(tmp_path / "t"))
+    return table_stream(spark, str(tmp_path / "t"), maxFilesPerTrigger=1)
+
+
+def test_threads_come_back_before_and_after_they_expire(spark, tmp_path):
+    schema = "user_id string, thread_id string, seq long, role string, content string, hour long"
+    rows = [("u", "before", 1, "user", "a", 0), ("u", "after", 2, "user", "b", 0), ("u", "before", 3, "user", "c", 2), ("u", "one batch", 4, "user", "x", 0),
+            ("u", "before", 5, "user", "d", 4), ("u", "after", 6, "user", "e", 9), ("u", "after", 7, "user", "f", 10)]
+    stream = stamped(spark, tmp_path, rows, schema, ("z", "last", 99, "user", "z", 100))
+    with SQ.rocksdb(spark):
+        got = SQ.keyed_result(spark, SM.stream_stm(stream, 5, ttl=3 * HOUR, delay="0 seconds"), M.THREAD, "seq").collect()
+    windows = {}
+    for r in sorted(got, key=lambda r: r.seq):
+        windows.setdefault(r.thread_id, []).append(r.content)
+    assert windows == {"before": ["a", "c", "d"], "after": ["e", "f"], "one batch": ["x"], "last": ["z"]}
+
+
+def test_active_threads_expire(spark, tmp_path):
+    rows = [("a", "t1", 1, 0), ("b", "t2", 2, 0), ("a", "", 3, 2), ("b", "", 4, 9), ("c", "t3", 5, 1)]
+    stream = stamped(spark, tmp_path, rows, "user_id string, thread_id string, seq long, hour long", ("z", "t9", 99, 100))
+    with SQ.rocksdb(spark):
+        got = SQ.keyed_result(spark, SM.stream_active_thread(stream, ttl=3 * HOUR, delay="0 seconds"), ["user_id"], "seq").collect()
+    assert {r.user_id: r.thread_id for r in got} == {"a": "t1", "b": SM._started("b", 4), "c": "t3", "z": "t9"}
+
+
+def test_expired_state_is_removed(spark, tmp_path):
+    schema = "user_id string, thread_id string, seq long, role string, content string, hour long"
+    rows = [(f"u{i}", "t", i, "user", "a", 0) for i in range(20)]
+    stream = stamped(spark, tmp_path, rows, schema, ("z", "t", 99, "user", "z", 100))
+    held = []
+    with SQ.rocksdb(spark):
+        run = SM.stream_stm(stream, 5, ttl=3 * HOUR, delay="0 seconds").writeStream.outputMode("update").trigger(availableNow=True).option(
+            "checkpointLocation", str(tmp_path / "c")).foreachBatch(lambda df, _: df.count() and None).start()
+        run.awaitTermination()
+        held = [p["stateOperators"][0]["customMetrics"].get("numValueStateVars", 0) and p["stateOperators"][0]["numRowsTotal"] or
+                p["stateOperators"][0]["numRowsTotal"] for p in run.recentProgress]
+    assert max(held) > 10 * held[-1] > 0
+
+
 def test_dedup_across_batches(spark, sf_dir, tmp_path):
     events = V.load(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     for name in ("a", "b"):
