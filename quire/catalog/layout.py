@@ -188,6 +188,12 @@ def chunk_accumulate(spark, sf_dir):
     return raw_chunks(spark, sf_dir)
 
 
+@query("chunk_accumulate_blocks", f"with {CHUNKS} select {', '.join(CHUNK_COLS)} from raw_chunks")
+def chunk_accumulate_blocks(spark, sf_dir):
+    """The same chunks where sections of more than four units are filled in blocks of two pages."""
+    return C.chunk_accumulate(L.styled_units(V.spans(spark, sf_dir)), short=4, pages=2)
+
+
 @query("chunk_page_sort", f"""with {I.SPANS} select doc_id, row_number() over (partition by doc_id
   order by coalesce(p, 0), line_no) - 1 as chunk_no, p as page_physical, text
   from (select *, case when page % 7 <> 0 then page end p from spans)""")

@@ -89,12 +89,17 @@ def carry_map(lengths: np.ndarray, limit: int) -> np.ndarray:
     return np.where(first >= n, carries + total[-1], after[np.minimum(first + 1, n)])
 
 
-def _fill_short(pieces: DataFrame, limit: int) -> DataFrame:
-    """Sections of bounded size: one shuffle, the fold runs as a JVM expression."""
+def _fill_short(pieces: DataFrame, limit: int, starts: DataFrame | None = None) -> DataFrame:
+    """Sections of bounded size: one shuffle, the fold runs as a JVM expression. ``starts`` (``doc_id, section, start``)
+    are the numbers of the sections' first chunks; they go into the shuffle as rows, so that no join follows it."""
     meta = ["doc_id", "section"]
-    rows = F.array_sort(F.collect_list(F.struct("unit_no", "piece", "piece_len")))
+    pieces = pieces.withColumn("start", F.lit(None).cast("long"))
+    if starts is not None:
+        pieces = pieces.unionByName(starts, allowMissingColumns=True)
+    # A start has no unit, and what is null is not collected.
+    rows = F.array_sort(F.collect_list(F.when(F.col("start").isNull(), F.struct("unit_no", "piece", "piece_len"))))
     grouped = pieces.groupBy(*meta).agg(
-        rows.alias("_u"), F.max("chapter").alias("chapter"), F.max("subheading").alias("subheading"),
+        rows.alias("_u"), F.max("start").alias("start"), F.max("chapter").alias("chapter"), F.max("subheading").alias("subheading"),
         F.min(F.coalesce("section_page", "page")).alias("page_physical"))
 
     def step(acc, u):
@@ -109,13 +114,14 @@ def _fill_short(pieces: DataFrame, limit: int) -> DataFrame:
 
     zero = F.struct(F.lit(0).alias("open"), F.array().cast("array<string>").alias("texts"))
     texts = F.aggregate("_u", zero, step, lambda acc: acc["texts"])
-    return grouped.select(
-        *meta, "chapter", "subheading", "page_physical",
+    out = grouped.select(
+        *meta, "start", "chapter", "subheading", "page_physical",
         F.posexplode(texts).alias("part_no", "text")).withColumn("part_no", F.col("part_no").cast("long"))
+    return out.drop("start") if starts is None else out
 
 
 def _count_short(pieces: DataFrame, limit: int) -> DataFrame:
-    """How many chunks each section makes, from lengths alone."""
+    """How many chunks each section makes, and its page, from lengths alone."""
     lengths = F.transform(F.array_sort(F.collect_list(F.struct("unit_no", "piece_len"))), lambda u: u["piece_len"])
 
     def step(acc, size):
@@ -126,7 +132,15 @@ def _count_short(pieces: DataFrame, limit: int) -> DataFrame:
     first = F.struct(F.lit(0).alias("open"), F.lit(1).alias("n"))
     return pieces.groupBy("doc_id", "section").agg(
         lengths.alias("_l"), F.min(F.coalesce("section_page", "page")).alias("page_physical")).select(
-        "doc_id", "page_physical", F.aggregate("_l", first, step, lambda acc: acc["n"]).alias("n"))
+        "doc_id", "section", "page_physical", F.aggregate("_l", first, step, lambda acc: acc["n"]).alias("n"))
+
+
+def _section_starts(sections: DataFrame) -> DataFrame:
+    """The number of each section's first chunk: chunks go by page and section, and a section has one page."""
+    page = F.coalesce("page_physical", F.lit(0)).cast("long")
+    placed = sections.withColumn("_pos", F.struct(page.alias("page"), F.col("section")))
+    upto = running(placed, DOC, "_pos", sums={"upto": F.col("n").cast("long")}, block=F.floor(page / PAGES_PER_BLOCK).cast("long"))
+    return upto.select("doc_id", "section", (F.col("upto") - F.col("n")).alias("start"))
 
 
 def _block_maps(limit: int):
@@ -210,7 +224,9 @@ def chunk_accumulate(units: DataFrame, limit: int = MAX_CHARS, short: int = SHOR
     long_sections = pieces.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(
         F.col("_n") > short).drop("_n")
     if long_sections.isEmpty():
-        return chunk_page_sort(_fill_short(pieces, limit), _count_short(pieces, limit))
+        numbered = _fill_short(pieces, limit, _section_starts(_count_short(pieces, limit)))
+        return numbered.select("doc_id", (F.col("start") + F.col("part_no")).alias("chunk_no"), "chapter", "subheading",
+                               "page_physical", "text")
     parts = _fill_short(pieces.join(long_sections, keys, "left_anti"), limit).unionByName(
         _fill_long(materialise(pieces.join(long_sections, keys, "left_semi")), limit, pages))
     return chunk_page_sort(parts)

@@ -3,8 +3,8 @@
 A window over ``partitionBy(doc)`` sorts each document in one task, which breaks as soon as one
 document holds a large share of the rows. The helpers here cut every key into position blocks,
 run the window per ``(key, block)``, and repair the block edges either with copied edge rows
-(:func:`with_halo`, :func:`neighbours`) or with a carry computed from one summary row per block (:func:`running`,
-:func:`dense_number`).
+(:func:`with_halo`, :func:`neighbours`) or with a carry, one row per block, that goes before the block's rows
+(:func:`running`, :func:`dense_number`).
 """
 
 from __future__ import annotations
@@ -78,7 +78,7 @@ def running(df: DataFrame, keys: Sequence[str], pos: str, *,
     sums, lasts, maxes = dict(sums or {}), dict(lasts or {}), dict(maxes or {})
     base = df.withColumn("_blk", block if block is not None else block_of(pos, size))
     base = base.withColumns({f"_v_{n}": e for n, e in (sums | lasts | maxes).items()})
-    here = W.partitionBy(*keys, "_blk").orderBy(pos).rowsBetween(W.unboundedPreceding, 0)
+    here = W.partitionBy(*keys, "_blk").orderBy("_row", pos).rowsBetween(W.unboundedPreceding, 0)
     before = W.partitionBy(*keys).orderBy("_blk").rowsBetween(W.unboundedPreceding, -1)
 
     aggs = [F.sum(f"_v_{n}").alias(f"_c_{n}") for n in sums]
@@ -88,23 +88,22 @@ def running(df: DataFrame, keys: Sequence[str], pos: str, *,
     carry = base.groupBy(*keys, "_blk").agg(*aggs)
     carry = carry.select(
         *keys, "_blk",
-        *[F.sum(f"_c_{n}").over(before).alias(f"_p_{n}") for n in sums],
-        *[F.last(f"_c_{n}", ignorenulls=True).over(before).alias(f"_p_{n}") for n in lasts],
-        *[F.max(f"_c_{n}").over(before).alias(f"_p_{n}") for n in maxes],
+        *[F.sum(f"_c_{n}").over(before).alias(f"_v_{n}") for n in sums],
+        *[F.last(f"_c_{n}", ignorenulls=True).over(before).alias(f"_v_{n}") for n in lasts],
+        *[F.max(f"_c_{n}").over(before).alias(f"_v_{n}") for n in maxes],
     )
-    local = base.withColumns(
-        {f"_l_{n}": F.sum(f"_v_{n}").over(here) for n in sums}
-        | {f"_l_{n}": F.last(f"_v_{n}", ignorenulls=True).over(here) for n in lasts}
-        | {f"_l_{n}": F.max(f"_v_{n}").over(here) for n in maxes}
+    out = _with_first(base, carry).withColumns(
+        {n: F.coalesce(F.sum(f"_v_{n}").over(here), F.lit(0)) for n in sums}
+        | {n: F.last(f"_v_{n}", ignorenulls=True).over(here) for n in lasts}
+        | {n: F.max(f"_v_{n}").over(here) for n in maxes}
     )
-    out = join_null_safe(local, carry, [*keys, "_blk"], "left")
-    zero = F.lit(0)
-    out = out.withColumns(
-        {n: F.coalesce(F.col(f"_p_{n}"), zero) + F.coalesce(F.col(f"_l_{n}"), zero) for n in sums}
-        | {n: F.coalesce(F.col(f"_l_{n}"), F.col(f"_p_{n}")) for n in lasts}
-        | {n: F.greatest(F.col(f"_l_{n}"), F.col(f"_p_{n}")) for n in maxes}
-    )
-    return out.select(*df.columns, *sums, *lasts, *maxes)
+    return out.where("_row").select(*df.columns, *sums, *lasts, *maxes)
+
+
+def _with_first(rows: DataFrame, carry: DataFrame) -> DataFrame:
+    """The rows, and before those of every key and block the row that carries what earlier blocks add. A window that
+    begins with it needs no join, so that the rows move once."""
+    return rows.withColumn("_row", F.lit(True)).unionByName(carry.withColumn("_row", F.lit(False)), allowMissingColumns=True)
 
 
 def dense_number(df: DataFrame, keys: Sequence[str], block: Column, order: Sequence[Column],
@@ -114,16 +113,15 @@ def dense_number(df: DataFrame, keys: Sequence[str], block: Column, order: Seque
     ``census`` is a cheaper table that tells how many rows (column ``n``) there are: it has the
     keys and what ``block`` reads. Without one the rows themselves are counted.
     """
-    base = df.withColumn("_blk", block)
+    base = df.withColumns({"_blk": block, "_one": F.lit(1).cast("long")})
     before = W.partitionBy(*keys).orderBy("_blk").rowsBetween(W.unboundedPreceding, -1)
     counted = base.withColumn("n", F.lit(1)) if census is None else census.withColumn("_blk", block)
     offset = counted.groupBy(*keys, "_blk").agg(F.sum("n").alias("_n")).select(
-        *keys, "_blk", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    here = W.partitionBy(*keys, "_blk").orderBy(*order)
+        *keys, "_blk", F.coalesce(F.sum("_n").over(before), F.lit(0)).cast("long").alias("_one"))
+    here = W.partitionBy(*keys, "_blk").orderBy("_row", *order).rowsBetween(W.unboundedPreceding, 0)
     return (
-        join_null_safe(base.withColumn("_rn", F.row_number().over(here)), offset, [*keys, "_blk"])
-        .withColumn(out, (F.col("_rn") + F.col("_off") + F.lit(start - 1)).cast("long"))
-        .select(*df.columns, out)
+        _with_first(base, offset).withColumn(out, (F.sum("_one").over(here) + F.lit(start - 1)).cast("long"))
+        .where("_row").select(*df.columns, out)
     )
 
 

@@ -61,3 +61,12 @@ def test_null_keys_keep_their_rows(spark):
     assert sorted((r.k or "", r.s) for r in got.collect()) == [("", 1), ("", 2), ("", 3), ("a", 1)]
     events = spark.sql("select id as event_id, if(id = 0, 7, null) as user_id, timestamp'2024-01-01 10:00:00' as ts from range(3)")
     assert sorted(r.recent for r in trailing_hour_limit(events).collect()) == [0, 1, 1]
+
+
+def test_rows_move_once(spark):
+    """What earlier blocks add comes as a row of the block, so no join moves the rows again."""
+    df = spark.createDataFrame([("a", i, "text") for i in range(50)], "k string, pos long, text string")
+    for out in (running(df, ["k"], "pos", sums={"s": F.lit(1)}, size=7), dense_number(df, ["k"], block_of("pos", 7), [F.col("pos")], "n")):
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert "Join" not in plan
+        assert out.count() == 50
