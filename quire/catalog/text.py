@@ -77,6 +77,21 @@ def nfkc_sql(e):
     return f"replace(nfc_normalize({e}), '…', '...')"
 
 
+def marked(e: str) -> str:
+    """Both ends of every run of letters, digits and underscores as an end mark and a start mark."""
+    return f"regexp_replace({e}, '([\\p{{L}}\\p{{N}}_]+)', chr(1) || chr(2) || '\\1' || chr(1) || chr(2), 'g')"
+
+
+def aggressive_sql(e: str) -> str:
+    """Word edges made visible: a match begins at a start mark and ends at an end mark, so that neighbours share an edge."""
+    def unmarked(x):
+        return f"replace(replace({x}, chr(1), ''), chr(2), '')"
+    other = f"[^a-zA-Z0-9{SP}\\x01\\x02]"
+    few = unmarked(f"regexp_replace({marked(e)}, '\\x02{other}((\\x01\\x02)?{other})?\\x01', ' ', 'g')")
+    stop = f"regexp_replace({few}, '[!?]{{2,}}', '.', 'g')"
+    return unmarked(f"regexp_replace({marked(stop)}, '\\x02[a-zA-Z]\\x01', ' ', 'g')")
+
+
 def _scalar(name, expr, sql, view=V.noisy, cte=I.NOISY, frm="noisy"):
     @query(name, f"with {cte} select doc_id, {sql} as result from {frm}" if sql else None)
     def run(spark, sf_dir):
@@ -90,7 +105,7 @@ _scalar("fix_hyphenation", T.fix_hyphenation, hyphen_sql("text"))
 _scalar("remove_dotted_leaders", T.remove_dotted_leaders, leaders_sql("text"))
 _scalar("remove_repeated_symbols", T.remove_repeated_symbols, symbols_sql("text"))
 _scalar("normalize_whitespace", T.normalize_whitespace, space_sql("text"))
-_scalar("aggressive_cleanup", T.aggressive_cleanup, None)
+_scalar("aggressive_cleanup", T.aggressive_cleanup, aggressive_sql("text"))
 _scalar("clean_unicode", T.clean_unicode, unicode_sql("text"))
 _scalar("text_preview", T.text_preview, unicode_sql("substr(text, 1, 500)"))
 _scalar("strip_fake_citations", T.strip_fake_citations,
