@@ -50,6 +50,26 @@ def read_toc_json(spark: SparkSession, path: str) -> DataFrame:
     return first.unionByName(second)
 
 
+TOC_LINE = f"doc_id string, part long, entries array<struct<{', '.join(f.replace(' ', ':', 1) for f in TOC_SCHEMA.split(', '))}>>"
+TOC_PART = 4096          # entries of a line
+
+
+def write_toc_lines(entries: DataFrame, path: str, position: str = "pos") -> None:
+    """Contents entries as JSON lines, many documents to a file. A long list is several lines of one document.
+    Spark's commit protocol makes the files visible when all tasks are done; a failed write leaves none."""
+    part = F.floor(F.col(position) / TOC_PART).alias("part")
+    entry = F.struct("title", "page_label", "level")
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct(F.col(position).alias("at"), entry.alias("entry")))), lambda x: x["entry"])
+    write_json(entries.groupBy("doc_id", part).agg(ordered.alias("entries")), path, mode="errorifexists")
+
+
+def read_toc_lines(spark: SparkSession, path: str) -> DataFrame:
+    """``doc_id, pos, title, page_label, level`` of such files, which are split by bytes; lines that do not parse are left out."""
+    lines = spark.read.schema(TOC_LINE).option("mode", "DROPMALFORMED").json(path)
+    return lines.select("doc_id", "part", F.posexplode("entries").alias("at", "e")).select(
+        "doc_id", (F.col("part") * TOC_PART + F.col("at")).alias("pos"), "e.*")
+
+
 def html_units(pages: DataFrame) -> DataFrame:
     """Markup to typed units: ``h1`` is a heading, ``p`` is body; page furniture is dropped."""
     furniture = r"(?is)<(nav|footer|script|style|head)\b.*?</\1>|<!--.*?-->"

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from quire.functions.text import content_id
 from quire.functions.toc import page_type
-from quire.operators.store import merge_table
+from quire.operators.search import BUCKETS, doc_bucket
 from quire.plans.chunks import chunk_documents
 from quire.session import materialise
+from quire.sources.versions import VersionedTables
 from quire.streaming.run import for_each_batch
 
 
@@ -34,13 +35,29 @@ def stream_rate_limit(events: DataFrame, length: str = "1 hour", slide: str = "5
     )
 
 
-def stream_ingest(documents: DataFrame, to_spans, path: str, progress: str | None = None, buckets: int = 16) -> None:
-    """Document rows (``text``) to a chunk table keyed by content: a copy or a replayed batch
-    writes the same rows again and changes nothing."""
+def stream_ingest(documents: DataFrame, to_spans, path: str, progress: str | None = None, buckets: int = BUCKETS) -> VersionedTables:
+    """Document rows (``text``) to the table ``chunks`` of a versioned store at ``path``, keyed by content: a copy or a
+    replayed batch makes the same rows again and changes nothing.
+
+    A batch is one version: readers see all of it or nothing. Only buckets with new documents are written, and
+    Spark splits one that receives much. ``buckets`` counts when the store is new.
+    """
+    store = VersionedTables(documents.sparkSession, path)
+
     def handle(batch: DataFrame, _batch_id: int) -> None:
-        spark = batch.sparkSession
+        at = store.snapshot()
+        bucket = doc_bucket(at.buckets or buckets)
         texts = batch.select(content_id(F.col("text")).alias("doc_id"), "text").groupBy("doc_id").agg(
             F.any_value("text").alias("text"))
-        chunks = chunk_documents(to_spans(materialise(texts)))
-        merge_table(spark, path, chunks, ["doc_id", "chunk_no"], "chunk_id", buckets, "doc_id")
+        if at.parts:
+            texts = texts.join(store.read("documents", at).select("doc_id"), "doc_id", "left_anti")
+        texts = materialise(texts)
+        new = {"documents": texts.select("doc_id", bucket.alias("bucket")),
+               "chunks": chunk_documents(to_spans(texts)).withColumn("bucket", bucket)}
+        changed = sorted(r[0] for r in new["documents"].select("bucket").distinct().collect())  # at most ``buckets``
+        if changed:
+            old = {t: store.read(t, at, changed).select(*df.columns) for t, df in new.items()} if at.parts else {}
+            store.commit(at, changed, {t: df.unionByName(old[t]) if t in old else df for t, df in new.items()},
+                         buckets=at.buckets or buckets)
     for_each_batch(documents, handle, progress=progress)
+    return store

@@ -1,7 +1,10 @@
 import hashlib
 import json
+import os
 import re
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from quire.operators import store as S
@@ -90,6 +93,20 @@ def test_hub_nodes_take_no_part_in_the_lookup(spark):
     assert left.count() == 280 + 299 - 30 and left_nodes.count() == 281
 
 
+def test_contents_of_many_documents_in_few_files(spark, tmp_path):
+    rows = [(f"d{i % 40}/ü", i // 40, f"T{i}", None if i % 3 else str(i), "chapter") for i in range(9000)]
+    df = spark.createDataFrame(rows, "doc_id string, pos long, title string, page_label string, level string").repartition(5)
+    files.write_toc_lines(df, str(tmp_path / "toc"))
+    got = files.read_toc_lines(spark, str(tmp_path / "toc"))
+    assert sorted(map(str, got.select(*df.columns).collect())) == sorted(map(str, df.collect()))
+    written = [n for n in os.listdir(tmp_path / "toc") if n.startswith("part-")]
+    assert len(written) <= 8 and "_SUCCESS" in os.listdir(tmp_path / "toc")
+    broken = df.withColumn("title", F.when(F.col("pos") == 100, F.raise_error(F.lit("lost"))).otherwise(F.col("title")))
+    with pytest.raises(Exception, match="lost"):
+        files.write_toc_lines(broken, str(tmp_path / "broken"))
+    assert not os.path.exists(tmp_path / "broken") or not [n for n in os.listdir(tmp_path / "broken") if not n.startswith(("_", "."))]
+
+
 def test_cascade_and_written_tables(spark, sf_dir, tmp_path):
     spans = V.spans(spark, sf_dir)
     done = ingest_documents(spans)

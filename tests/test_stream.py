@@ -101,8 +101,22 @@ def test_dedup_across_batches(spark, sf_dir, tmp_path):
 def test_ingest_is_idempotent(spark, sf_dir, tmp_path):
     path, docs = str(tmp_path / "chunks"), V.load(spark, sf_dir, "documents").limit(20)
     docs.write.parquet(str(tmp_path / "d"))
+    seen = []
     for _ in range(2):
-        J.stream_ingest(table_stream(spark, str(tmp_path / "d")), SQ.text_spans_of, path)
-        counted = spark.read.parquet(path)
-        n = counted.count()
-        assert n == counted.select("doc_id", "chunk_no").distinct().count() > 0
+        store = J.stream_ingest(table_stream(spark, str(tmp_path / "d")), SQ.text_spans_of, path, buckets=8)
+        counted = store.read("chunks", store.snapshot())
+        assert counted.count() == counted.select("doc_id", "chunk_no").distinct().count() > 0
+        seen.append(sorted(map(tuple, counted.select("doc_id", "chunk_no", "text").collect())))
+    assert seen[0] == seen[1] and store.versions() == [1]  # the replay made no version
+
+
+def test_batches_are_versions(spark, sf_dir, tmp_path):
+    """Three batches into few buckets end where one batch does; every version holds whole batches."""
+    docs = V.load(spark, sf_dir, "documents").where("doc_id < 30").select("doc_id", "text")
+    docs.repartitionByRange(3, "doc_id").write.parquet(str(tmp_path / "d"))
+    many = J.stream_ingest(table_stream(spark, str(tmp_path / "d"), maxFilesPerTrigger=1), SQ.text_spans_of, str(tmp_path / "many"), buckets=4)
+    once = J.stream_ingest(table_stream(spark, str(tmp_path / "d")), SQ.text_spans_of, str(tmp_path / "once"), buckets=4)
+    cols = ["doc_id", "chunk_no", "text"]
+    assert rows(many.read("chunks", many.snapshot()).select(*cols)) == rows(once.read("chunks", once.snapshot()).select(*cols))
+    sizes = [many.read("documents", many.snapshot(v)).count() for v in many.versions()]
+    assert len(sizes) == 3 and sizes == sorted(sizes) and sizes[-1] == docs.select("text").distinct().count()
