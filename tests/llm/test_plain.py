@@ -5,11 +5,12 @@ import math
 import random
 import re
 from collections import Counter
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 
-from quire.llm import simhash, toxicity
+from quire.llm import langid, simhash, toxicity
 
 MASK = (1 << 64) - 1
 
@@ -75,3 +76,52 @@ def test_simhash():
     texts = [" ".join(rng.choice(["the", "Quick", "É", "中文", "fox", "a", "b\tc", "x\ny"]) for _ in range(rng.randint(0, 60))) for _ in range(80)]
     texts += [None, "", " ", "one", "ONE", "one one", "long " * 5000, "A B c"]
     assert simhash.fingerprints(pa.array(texts, pa.string())).tolist() == [plain_simhash(t) for t in texts]
+
+
+def plain_kneser_ney(words, vocabulary):
+    """Interpolated Kneser-Ney of one language: probability of the last symbol of a tuple after the others."""
+    counts = {langid.ORDER: Counter()}
+    for word in words:
+        for i in range(1, len(word)):
+            counts[langid.ORDER][tuple(([0] * langid.ORDER + word[:i + 1])[-langid.ORDER:])] += 1
+    for n in range(langid.ORDER - 1, 0, -1):
+        counts[n] = Counter(g[1:] for g in counts[n + 1])  # in how many ways it is continued to the left
+    discount = {}
+    for n, c in counts.items():
+        once, twice = (sum(v == k for v in c.values()) for k in (1, 2))
+        discount[n] = once / (once + 2 * twice) if once else 0.5
+
+    @cache
+    def probability(gram):
+        n = len(gram)
+        if not n:
+            return 1 / vocabulary
+        after = [c for g, c in counts[n].items() if g[:-1] == gram[:-1]]
+        if not after:
+            return probability(gram[1:])
+        kept = max(counts[n][gram] - discount[n], 0) / sum(after)
+        return kept + discount[n] * len(after) / sum(after) * probability(gram[1:])
+    return probability
+
+
+def test_kneser_ney():
+    """Two languages over one set of n-grams, each against a model of its own; known and unknown n-grams."""
+    rng, edge, first = random.Random(4), langid.EDGE, langid.FIRST
+    texts = [[[edge, *(first + rng.choice(letters) for _ in range(rng.randint(1, 7))), edge] for _ in range(80)]
+             for letters in ((0, 0, 0, 1, 2), (0, 1, 3, 3, 4))]
+    tuples = {}
+    for k, words in enumerate(texts):
+        for word in words:
+            for i in range(1, len(word)):
+                gram = tuple(([0] * langid.ORDER + word[:i + 1])[-langid.ORDER:])
+                tuples.setdefault(gram, [0, 0])[k] += 1
+    pack = lambda gram: sum(x << (langid.BITS * i) for i, x in enumerate(reversed(gram)))
+    order = sorted(tuples, key=pack)
+    vocabulary = 9
+    model = langid.Model(["a", "b"], np.zeros(1), *langid.fit(np.array([tuples[g] for g in order], float), np.array([pack(g) for g in order]), vocabulary),
+                         1.0, np.zeros(2))
+    asked = order + [tuple(rng.choice([edge, *range(first, first + 6)]) for _ in range(langid.ORDER)) for _ in range(200)]
+    got = 2.0 ** langid.log_probabilities(model, np.array([pack(g) for g in asked]))
+    for k, words in enumerate(texts):
+        plain = plain_kneser_ney(words, vocabulary)
+        assert np.allclose(got[:, k], [plain(g) for g in asked], rtol=1e-4)
