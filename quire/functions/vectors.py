@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -34,15 +35,16 @@ def term_buckets(text: Column, dim: int = DIM) -> Column:
 
 
 def _bag(dim: int):
-    @F.pandas_udf("array<float>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in batches:
-            lists = [np.asarray([] if b is None else b, dtype=np.int64) for b in s]
-            at = np.repeat(np.arange(len(lists)), np.array([len(b) for b in lists], dtype=np.int64)) * dim
-            at += np.concatenate(lists) if lists else 0
-            v = np.bincount(at, minlength=len(lists) * dim).reshape(-1, dim).astype(np.float64)
+    @F.arrow_udf("array<float>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for lists in batches:
+            n = len(lists)
+            sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+            at = np.repeat(np.arange(n) * dim, sizes) + lists.flatten().to_numpy(zero_copy_only=False)
+            v = np.bincount(at, minlength=n * dim).reshape(n, dim).astype(np.float64)
             norm = np.sqrt((v * v).sum(axis=1, keepdims=True))
-            yield pd.Series(list((v / np.where(norm > 0, norm, 1)).astype(np.float32)))
+            unit = (v / np.where(norm > 0, norm, 1)).astype(np.float32)
+            yield pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * dim, pa.int32()), pa.array(unit.ravel()))
     return run
 
 
