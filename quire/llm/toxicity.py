@@ -293,7 +293,7 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, rows: int = TRAIN_
 
     def machine(cases: pd.DataFrame) -> tuple[np.ndarray, float]:
         names = list(map(bytes, cases["word"]))
-        x = np.vstack([subsequences(pa.array(names[i:i + 500], pa.binary())) @ z.T for i in range(0, len(names), 500)]) @ root
+        x = np.vstack([subsequences(pa.array(names[i:i + 100], pa.binary())) @ z.T for i in range(0, len(names), 100)]) @ root
         which, y, weight = _balanced(cases["pos"].to_numpy(float), cases["neg"].to_numpy(float))
         w = _solve(x[which], y, weight)
         return (z.T @ (root @ w[:-1])).astype(np.float32), float(w[-1])
