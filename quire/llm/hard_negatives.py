@@ -19,6 +19,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 POSITIVES, NEGATIVES = 5, 10
 WINDOW = (30, 90)               # per cent of the positive's score
 LEAF, FAN = 128, 16
+BOXES = 16              # boxes of rows that are read at once
 BLOCK_BYTES = 8 << 20           # vectors of a tree, and of the anchors that meet it
 ANCHORS_AT_ONCE = 256
 LARGEST = float((1 << 63) - 1024)  # the largest double that is a 64-bit integer
@@ -94,41 +95,46 @@ def search(tree: Tree, x: np.ndarray, ids: np.ndarray, allowed, anchor: np.ndarr
            windows: list[tuple[int, int, float]], k: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each window the best ``k`` rows of a tree for one anchor.
 
-    ``x`` and ``ids`` are in the order of the tree, ``allowed`` tells which rows of a leaf count, ``low`` and
+    ``x`` and ``ids`` are in the order of the tree, ``allowed`` tells which of some rows count, ``low`` and
     ``high`` are the anchor's bounds for every box. A window ``(least, most, floor)`` takes scores ``s`` with
     ``least <= 100 s <= most`` and ``s >= floor``. The box with the highest upper bound comes first. A box is passed over
-    if it lies outside all windows or strictly below the ``k``-th score of each.
+    if it lies outside all windows or strictly below the ``k``-th score of each. The queue gives one box of rows, then
+    two, four and so on up to ``BOXES`` at once, as the ``k``-th scores soon change little.
     """
     found = [(np.zeros(0), np.zeros(0, np.int64)) for _ in windows]
-    floors = [floor for _, _, floor in windows]
+    least, most, floors = (np.array(v, np.float64)[:, None] for v in zip(*windows))
 
-    def open_for(node: int) -> list[int]:
-        return [w for w, (least, most, _) in enumerate(windows)
-                if high[node] >= floors[w] and 100 * high[node] >= least and 100 * low[node] <= most]
+    def open_boxes(start: int, end: int) -> np.ndarray:
+        top = high[None, start:end]
+        return ((top >= floors) & (100 * top >= least) & (100 * low[None, start:end] <= most)).any(0)
 
-    queue = [(-high[0], 0)] if open_for(0) else []
+    queue, width = [(-high[0], 0)], 1
     while queue:
-        _, node = heapq.heappop(queue)
-        wanted = open_for(node)  # the floors may have risen since the box was queued
-        if not wanted:
-            continue
-        start, end = tree.spans[node]
-        if node < tree.leaves:
-            for child in range(start, end):
-                if open_for(child):
-                    heapq.heappush(queue, (-high[child], child))
+        leaves = []
+        while queue and len(leaves) < width:
+            _, node = heapq.heappop(queue)
+            if not open_boxes(node, node + 1)[0]:  # the floors may have risen since it was queued
+                continue
+            start, end = tree.spans[node]
+            if node >= tree.leaves:
+                leaves.append(np.arange(start, end))
+                continue
+            for child in (start + np.flatnonzero(open_boxes(start, end))).tolist():
+                heapq.heappush(queue, (-high[child], child))
+        width = min(2 * width, BOXES)
+        if not leaves:
             continue
-        scores = x[start:end] @ anchor
-        counts = allowed(start, end)
-        for w in wanted:
-            least, most, _ = windows[w]
-            some = np.flatnonzero(counts & (scores >= floors[w]) & (100 * scores >= least) & (100 * scores <= most))
+        rows = np.concatenate(leaves)
+        rows = rows[allowed(rows)]
+        scores, own = x[rows] @ anchor, ids[rows]
+        for w in range(len(windows)):
+            some = np.flatnonzero((scores >= floors[w]) & (100 * scores >= least[w]) & (100 * scores <= most[w]))
             if not len(some):
                 continue
             s, i = found[w]
-            found[w] = _best(np.concatenate((s, scores[some])), np.concatenate((i, ids[start:end][some])), k)
+            found[w] = _best(np.concatenate((s, scores[some])), np.concatenate((i, own[some])), k)
             if len(found[w][0]) == k:
-                floors[w] = max(floors[w], found[w][0][-1])
+                floors[w] = max(floors[w, 0], found[w][0][-1])
     return found
 
 
@@ -151,9 +157,9 @@ def _search_blocks(rows: DataFrame, anchors: DataFrame, k: int, same_label: bool
                 if n % ANCHORS_AT_ONCE == 0:
                     low, high = tree.bounds(a[n:n + ANCHORS_AT_ONCE])
 
-                def allowed(start, end):
-                    alike = labels[start:end] == q.label
-                    return (alike if same_label else ~alike) & (ids[start:end] != q.anchor)
+                def allowed(rows):
+                    alike = labels[rows] == q.label
+                    return (alike if same_label else ~alike) & (ids[rows] != q.anchor)
                 windows, at = list(zip(q.least, q.most, q.floor)), n % ANCHORS_AT_ONCE
                 for w, (scores, others) in zip(q.window, search(tree, x, ids, allowed, a[n], low[at], high[at], windows, k)):
                     out.append(pd.DataFrame({"anchor": q.anchor, "window": w, "score": np.clip(scores, -LARGEST, LARGEST).astype(np.int64), "id": others}))
