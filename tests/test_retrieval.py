@@ -15,6 +15,7 @@ from quire.operators import nearest
 from quire.operators import search as S
 from quire.operators.nearest import knn_join
 from quire.plans.retrieve import retrieve
+from quire.session import materialise
 
 
 @pytest.fixture(scope="module")
@@ -243,3 +244,55 @@ def test_filtered_search_scores_like_the_whole_index(spark):
     kept = replace(index, within=chunks.where("doc_id = 'd2'").select("chunk_id"))
     some = {r.chunk_id: r.score for r in S.bm25_search(terms, kept).collect()}
     assert set(every) == {"c1", "c2", "c3", "c4"} and some == {c: every[c] for c in ("c3", "c4")}
+
+
+def test_postings_are_counted_where_the_block_is(spark, corpus_texts):
+    """Texts are dealt out by block; counts and postings are not dealt out again, neither by the build nor by a search."""
+    chunks = spark.createDataFrame(corpus_texts, "doc_id string, chunk_id string, text string")
+    index = S.build_index(chunks)
+    for table in (index.grouped, index.postings):
+        plan = table._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+        assert re.findall(r"Exchange hashpartitioning\((\w+)#", plan) == ["block"]
+    stored = S.stored_index(index, spark)
+    assert "chunk_id" not in stored.postings.columns
+    asked = spark.createDataFrame([("q", "w1"), ("r", "w1"), ("r", "w2")], "query_id string, term string")
+    hits = S._block_hits(materialise(S.block_bounds(asked, stored, None)), stored)
+    plan = hits._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert not re.search(r"hashpartitioning\((query_id|doc_id|chunk_id|row)#", plan)
+
+
+def test_chunk_rows_that_repeat(spark):
+    """A chunk that comes twice counts its words twice, and ids may be missing."""
+    texts = [("d1", "c1", "fever tea"), ("d1", "c1", "fever tea"), (None, "c2", "fever"), ("d2", None, "tea")]
+    chunks = spark.createDataFrame(texts, "doc_id string, chunk_id string, text string")
+    index = S.stored_index(S.build_index(chunks), spark)
+    assert index.lengths.count() == 4
+    assert sorted(r.tf for r in index.postings.where("term = 'fever'").collect()) == [1, 2]
+
+
+def test_keyword_pairs_move_as_one_row_per_chunk(spark):
+    chunks = spark.createDataFrame([("d", f"c{i}", "fever and cough") for i in range(9)], "doc_id string, chunk_id string, text string")
+    words = spark.createDataFrame([("q", "fever"), ("q", "cough"), ("r", "ough")], "query_id string, term string")
+    got = S.keyword_theta_join(words, chunks)
+    assert got.count() == 18 and "collect_set(term" in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_knn_blocks_do_not_multiply(spark):
+    """Blocks of two vectors would be 300; every query would be copied to most of them."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(600, 8))
+    rows = [("d", f"c{i:03d}", v.tolist()) for i, v in enumerate(x)]
+    queries = [(f"q{i}", x[i * 9].tolist()) for i in range(20)]
+    seen, search = [], nearest._search
+
+    def watched(asked, chunks, *rest):
+        seen.append(chunks.select("block").distinct().count())
+        return search(asked, chunks, *rest)
+    nearest._search = watched
+    try:
+        got = knn_join(spark.createDataFrame(queries, "query_id string, embedding array<double>"),
+                       spark.createDataFrame(rows, "doc_id string, chunk_id string, embedding array<double>"), 4, "l2", block_bytes=2 * 8 * 8).collect()
+    finally:
+        nearest._search = search
+    assert sorted((r.query_id, r.chunk_id, r["rank"]) for r in got) == brute(queries, rows, 4, "l2")
+    assert max(seen) <= 2 * nearest.MOST_BLOCKS
