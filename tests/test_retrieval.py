@@ -329,3 +329,27 @@ def test_deletes_read_the_edges_once(spark):
     want = [("HAS_EMOTION", f"c{i}", "Joy") for i in range(9) if i % 3] + [("NEXT", "c2", "c5"), ("BACK", "Joy", "c4"), ("NEXT", "c5", None)]
     assert sorted(map(tuple, left.collect()), key=repr) == sorted(want, key=repr)
     assert "Union" not in left._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_postings_of_a_term_move_as_one_row(spark):
+    """A search deals out a row per term and block, not one per posting, whether the index is grouped or not."""
+    chunks = spark.createDataFrame([(f"d{i % 3}", f"c{i}", "fever " * (1 + i % 2) + f"w{i}") for i in range(40)],
+                                   "doc_id string, chunk_id string, text string")
+    index = S.stored_index(S.build_index(chunks, buckets=1), spark)
+    asked = spark.createDataFrame([("q", "fever"), ("r", "fever"), ("r", "w7"), ("r", "none")], "query_id string, term string")
+    assert S._found(index).where("term = 'fever'").count() == 1
+    flat = replace(index, grouped=None)
+    for few in (False, True):
+        got = [sorted(S._block_hits(S.block_bounds(asked, i, 2), i, few).collect()) for i in (index, flat)]
+        assert got[0] == got[1] and len(got[0]) == 80
+
+
+def test_tables_between_steps_are_packed(spark, sf_dir):
+    """Plain chunks are not written where only the labelled ones are asked for, and what is written is packed."""
+    from quire.catalog import checks, layout
+    here = f"{sf_dir}/."  # a key of its own
+    labelled = checks.emo_chunks(spark, here)
+    assert layout.chunks.built(spark, here) is None
+    assert all(".zstd." in f for f in labelled.inputFiles())
+    plain = layout.chunks(spark, here)
+    assert layout.chunks.built(spark, here) is plain and labelled.count() == plain.count()
