@@ -514,3 +514,36 @@ def test_models_travel_without_the_package(spark, sf_dir, monkeypatch):
         sent.clear()
         assert queries.QUERIES[name](spark, sf_dir).count() > 0
         assert sent and not any(b"quire.llm" in s for s in sent), name
+
+
+def test_fingerprints_propose_near_duplicates():
+    """Sets of similarity 0.8 meet in a band and within the radius; groups of a band are those of brute force, hot bands are one."""
+    rng, found = np.random.default_rng(4), 0
+    bands, width = resemblance.band_shape(1000)
+    for _ in range(200):
+        base = rng.integers(0, 2**63, 90, dtype=np.uint64)
+        both = np.concatenate([np.sort(base[:81]), np.sort(np.concatenate([base[:72], base[81:]]))])
+        key, prints = resemblance._prints(both, np.array([0, 81]))
+        rows = pa.RecordBatch.from_arrays(
+            [pa.array(key.view(np.int64)), pa.array([p.tobytes() for p in prints], pa.binary())], ["key", "print"])
+        banded, = resemblance._banded(bands, width)([rows])
+        own = [c.to_numpy() for c in banded.columns]
+        order = np.lexsort((own[1], own[0]))
+        met = list(resemblance._meet([pa.RecordBatch.from_arrays([pa.array(x[order]) for x in own], banded.schema.names)]))
+        found += any(m.num_rows for m in met)
+    assert found >= 195
+    assert resemblance.band_shape(10**8) > resemblance.band_shape(10**6)
+
+    band = np.sort(rng.integers(0, 9, 300))
+    prints = rng.integers(0, 4, (300, 2)).astype(np.uint64)
+    pairs = [(i, j) for i, j in itertools.combinations(range(300), 2) if band[i] == band[j]
+             and sum(int(a ^ b).bit_count() for a, b in zip(prints[i], prints[j])) <= 1]
+    assert resemblance.near_groups(band, prints, 1).tolist() == groups(300, pairs)
+    for size in (7, 300, 5000):  # the bands come in batches of any size
+        band = np.repeat(np.array([1, 2, 3, 4]), [3, resemblance.RUN_ROWS + 50, 1, 2])
+        key = np.arange(len(band))
+        zero = np.zeros(len(band), np.int64)
+        batches = pa.Table.from_arrays([pa.array(x) for x in (band, key, zero, zero)], ["band", "key", "w0", "w1"]).to_batches(size)
+        out = [r for b in resemblance._meet(batches) for r in zip(b.column("key").to_pylist(), b.column("hub").to_pylist())]
+        last = len(band) - 2
+        assert sorted(out) == [(k, 0) for k in range(3)] + [(k, 3) for k in range(3, last - 1)] + [(last, last), (last + 1, last)]
