@@ -12,6 +12,7 @@ from quire.plans.chunks import chunk_documents
 from quire.session import materialise
 from quire.sources.versions import VersionedTables
 from quire.streaming.run import for_each_batch
+from quire.streaming.windows import sliding_counts
 
 
 def stream_toc_hits(pages: DataFrame) -> DataFrame:
@@ -27,12 +28,8 @@ def stream_event_dedup(events: DataFrame, key: str = "event_id", delay: str = "1
 
 def stream_rate_limit(events: DataFrame, length: str = "1 hour", slide: str = "5 minutes",
                       delay: str = "10 minutes") -> DataFrame:
-    """Events per user in sliding windows; events later than the delay are dropped."""
-    return (
-        events.withWatermark("ts", delay).groupBy("user_id", F.window("ts", length, slide).alias("w"))
-        .agg(F.count(F.lit(1)).alias("n"))
-        .select("user_id", F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "n")
-    )
+    """Events per user in sliding windows; events later than the delay are dropped from windows that are closed."""
+    return sliding_counts(events, length, slide, delay)
 
 
 def stream_ingest(documents: DataFrame, to_spans, path: str, progress: str | None = None, buckets: int = BUCKETS) -> VersionedTables:

@@ -1,5 +1,8 @@
 """Several micro-batches must end where one batch over everything does."""
 
+import random
+
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,6 +13,7 @@ from quire.sources import views as V
 from quire.streaming import jobs as J
 from quire.streaming import memory as SM
 from quire.streaming.run import append_all, table_stream
+from quire.streaming.windows import add_up, from_runs, sliding_counts, to_runs
 
 
 @pytest.fixture()
@@ -98,6 +102,52 @@ def test_dedup_across_batches(spark, sf_dir, tmp_path):
     assert out.count() == events.count()
 
 
+def event_files(spark, tmp_path, batches, user="long"):
+    """Rows (user, minute) of every batch in a file of their own."""
+    for batch in batches:
+        batch = [(u, None if m is None else float(m)) for u, m in batch]
+        df = spark.createDataFrame(batch, "user_id string, minute double").select(
+            F.col("user_id").cast(user).alias("user_id"), F.timestamp_millis((F.col("minute") * 60_000).cast("long") + 1000 * HOUR).alias("ts"))
+        df.coalesce(1).write.mode("append").parquet(str(tmp_path / "e"))
+    return table_stream(spark, str(tmp_path / "e"), maxFilesPerTrigger=1)
+
+
+@pytest.mark.parametrize("user, length, slide", [("long", "1 hour", "5 minutes"), ("string", "50 minutes", "20 minutes")])
+def test_windows_take_late_events_until_they_close(spark, tmp_path, user, length, slide):
+    """Users and times that are new, late for some windows, late for all, null, and the same twice."""
+    rng = random.Random(7)
+    batches = [[(rng.choice(["1", "2", str(2**60 + 1), None]), 25 * i + rng.choice([0, 3.5, 5, 9, -12, -30, -47.25, -90])) for _ in range(6)] for i in range(7)]
+    batches[2] += [("1", None), ("8", 50.0), ("8", 50.0), ("9", -5.0)]
+    batches[4] += [("7", 100 - 12 * k + 0.5) for k in range(8)]
+    batches.append([("5", 1000.0)])
+    stream = event_files(spark, tmp_path, batches, user)
+    w = F.window("ts", length, slide).alias("w")
+    plain = stream.withWatermark("ts", "10 minutes").groupBy("user_id", w).agg(F.count(F.lit(1)).alias("n")).select("user_id", "w.start", "w.end", "n")
+    got = append_all(J.stream_rate_limit(stream, length, slide))
+    assert rows(got) == rows(append_all(plain)) and got.count() > 40
+    assert got.schema["user_id"].dataType.simpleString() == {"long": "bigint"}.get(user, user)
+
+
+def test_window_state_is_a_row_per_bucket(spark, tmp_path):
+    """Not one per user and window, of which 600 lone events have 7,200."""
+    stream = event_files(spark, tmp_path, [[(str(i), 61.0 * i) for i in range(600)]])
+    run = sliding_counts(stream, "1 hour", "5 minutes", "10 minutes", buckets=16).writeStream.format("parquet").trigger(availableNow=True).option(
+        "checkpointLocation", str(tmp_path / "c")).start(str(tmp_path / "out"))
+    run.awaitTermination()
+    assert 0 < max(p["stateOperators"][0]["numRowsTotal"] for p in run.recentProgress) <= 16
+    out = spark.read.parquet(str(tmp_path / "out"))
+    assert (out.count(), out.agg(F.max("n")).first()[0]) == (599 * 12 - 2, 1)
+
+
+def test_runs_of_windows():
+    starts = [("a", 0, 1), ("a", 5, 1), ("a", 15, 1), ("a", 20, 2), ("b", 25, 2), ("b", 30, 2)]
+    counts = pd.DataFrame([(False, *r) for r in starts], columns=["nobody", "user_id", "start", "n"])
+    runs = to_runs(counts, 5)
+    assert runs[["first", "windows", "n"]].values.tolist() == [[0, 2, 1], [15, 1, 1], [20, 1, 2], [25, 2, 2]]
+    assert from_runs(runs, 5).equals(counts)
+    assert add_up([counts, counts]).equals(counts.assign(n=counts["n"] * 2))
+
+
 def test_ingest_is_idempotent(spark, sf_dir, tmp_path):
     path, docs = str(tmp_path / "chunks"), V.load(spark, sf_dir, "documents").limit(20)
     docs.write.parquet(str(tmp_path / "d"))
