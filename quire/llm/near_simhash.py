@@ -246,7 +246,8 @@ def place_of(docs: DataFrame, id_col: str, text_col: str) -> Column:
 def keep_places(docs: DataFrame, first: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The rows of ``docs`` whose place is in the column ``low`` of ``first``; of rows equal in id and text one."""
     place, low = free_names(docs, "place", "low")
-    kept = docs.withColumn(place, place_of(docs, id_col, text_col)).join(
+    # In the type of ``low``, or the join would deal the rows out by a cast of the place and the grouping once more.
+    kept = docs.withColumn(place, place_of(docs, id_col, text_col).cast(first.schema["low"].dataType)).join(
         first.select(F.col("low").alias(low)), F.col(place) == F.col(low), "left_semi")
     columns = [F.first(docs[c]).alias(f"c{i}") for i, c in enumerate(docs.columns)]
     one = kept.groupBy(place).agg(*columns)

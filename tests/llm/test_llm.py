@@ -547,3 +547,36 @@ def test_fingerprints_propose_near_duplicates():
         out = [r for b in resemblance._meet(batches) for r in zip(b.column("key").to_pylist(), b.column("hub").to_pylist())]
         last = len(band) - 2
         assert sorted(out) == [(k, 0) for k in range(3)] + [(k, 3) for k in range(3, last - 1)] + [(last, last), (last + 1, last)]
+
+
+def test_no_near_duplicate_is_left_out(spark, monkeypatch):
+    """Pairs of similarity 0.8 that meet in no band are found, next to rare and very frequent passages and in any order of the prefixes."""
+    def pair(seed):
+        rng = random.Random(seed)
+        base = [f"w{rng.randint(0, 10**9)}" for _ in range(85)]
+        return " ".join(base), " ".join(base[:76] + [f"x{rng.randint(0, 10**9)}" for _ in range(9)])
+    texts = [t for seed in (42, 118, 589, 709, 743, 897) for t in pair(seed)]
+    hashes, at = resemblance.shingle_sets(pa.array(texts))
+    key, prints = resemblance._prints(hashes, at[:-1])
+    rows = pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array([p.tobytes() for p in prints], pa.binary())], ["key", "print"])
+    banded, = resemblance._banded(*resemblance.band_shape(len(texts)))([rows])
+    own = [c.to_numpy() for c in banded.columns]
+    order = np.lexsort((own[1], own[0]))
+    met = resemblance._meet([pa.RecordBatch.from_arrays([pa.array(x[order]) for x in own], banded.schema.names)])
+    assert sum(m.num_rows for m in met) == 0
+    common = prose(20, 7)
+    texts += [f"{common} {prose(30, 500 + i)}" for i in range(200)]
+    long = prose(100, 77).split(" ")
+    monkeypatch.setattr(resemblance, "PAIR_ROWS", 64)
+    texts += [" ".join(long[:i] + [f"z{i}"] + long[i + 1:]) for i in range(80)] + [" ".join(long[:90] + prose(20, 900 + i).split(" ")) for i in range(5)]
+    texts += ["a b c d e f", "a b c d e g", "a b c", "A b  c"]
+    sets = [shingled(t) for t in texts]
+    pairs = [(i, j) for i, j in itertools.combinations(range(len(texts)), 2) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    want = sorted(set(groups(len(texts), pairs)))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in resemblance.keep_one_per_group(docs).collect()) == want
+    # Without any help of the fingerprints, and with shingles held to be frequent.
+    monkeypatch.setattr(resemblance, "band_shape", lambda sets: (1, 60))
+    assert sorted(r.doc_id for r in resemblance.keep_one_per_group(docs).collect()) == want
+    monkeypatch.setattr(resemblance, "_hot", lambda slim: np.unique(resemblance.shingle_sets(pa.array(texts))[0])[::3].view(np.int64))
+    assert sorted(r.doc_id for r in resemblance.keep_one_per_group(docs, block_rows=20).collect()) == want
